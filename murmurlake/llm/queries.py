@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlake.llm import bpe, exact_dedup, html_extract, line_dedup, pii, token_count, toxicity
+from murmurlake.llm import bpe, exact_dedup, html_extract, line_dedup, ngram_join, pii, token_count, toxicity
 
 KEY = "murmurlake"
 
@@ -26,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, labels))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op3_feistel_pii,
             op4_toxicity,
+            op5_ngram_join,
             op6_token_counts,
             op7_line_dedup,
             op8_html_extract,
