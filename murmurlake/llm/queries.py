@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlake.llm import bpe, exact_dedup, html_extract, line_dedup, ngram_join, pii, token_count, toxicity
+from murmurlake.llm import bpe, exact_dedup, html_extract, line_dedup, ngram_join, pii, suffix_dedup, token_count, toxicity
 
 KEY = "murmurlake"
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.documents_with_pii(_table(spark, sf_dir, "documents"), KEY)
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_run_length_index,
             op3_feistel_pii,
             op4_toxicity,
             op5_ngram_join,
