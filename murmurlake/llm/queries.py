@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlake.llm import bpe, exact_dedup, html_extract, line_dedup, ngram_join, pii, suffix_dedup, token_count, toxicity
+from murmurlake.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, pii, suffix_dedup, token_count, toxicity
 
 KEY = "murmurlake"
 
@@ -21,6 +21,10 @@ def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.documents_with_pii(_table(spark, sf_dir, "documents"), KEY)
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_run_length_index,
+            op2_decontaminate,
             op3_feistel_pii,
             op4_toxicity,
             op5_ngram_join,
