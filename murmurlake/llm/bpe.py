@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from murmurlake.llm.common import ids_and_texts, map_rows
 
 LEAF = 24
+_NONE = 1 << 60
 #: Pieces remembered by a worker before it starts afresh; a bound on memory, not on results.
 REMEMBERED = 200_000
 
@@ -42,13 +43,17 @@ class TreeBpe:
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the leftmost pair of least rank until none is left."""
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], _NONE) for i in range(len(data) - 1)]  # of each part and the next
+        while pairs and (best := min(pairs)) != _NONE:
+            at = pairs.index(best)
+            parts[at : at + 2] = [merged := parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank(merged + parts[at + 1], _NONE)
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + merged, _NONE)
+        return [self.ranks[p] for p in parts]
 
     def fits(self, a: int, b: int) -> bool:
         """Whether tokens a, b stay as they are next to each other."""
