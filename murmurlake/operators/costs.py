@@ -1,0 +1,69 @@
+"""Usage and cost; money in millionths of a dollar."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Prices of a request, and the estimator's assumptions.
+REQUEST_MICROS = {"places": 17_000, "geocoding": 5_000, "places_photo": 7_000, "pixabay": 0, "pexels": 0}
+TOKENS_PER_MESSAGE, MESSAGES_PER_ACTIVITY, TOKENS_PER_ACTIVITY = 80, 150, 150
+GEOCODABLE, LOW, HIGH = 0.7, 0.6, 1.8
+
+
+def micros_to_cents(micros: Column) -> Column:
+    return F.ceil(micros / 10_000).cast("long")
+
+
+def format_micros(micros: Column) -> Column:
+    dollars = micros / 1_000_000.0
+    return F.when(F.abs(dollars) < 0.01, F.format_string("$%.4f", dollars)).otherwise(F.format_string("$%.2f", dollars))
+
+
+def model_usage(calls: DataFrame, pricing: DataFrame) -> DataFrame:
+    """Up to two usage rows a call (model, input_tokens, output_tokens); an unknown model raises an error."""
+    priced = calls.join(F.broadcast(pricing), "model", "left")  # a dimension of models, tens of rows
+    known = F.when(F.col("provider").isNull(), F.raise_error(F.concat(F.lit("unknown model: "), "model"))).otherwise(F.col("provider"))
+
+    def part(resource: str, tokens: str, price: str) -> Column:
+        quantity = F.col(tokens).cast("double")
+        return F.struct(F.lit(resource).alias("resource"), quantity.alias("quantity"), (quantity * F.col(price)).alias("cost_micros"))
+
+    both = F.array(part("ai_input_tokens", "input_tokens", "input_token_price"), part("ai_output_tokens", "output_tokens", "output_token_price"))
+    return priced.select("model", known.alias("provider"), F.explode(F.filter(both, lambda x: x["quantity"] > 0)).alias("u")).select("model", "provider", "u.*")
+
+
+def request_usage(calls: DataFrame) -> DataFrame:
+    """Usage rows of counted requests (resource, provider, requests)."""
+    table = F.create_map(*[F.lit(x) for kv in REQUEST_MICROS.items() for x in kv])
+    quantity = F.col("requests").cast("double")
+    return calls.filter("requests > 0").select("resource", "provider", quantity.alias("quantity"), (quantity * F.element_at(table, F.col("resource"))).alias("cost_micros"))
+
+
+def summary(usage: DataFrame) -> DataFrame:
+    """resource, provider, quantity, cost_micros, cents: by resource, by provider and in all, in one pass."""
+    usage.createOrReplaceTempView("_usage")
+    made = usage.sparkSession.sql(
+        "SELECT resource, provider, sum(quantity) AS quantity, sum(cost_micros) AS cost_micros FROM _usage "
+        "GROUP BY GROUPING SETS ((resource), (provider), ())"
+    )
+    return made.withColumn("cents", micros_to_cents(F.col("cost_micros")))
+
+
+def estimate(chats: DataFrame, input_price: float, output_price: float, embedding_price: float) -> DataFrame:
+    """Adds the estimated numbers and costs for ``message_count`` messages; prices in dollars a million tokens."""
+    n = F.col("message_count")
+    activities = F.ceil(n / MESSAGES_PER_ACTIVITY)
+    geocodable = F.ceil(activities * GEOCODABLE)
+    tokens = n * TOKENS_PER_MESSAGE
+    micros = tokens * input_price + activities * TOKENS_PER_ACTIVITY * output_price + tokens * embedding_price + geocodable * REQUEST_MICROS["geocoding"]
+    return chats.withColumns(
+        {
+            "tokens": tokens.cast("long"),
+            "activities": activities.cast("long"),
+            "geocodable": geocodable.cast("long"),
+            "cost_micros": micros.cast("double"),
+            "low_micros": F.floor(micros * LOW).cast("long"),
+            "high_micros": F.ceil(micros * HIGH).cast("long"),
+        }
+    )
