@@ -40,12 +40,15 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def alike(a: str, b: str) -> float:
+def alike(a: str, b: str, least: float = SIMILAR) -> bool:
+    """Whether 1 - distance / longer length is at least ``least``; lengths that rule it out are told apart first."""
     if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    return 1 - _distance(a, b) / max(len(a), len(b))
+        return True
+    size = max(len(a), len(b))
+    most = int(size * (1 - least) + 1e-9)
+    if not a or not b or abs(len(a) - len(b)) > most or most == 0:
+        return False
+    return _distance(a, b) <= most
 
 
 def _joins(a: dict, b: dict) -> bool:
@@ -54,9 +57,9 @@ def _joins(a: dict, b: dict) -> bool:
     def free(f: str) -> bool:
         return not a[f] or not b[f] or a[f] == b[f]
 
-    if alike(a["title"], b["title"]) >= SIMILAR and all(map(free, ("city", "country"))):
+    if alike(a["title"], b["title"]) and all(map(free, ("city", "country"))):
         return True
-    venue = not a["place_name"] or not b["place_name"] or alike(a["place_name"], b["place_name"]) >= SIMILAR
+    venue = not a["place_name"] or not b["place_name"] or alike(a["place_name"], b["place_name"])
     return venue and all(map(free, ("media_key", "city", "region", "country", "wiki_name")))
 
 

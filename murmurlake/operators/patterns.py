@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from murmurlake.functions.text import contains_any, literals, matches
+from murmurlake.functions.text import contains_any, found_rule, literals, matches
 from murmurlake.functions.urls import ACTIVITY_URLS, SOCIAL_URLS, URL_CONFIDENCE, url_kind
 
 # Name, pattern, confidence, kind; the first that matches wins.
@@ -77,11 +77,11 @@ KEYWORD_BOOST, PHRASE_URL_BOOST, KEYWORD_URL_BOOST, CUSTOM_CONFIDENCE = 0.15, 0.
 
 
 def excluded(content: Column, more: Sequence[str] = ()) -> Column:
-    return matches(content, "|".join(f"(?:{p})" for p in (*EXCLUSIONS, *more)))
+    return found_rule(content, EXCLUSIONS) | (matches(content, "|".join(f"(?:{p})" for p in more)) if more else F.lit(False))
 
 
 def has_keyword(content: Column) -> Column:
-    return matches(content, "|".join(f"(?:{p})" for p in KEYWORDS))
+    return found_rule(content, KEYWORDS)
 
 
 def has_phrase(content: Column) -> Column:
@@ -92,10 +92,10 @@ def first_pattern(content: Column, min_confidence: float = 0.5, custom: Sequence
     """struct(pattern, confidence, kind) of the first built-in rule that matches, boosted by keywords; a match below the least confidence ends
     the built-in rules, custom ones follow; null if nothing is left."""
 
-    def chain(rules: Sequence[tuple[str, str, float, str]]) -> Column:
+    def chain(rules: Sequence[tuple[str, str, float, str]], own: bool = False) -> Column:
         made = None
         for name, regex, confidence, kind in rules:
-            test = matches(content, regex)
+            test = matches(content, regex) if own else found_rule(content, [regex])
             found = F.struct(F.lit(name).alias("pattern"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("kind"))
             made = F.when(test, found) if made is None else made.when(test, found)
         return made
@@ -107,10 +107,10 @@ def first_pattern(content: Column, min_confidence: float = 0.5, custom: Sequence
         return F.get(F.filter(made, lambda r: r["confidence"] >= min_confidence), F.lit(0))
 
     # One alternation decides for most rows that no rule needs to be tried.
-    built_in = boosted(F.when(matches(content, "|".join(f"(?:{p[1]})" for p in PATTERNS)), chain(PATTERNS)))
+    built_in = boosted(F.when(found_rule(content, [p[1] for p in PATTERNS]), chain(PATTERNS)))
     if not custom:
         return built_in
-    return F.coalesce(built_in, boosted(chain([(f"custom:{p}", p, CUSTOM_CONFIDENCE, "suggestion") for p in custom])))
+    return F.coalesce(built_in, boosted(chain([(f"custom:{p}", p, CUSTOM_CONFIDENCE, "suggestion") for p in custom], own=True)))
 
 
 def best_url(urls: Column) -> Column:
