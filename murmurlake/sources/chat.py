@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from murmurlake.functions.text import matches, pattern, plain_apostrophes, urls_in
 
@@ -129,7 +130,7 @@ def split_text(text: str, most: int = MAX_CHUNK, least: int = MIN_CHUNK) -> list
         rest = rest[cut:].lstrip()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def chunked(content: pd.Series) -> pd.Series:
     return content.map(lambda t: split_text(t or ""))
 
