@@ -66,15 +66,16 @@ def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the columns n_lines, n_removed and kept_text added under ``line_dedup``, a struct."""
-    gone = covered_lines(docs, width)
+    mark = "_".join(["gone", *docs.columns])  # no column has this name
+    gone = covered_lines(docs, width).select(F.col("lid").alias(f"{mark}_id"), F.col("gone").alias(mark))
     lines = _lines(F.col("text"))
-    merged = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("lid")), "left")
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i))
+    merged = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}_id")), "left")
+    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col(mark), i))
     return merged.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(
             F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-            F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
+            F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark)).cast("long").alias("n_removed"),
+            F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
         ).alias("line_dedup"),
     )
