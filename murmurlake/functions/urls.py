@@ -106,7 +106,7 @@ def spotify_id(url: Column) -> Column:
 
 
 def eventbrite_id(url: Column) -> Column:
-    return _first(url, r"-(\d{9,})(?:\?|$|/)", r"/e/(\d{9,})")
+    return _first(url, r"-(\d{9,})(?:[?#/]|$)", r"/e/(\d{9,})")
 
 
 def airbnb_id(url: Column) -> Column:

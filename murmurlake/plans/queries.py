@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from murmurlake.functions import text as T
 from murmurlake.functions import urls as U
-from murmurlake.operators import candidates, classify, clustering, context, costs, enrich, filters, fingerprint, pages, vector
+from murmurlake.operators import candidates, classify, clustering, context, costs, enrich, filters, fingerprint, media, pages, platforms, vector
 from murmurlake.operators import patterns as P
 from murmurlake.sources import chat, sinks
+from murmurlake.streaming import chat_stream
 
 PHRASES = (
     "we should try the new cafe",
@@ -162,23 +163,23 @@ kept AS (
   SELECT c.* FROM best c WHERE candidate_type <> 'agreement' OR NOT EXISTS (
     SELECT 1 FROM best s JOIN bounds b ON s.chat_id = b.chat_id AND s.message_id = b.id
     WHERE s.candidate_type = 'suggestion' AND s.chat_id = c.chat_id AND c.message_id BETWEEN b.first_id AND b.last_id AND c.message_id <> s.message_id))"""
-_OUT = ["chat_id", "message_id", "source_type", "source_name", F.round("confidence", 6).alias("confidence"), "candidate_type"]
+_OUT = ("chat_id", "message_id", "source_type", "source_name", "round(confidence, 6) AS confidence", "candidate_type")
 _OUT_SQL = "SELECT chat_id, message_id, source_type, source_name, round(confidence, 6) AS confidence, candidate_type FROM"
 
 
 @_query(f"WITH {MESSAGES}, {RULED}, {ADDRESSED}, {BOUNDS}, {MERGED} {_OUT_SQL} kept")
 def quick_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.quick_scan(messages(spark, sf_dir))[0].select(*_OUT)
+    return candidates.quick_scan(messages(spark, sf_dir))[0].selectExpr(*_OUT)
 
 
 @_query(f"WITH {MESSAGES}, {RULED} {_OUT_SQL} ruled WHERE confidence >= 0.5")
 def pattern_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.pattern_matches(messages(spark, sf_dir)).select(*_OUT)
+    return candidates.pattern_matches(messages(spark, sf_dir)).selectExpr(*_OUT)
 
 
 @_query(f"WITH {MESSAGES}, {ADDRESSED} {_OUT_SQL} addressed")
 def url_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.url_matches(messages(spark, sf_dir)).select(*_OUT)
+    return candidates.url_matches(messages(spark, sf_dir)).selectExpr(*_OUT)
 
 
 @_query(f"WITH {MESSAGES}, {RULED}, {ADDRESSED} SELECT chat_id, message_id, source_type, source_name FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, message_id ORDER BY source_type DESC) AS n FROM (SELECT * FROM ruled UNION ALL BY NAME SELECT * FROM addressed)) WHERE n = 1")
@@ -525,6 +526,64 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(keyed, "id").select("ord", "message", "date", "mentions")
 
 
+MEDIA_NAMES = ("Kayak", "boat", "paddling", "nothing", "hike_trail")
+
+
+@_query("SELECT p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'synonym' WHEN 2 THEN 'action' WHEN 4 THEN 'exact' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'country' ELSE 'category' END END AS match, CASE p_partkey % 5 WHEN 4 THEN 'hike trail' WHEN 3 THEN CASE WHEN p_partkey % 2 = 0 THEN 'México' ELSE 'food' END ELSE 'kayak' END AS folder_item FROM part")
+def media_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    wanted = _read(spark, sf_dir, "part").select(
+        key.alias("ord"), _pick(MEDIA_NAMES, key).alias("object"), F.lit("food").alias("category"),
+        F.when(key % 2 == 0, "Mexico").alias("country"), F.lit("MX").alias("country_code"),
+    )
+    index = spark.createDataFrame(
+        [("objects", "kayak", ["k1", "k2"]), ("objects", "hike trail", ["h1"]), ("countries", "México", ["m1"]), ("categories", "food", ["f1"])],
+        "entity_type string, item string, entries array<string>",
+    )
+    synonyms = spark.createDataFrame([("object", "kayak", "boat", None), ("action", "kayak", "paddling", None)], "kind string, folder string, synonym string, country_code string")
+    return media.library_images(wanted, index, synonyms).select("ord", "match", "folder_item")
+
+
+@_query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'reddit' WHEN 2 THEN 'eventbrite' ELSE 'other' END AS platform, CASE page_id % 4 WHEN 0 THEN 'dQw4w9WgXcQ' WHEN 1 THEN '1abcd2' WHEN 2 THEN '123456789012' END AS content_id, 'T & ' || page_id AS title, CASE WHEN page_id % 5 = 0 THEN 'not_found' END AS error FROM pages")
+def scrape_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    kind, text = key % 4, key.cast("string")
+    url = F.element_at(F.array(*[F.lit(u) for u in ("https://www.youtube.com/watch?v=dQw4w9WgXcQ", "https://www.reddit.com/r/x/comments/1abcd2/t/", "https://www.eventbrite.com/e/a-123456789012", "https://example.org/")]), (kind + 1).cast("int"))
+    html = (
+        F.when(kind == 0, F.concat(F.lit('<script>var ytInitialPlayerResponse = {"videoDetails": {"title": "T &amp; '), text, F.lit('", "author": "a"}};</script>')))
+        .when(kind == 1, F.concat(F.lit('[{"data": {"children": [{"data": {"title": "T &amp; '), text, F.lit('", "author": "u"}}]}}]')))
+        .when(kind == 2, F.concat(F.lit('<script type="application/ld+json">{"name": "T &amp; '), text, F.lit('", "location": {"name": "Hall"}}</script>')))
+        .otherwise(F.concat(F.lit('<meta property="og:title" content="T &amp; '), text, F.lit('">')))
+    )
+    rows = _read(spark, sf_dir, "pages").select("page_id", url.alias("address"), html.alias("html"), F.when(key % 5 == 0, 404).otherwise(200).alias("status"))
+    made = platforms.scrape(rows.select(F.concat("address", F.lit("#"), text).alias("url"), "status", "html"))
+    return made.select(F.regexp_extract("url", r"#(\d+)$", 1).cast("long").alias("page_id"), "platform", "content_id", "title", "error")
+
+
+@_query("SELECT n_nationkey AS k, 'go ' || CASE WHEN n_nationkey % 2 = 0 THEN 'u' || n_nationkey || ' [about ' || n_name || ']' ELSE 'u' || n_nationkey END || ' now' AS told FROM nation")
+def url_metadata_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    n = _read(spark, sf_dir, "nation").withColumn("url", F.concat(F.lit("u"), key.cast("string")))
+    rows = n.select(key.alias("row_id"), F.concat(F.lit("go "), "url", F.lit(" now")).alias("content"), F.array("url").alias("urls"))
+    known = n.filter(key % 2 == 0).select("url", F.concat(F.lit("about "), "n_name").alias("title"))
+    return platforms.with_url_metadata(rows, known).select(F.col("row_id").alias("k"), "told")
+
+
+@_query("SELECT n_nationkey AS k, least(n_nationkey + 3, 24) AS final FROM nation")
+def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    n = _read(spark, sf_dir, "nation").select(key.cast("string").alias("url"), (key + 1).cast("string").alias("target"))
+    made = platforms.follow_redirects(n.select("url"), n.filter("url < '24' OR length(url) = 1").filter("cast(url as int) < 24"), 3)
+    return made.select(F.col("url").cast("long").alias("k"), F.col("final_url").cast("long").alias("final"))
+
+
+@_query("SELECT u_id AS user_id, start_at, n FROM (SELECT user_id AS u_id, min(ts) AS start_at, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, s)")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    made = chat_stream.sessions(rows)
+    return made.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start_at"), "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in ENTRIES.items()}
 

@@ -40,3 +40,12 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in ENTRIES.items() if not sql])
 def test_query_without_sql(spark, name):
     assert ENTRIES[name][0](spark, SF).count() >= 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
