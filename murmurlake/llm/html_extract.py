@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from murmurlake.llm.common import map_rows
 
 MAX_LABELLED = 2000
+#: Longer pages aren't learned from; with MAX_LABELLED a bound on what the driver holds.
+MAX_LABELLED_CHARS = 30_000
 
 # Element names of the HTML standard by their role here.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -205,7 +207,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def labelled_pages(pages: DataFrame, limit: int = MAX_LABELLED) -> list[str]:
     """At most ``limit`` pages that mark their content, those of least id hash; the ids are chosen before pages are read whole."""
     text = F.col("html").cast("string")
-    marked = pages.filter(text.rlike("(?i)<(?:article|main)[\\s>]") & (F.length(text) <= 200_000))
+    marked = pages.filter(text.rlike("(?i)<(?:article|main)[\\s>]") & (F.length(text) <= MAX_LABELLED_CHARS))
     chosen = marked.select(F.col("page_id").alias("chosen_id")).orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
     rows = (
         pages.select("page_id", text.alias("html"))

@@ -185,6 +185,20 @@ def learn(texts: list[str], toxic: list[bool], least: int = 4, floor: float = 0.
         deeper = [s + c for c in follow[s] if stem_pos[s + c] >= 0.9 * stem_pos[s]]
         if len(follow[s]) >= 3 and not any(d in pure for d in deeper):
             grammar.stems[s] = _lower_bound(stem_pos[s], stem_pos[s] + stem_neg[s])
+    # Copies of one text say the same once: an entry must stand after several different words.
+    before = defaultdict(set)
+    for text, bad in zip(texts, toxic, strict=True):
+        last = ""
+        for w in WORD.findall(text.lower()) if bad else ():
+            if w in grammar.words:
+                before[w].add(last)
+            for s in stems(w) if w[:3] in wanted else ():
+                if s in grammar.stems:
+                    before[s].add(last)
+            last = w
+    grammar.words = {w: v for w, v in grammar.words.items() if len(before[w]) >= max(3, least // 2)}
+    grammar.stems = {s: v for s, v in grammar.stems.items() if len(before[s]) >= max(3, least // 2)}
+    grammar.known = {}
     x = np.array([grammar.features(t) for t in texts])
     y = np.array(toxic, dtype=float)
     w = np.zeros(x.shape[1])
