@@ -83,8 +83,9 @@ def candidate_block(timestamp: Column, sender: Column, content: Column, before:
 
 
 def prompts(candidates: DataFrame, instructions: str) -> DataFrame:
-    """chat_id, batch_no, prompt, expected_ids; ``candidates`` carries batch_no and contexts."""
+    """batch_id (chat and batch number), prompt, expected_ids; ``candidates`` carries batch_no and contexts."""
     block = candidate_block(*[F.col(c) for c in ("timestamp", "sender", "content", "context_before", "context_after")])
     listed = candidates.groupBy("chat_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct("message_id", block.alias("block")))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: F.concat(F.lit("## "), x["message_id"].cast("string"), F.lit("\n"), x["block"])), "\n\n")
-    return listed.select("chat_id", "batch_no", F.concat(F.lit(instructions + "\n\n"), text).alias("prompt"), F.transform("l", lambda x: x["message_id"]).alias("expected_ids"))
+    batch_id = F.concat("chat_id", F.lit("#"), F.col("batch_no").cast("string")).alias("batch_id")
+    return listed.select(batch_id, F.concat(F.lit(instructions + "\n\n"), text).alias("prompt"), F.transform("l", lambda x: x["message_id"]).alias("expected_ids"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from murmurlake.operators import candidates, classify, clustering, context, enrich
 from murmurlake.operators.filters import ExportFilter, is_mappable, select_activities
@@ -13,7 +14,7 @@ from murmurlake.sources.cache import Stages
 
 
 class Engine:
-    """Builds each stage once.  ``classifier`` turns (chat_id, batch_no, prompt, expected_ids) into (batch_id, expected_ids, response)."""
+    """Builds each stage once.  ``classifier`` turns (batch_id, prompt, expected_ids) into (batch_id, expected_ids, response)."""
 
     def __init__(
         self,
@@ -51,7 +52,14 @@ class Engine:
         return classify.prompts(context.fixed_batches(rows, self.batch_size, rows["message_id"]), self.instructions)
 
     def _activities(self) -> DataFrame:
-        return classify.to_activities(classify.parse_responses(self.classifier(self.get("prompts"))))
+        """Activities in the order of their messages; as many as a classifier found, so one task can number them."""
+        found = classify.to_activities(classify.parse_responses(self.classifier(self.get("prompts"))))
+        messages = self.get("messages")
+        entry = F.struct("id", "timestamp", "sender", F.col("content").alias("message"))
+        said = messages.select(F.col("id").alias("message_id"), entry.alias("m"), "chat_id")
+        keyed = found.withColumn("chat_id", F.regexp_replace("batch_id", r"#\d+$", "")).withColumn("message_id", F.col("message_id") + F.when(F.col("offset") == 0, 0).otherwise(F.col("offset")))
+        joined = keyed.join(said, ["chat_id", "message_id"]).withColumn("messages", F.array("m"))
+        return joined.withColumn("ord", F.row_number().over(Window.orderBy("batch_id", "chat_id", "message_id", "activity_id")).cast("long")).drop("m", "chat_id", "message_id", "offset", "batch_id")
 
     def _grouped(self) -> DataFrame:
         rows = self.get("activities")

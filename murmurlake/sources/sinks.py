@@ -101,3 +101,32 @@ def xlsx_bytes(activities: DataFrame) -> bytes:
         for name, text in parts.items():
             z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
     return out.getvalue()
+
+
+def pdf_bytes(activities: DataFrame, title: str, lines_per_page: int = 50) -> bytes:
+    """A plain document: title, counts, then activities by country, category and score."""
+    rows = activities.select(F.coalesce("country", F.lit("General")).alias("c"), "category", "activity", "score", "ord").orderBy("c", "category", F.desc("score"), "ord")
+    lines, last = [], None
+    for r in rows.toLocalIterator():
+        if (r["c"], r["category"]) != last:
+            last = r["c"], r["category"]
+            lines += ["", f"{r['c']} / {r['category']}"]
+        lines.append(f"  {r['activity']} ({r['score']})")
+    lines = [title, f"{sum(x.startswith('  ') for x in lines)} activities", *lines]
+    blocks = [lines[i : i + lines_per_page] for i in range(0, len(lines), lines_per_page)]
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    for block in blocks:
+        text = "".join(f"({''.join(chr(92) + c if c in '()' + chr(92) else c for c in line)}) ' " for line in block)
+        body = f"BT /F1 10 Tf 14 TL 50 800 Td {text}ET"
+        size = len(body.encode("cp1252", "replace"))
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {len(objects) + 2} 0 R >>")
+        objects.append(f"<< /Length {size} >>\nstream\n{body}\nendstream")
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(blocks)))
+    objects[1] = f"<< /Type /Pages /Kids [{kids}] /Count {len(blocks)} >>"
+    out, places = b"%PDF-1.4\n", []
+    for i, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{i} 0 obj\n{body}\nendobj\n".encode("cp1252", "replace")
+    table = "".join(f"{p:010d} 00000 n \n" for p in places)
+    end = f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF"
+    return out + end.encode()
