@@ -2,7 +2,7 @@
 
 A document is the set of its distinct three-word shingles, as 64-bit hashes.  Documents with one set are one *class*, and classes are joined.
 Two sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` tokens of each, under any
-total order of tokens, so a pair must do so under all of ``ORDERS`` orders.  The first order puts tokens that are known to be
+total order of tokens, so a pair must do so under all of ``ORDERS`` orders; with k - 1 more tokens in both prefixes it must share k.  The first order puts tokens that are known to be
 frequent last (a bounded list, from counts of what the tasks' texts share; it decides speed, not results) and deals classes to the tokens of their
 prefixes; candidates that differ too much in size or don't share a token under each other order go before any set is read.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import ids_and_texts, map_rows, written
+from murmurlake.llm.common import forget, ids_and_texts, map_rows, written
 from murmurlake.llm.graph import components
 
 WORDS = 3
@@ -41,6 +41,8 @@ SMALL = 24
 #: Entries of the list of frequent tokens that the first order puts last.
 MAX_FREQUENT = 100_000
 LEVELS = 12
+#: Under the other orders prefixes are longer by up to so many tokens, and as many more must be shared.
+DEPTH = 32
 
 _M = (1 << 64) - 1
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03
@@ -155,7 +157,8 @@ def frequent_tokens(docs: DataFrame, limit: int = MAX_FREQUENT) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, cls, p1 (prefix under the first order), p2.. (prefixes under the others, 32 bits of each token)."""
+    """doc_id, n_shingles, cls, p1 (prefix under the first order), p2.. (prefixes under the others, longer by ``DEPTH``, as 32 bits
+    of each token), k (how many of these must be shared), slack (how many of them collide in these bits)."""
     order = np.argsort(frequent)
     hot, rank = frequent[order], np.arange(len(frequent), dtype=np.int64)[order]
 
@@ -175,19 +178,25 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
         def work(columns: list) -> list:
             sets = shingles(_encoded(columns[1]), powers)
-            p1, more = [], [[] for _ in range(ORDERS - 1)]
+            p1, more, depth, slack = [], [[] for _ in range(ORDERS - 1)], [], []
             for s in sets:
                 p = prefix_length(len(s)) if len(s) else 0
                 p1.append(first_prefix(s, p).view(np.int64))
+                depth.append(min(p, DEPTH))
+                long, lost = p + min(p, DEPTH) - 1, 0
                 for k, own in enumerate(more):
                     turned = mix(s * np.uint64(_TURN[k + 2] | 1))
-                    own.append((np.partition(turned, p - 1)[:p] if 0 < p < len(s) else turned).astype(np.uint32).view(np.int32))
-            return [columns[0], [len(s) for s in sets], list(map(class_of, sets)), p1, *more]
+                    early = np.partition(turned, long - 1)[:long] if 0 < long < len(s) else turned
+                    short = np.unique(early.astype(np.uint32))
+                    lost = max(lost, len(early) - len(short))
+                    own.append(short.view(np.int32))
+                slack.append(lost)
+            return [columns[0], [len(s) for s in sets], list(map(class_of, sets)), depth, slack, p1, *more]
 
         return work
 
     kinds = ", ".join(f"p{k} array<int>" for k in range(2, ORDERS + 1))
-    return map_rows(ids_and_texts(docs), make, f"doc_id long, n_shingles long, cls long, p1 array<long>, {kinds}")
+    return map_rows(ids_and_texts(docs), make, f"doc_id long, n_shingles long, cls long, k int, slack int, p1 array<long>, {kinds}")
 
 
 def _may_link(n: str, m: str) -> str:
@@ -195,6 +204,17 @@ def _may_link(n: str, m: str) -> str:
     return f"{n} * {PER} >= {TIMES} * {m} AND {m} * {PER} >= {TIMES} * {n}"
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each token, in order; what verification reads."""
+    return (tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64)[:, 0]
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, n, tokens (binary) for the classes whose representatives are in ``wanted`` (doc_id, cls)."""
 
@@ -203,14 +223,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         def work(columns: list) -> list:
             sets = shingles(_encoded(columns[1]), powers)
-            return [list(map(class_of, sets)), list(map(len, sets)), [s.tobytes() for s in sets]]
+            return [columns[0], list(map(class_of, sets)), list(map(len, sets)), list(map(packed, sets))]
 
         return work
 
     mine = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("cls").alias("wanted_cls"))
-    texts = ids_and_texts(docs).join(mine, F.col("doc_id") == F.col("wanted_id")).select("doc_id", "text")
-    made = map_rows(texts, make, "cls long, n long, tokens binary")
-    return written(made.dropDuplicates(["cls"]), "ngram-sets")
+    texts = ids_and_texts(docs).join(mine, F.col("doc_id") == F.col("wanted_id")).select("wanted_cls", "text")
+    # Rows that repeat a doc_id with other words drop out here; rows that repeat it with the same words only repeat links.
+    return written(map_rows(texts, make, "wanted_cls long, cls long, n long, tokens binary").filter("cls = wanted_cls").drop("wanted_cls"), "ngram-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,7 +240,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def work(columns: list) -> list:
             a, b = [], []
             for x, y, s, t in zip(*columns, strict=True):
-                one, two = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
+                one, two = unpacked(s), unpacked(t)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 if PER * both >= TIMES * (len(one) + len(two) - both):
                     a.append(x)
@@ -244,7 +264,7 @@ def _pivots(large: DataFrame) -> DataFrame:
         def work(columns: list) -> list:
             groups: dict[int, list] = {}
             for grp, tokens in zip(columns[0], columns[3], strict=True):
-                groups.setdefault(grp, []).append(np.frombuffer(tokens, dtype=np.uint64))
+                groups.setdefault(grp, []).append(unpacked(tokens))
             out: tuple[list, list, list] = ([], [], [])
             for grp, sets in groups.items():
                 tokens, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -272,7 +292,7 @@ def _level(large: DataFrame, sets: DataFrame) -> DataFrame:
             out: tuple[list, ...] = ([], [], [], [], [])
             for grp, cls, n, tokens, base in zip(*columns, strict=True):
                 pivot = np.sort(np.array(base or [], dtype=np.int64).view(np.uint64))
-                own = np.frombuffer(tokens, dtype=np.uint64)
+                own = unpacked(tokens)
                 new, gone = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
                 # A partner is at most PER/TIMES as large: |D(x) - D(y)| <= c(|x| + |y|) <= n * (PER - TIMES) / TIMES.
                 most = (PER - TIMES) * n // TIMES
@@ -286,7 +306,9 @@ def _level(large: DataFrame, sets: DataFrame) -> DataFrame:
         return work
 
     rows = large.join(_pivots(large), "grp", "left").select("grp", "cls", "n", "tokens", "base")
-    return map_rows(rows, make, "grp long, cls long, n long, d long, token long")
+    made = written(map_rows(rows, make, "grp long, cls long, n long, d long, token long"), "ngram-level")
+    forget(large)
+    return made
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -308,23 +330,26 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sigs: DataFrame, names: DataFrame) -> DataFrame:
     """a, b: links between classes; enough of them that every class that links with another is connected to it."""
     some = sigs.filter("n_shingles > 0")
-    classes = some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    classes = names.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    reps = some.dropDuplicates(["cls"])
     # Below this size only equal sets are similar enough, and those are one class.
     least_size = -(-TIMES // (PER - TIMES))
-    members = some.filter(F.col("n_shingles") >= least_size).select(F.explode("p1").alias("token"), "cls", F.col("n_shingles").alias("n")).distinct()
+    members = reps.filter(F.col("n_shingles") >= least_size).select(F.explode("p1").alias("token"), "cls", F.col("n_shingles").alias("n"))
     buckets = written(_buckets(members), "ngram-buckets")
-    orders = some.select("cls", *[f"p{k}" for k in range(2, ORDERS + 1)])
+    orders = [f"p{k}" for k in range(2, ORDERS + 1)]
 
     pairs = _pairs(buckets)
-    other = classes.join(some.select("doc_id", "cls", *orders.columns[1:]), ["doc_id", "cls"]).dropDuplicates(["cls"])
+    told = some.select("cls", "k", "slack", *orders).dropDuplicates(["cls"])
     for side in ("a", "b"):
-        pairs = pairs.join(other.select(F.col("cls").alias(side), *[F.col(p).alias(f"{p}{side}") for p in orders.columns[1:]]), side)
-    for p in orders.columns[1:]:
-        pairs = pairs.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
+        pairs = pairs.join(told.select(*[F.col(c).alias(side if c == "cls" else f"{c}{side}") for c in told.columns]), side)
+    shared = F.least("ka", "kb") - F.col("slacka") - F.col("slackb")
+    for p in orders:
+        pairs = pairs.filter(F.size(F.array_intersect(f"{p}a", f"{p}b")) >= shared)
     pairs = written(pairs.select("a", "b"), "ngram-pairs")
+    forget(sigs)
     large = buckets.filter(F.col("held") > SMALL).select("grp", "cls").distinct()
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
     sets = _sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"))
@@ -333,7 +358,7 @@ def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     for _ in range(LEVELS):
         if large.isEmpty():
             break
-        level = written(_level(large, sets), "ngram-level")
+        level = _level(large, sets)
         # (1 + t) a(x) in whole numbers; the least of a group is linked with all that a sum <= 0 allows.
         far = F.expr(f"{PER + TIMES} * d - {PER - TIMES} * n").alias("far")
         known = level.filter("token IS NULL").select("grp", "cls", far)
@@ -342,7 +367,8 @@ def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
             known.join(least, "grp").filter("far + near.far <= 0 AND cls <> near.cls").select(F.col("cls").alias("a"), F.col("near.cls").alias("b"))
         )
         buckets = written(_buckets(level.filter("token IS NOT NULL").select("token", "cls", "n").distinct()), "ngram-buckets")
-        found.append(written(_verified(_pairs(buckets), sets), "ngram-links"))
+        again = written(_pairs(buckets).join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")  # those of before are told
+        found.append(written(_verified(again, sets), "ngram-links"))
         large = buckets.filter(F.col("held") > SMALL).select("grp", "cls").distinct()
     else:
         if not large.isEmpty():  # what is left after so many levels: all pairs of its buckets
@@ -357,8 +383,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     frequent = frequent_tokens(docs)
     sigs = written(signatures(docs, frequent), "ngram-signatures")
-    roots = written(components(links(docs, sigs)), "ngram-roots")
-    rows = sigs.select("doc_id", "n_shingles", "cls").join(roots, F.col("cls") == F.col("node"), "left")
+    names = written(sigs.select("doc_id", "n_shingles", "cls"), "ngram-names")
+    roots = written(components(links(docs, sigs, names)), "ngram-roots")
+    rows = names.join(roots, F.col("cls") == F.col("node"), "left")
     named = rows.select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
     least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.filter("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(
