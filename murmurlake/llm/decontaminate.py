@@ -5,9 +5,14 @@ bit for (step, symbol) says.  Two strings at a small edit distance soon walk in
 places.  A window of a text and a window of an item are candidates if they agree in all ``SAMPLED`` random places of one of ``REPEATS``
 draws.  Windows are sized by the item: the largest of ``SIZES`` bytes that fits into it (longer windows lost recall: at 96 bytes
 half of the items with 15 % edits were found, at 48 nearly all).  An item offers its windows at every word start, a
-text its windows at every ``STRIDE``-th word, so any passage is met at several alignments, each with ``REPEATS`` chances.  Every candidate is
-verified: the least edit distance between the item and any substring around the place (Myers' bit-parallel algorithm) must leave a
-similarity of at least 0.8.  Items too short for a window must occur as they are.
+text its windows at every ``STRIDE``-th word, so long passages are met at several alignments, each with ``REPEATS`` chances.
+
+Windows alone miss copies of items that hold only one, and many edited ones, so all places of a text are also looked up by the item's grams
+(``Grams``): a text and an item are candidates where enough grams of ``gram_size`` bytes agree near one diagonal.  Below ``SIZES[0]`` bytes
+the number is what a passage of the least similarity must still share (an edit takes away at most as many grams as overlap it), so
+none is missed; above it is ``SHARE`` of the item's bytes, which an exact copy always has.  Every candidate is verified: the least
+edit distance between the item and any substring around the place (Myers' bit-parallel algorithm) must leave a similarity of at
+least 0.8.  Items too short for a window must occur as they are.
 
 Texts and items are compared in lower case with white space folded.  Items are taken in blocks of at most ``MAX_ITEMS`` (by hash of the id),
 each block one pass over all texts, so what a task holds is bounded however many items there are.
@@ -20,13 +25,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import ids_and_texts, map_rows
+from murmurlake.llm.common import chunks, ids_and_texts, map_rows
 
 SIMILARITY = 0.8
 SIZES = (48, 24, 12)
@@ -35,6 +41,10 @@ SAMPLED = 12
 REPEATS = 16
 MAX_ITEMS = 20_000
 SEED = 20_240_917
+#: Grams that agree, as a share of the item's bytes, for items of ``SIZES[0]`` bytes or more.
+SHARE = 0.12
+#: Items whose grams are looked up at once, bytes of text that are looked up at once, and bytes of a diagonal band.
+GRAM_ITEMS, GRAM_BYTES, BAND = 400, 1 << 18, 32
 _SPACE = re.compile(r"\s+")
 
 
@@ -108,6 +118,97 @@ def _word_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~gap & np.append(True, gap[:-1]))
 
 
+def most_edits(size: int) -> int:
+    """Edits that leave a text of so many characters similar enough."""
+    return next(d for d in range(size, -1, -1) if size - d >= SIMILARITY * size)
+
+
+def gram_size(size: int) -> int:
+    """Bytes of a gram for an item of so many bytes."""
+    return 7 if size >= 80 else 6 if size >= SIZES[0] else 3 if size >= SIZES[-1] else 2
+
+
+def least_grams(text: str) -> int:
+    """How many grams must agree for a candidate."""
+    size = len(text.encode())
+    if size >= SIZES[0]:
+        return int(SHARE * size)
+    edits, q = most_edits(len(text)), gram_size(size)
+    widest = sorted((len(c.encode()) for c in text), reverse=True)[:edits]
+    return max(1, size - q + 1 - (q - 1) * edits - sum(widest))
+
+
+class Grams:
+    """The places of all grams of some items, all of one gram size."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int):
+        self.q, self.names = q, np.array([n for n, _ in items])
+        self.least = np.array([least_grams(t) for _, t in items])
+        texts = [t.encode() for _, t in items]
+        lengths = np.array([len(t) for t in texts])
+        self.longest = int(lengths.max())
+        begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        made = self._hashed(b"\0".join([*texts, b""]))
+        item = np.repeat(np.arange(len(texts)), lengths + 1)
+        offset = np.arange(len(made)) - begins[item]
+        whole = np.flatnonzero(offset + q <= lengths[item])
+        order = whole[np.argsort(made[whole], kind="stable")]
+        self.item, self.offset = item[order], offset[order]
+        self.held = np.bincount(made[order], minlength=1 << 20).astype(np.int32)
+        self.known = self.held > 0
+        self.first = np.cumsum(self.held, dtype=np.int64) - self.held
+
+    def _hashed(self, data: bytes) -> np.ndarray:
+        """A number below 2**20 for the gram at each byte."""
+        eight = np.ndarray(len(data), dtype="<u8", buffer=data + bytes(8), strides=(1,))
+        return ((eight & np.uint64((1 << 8 * self.q) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def candidates(self, texts: list[bytes]) -> set[tuple[int, int, int]]:
+        """(text, item, band of the byte place where the item would start) where enough grams agree in a band and the next one."""
+        lengths = np.array([len(t) for t in texts])
+        begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        data, doc = b"\0".join([*texts, b""]), np.repeat(np.arange(len(texts)), lengths + 1)
+        bands = (int(lengths.max(initial=0)) + self.longest) // BAND + 3
+        keys, counts = [], []
+        for start in range(0, len(data), GRAM_BYTES):
+            made = self._hashed(data[start : start + GRAM_BYTES + self.q - 1])[:GRAM_BYTES]
+            at = np.flatnonzero(self.known[made])
+            made = made[at]
+            n = self.held[made]
+            k = np.arange(int(n.sum())) + np.repeat(self.first[made] - (np.cumsum(n) - n), n)
+            at = np.repeat(at + start, n)
+            own = doc[at]
+            band = (at - begins[own] - self.offset[k] + self.longest) // BAND
+            key, count = np.unique((own * len(self.names) + self.item[k]) * bands + band, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        if not keys:
+            return set()
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(where, weights=np.concatenate(counts))
+        follows = np.append(key[1:] == key[:-1] + 1, False)
+        both = count + np.where(follows, np.append(count[1:], 0), 0)
+        pair, band = np.divmod(key, bands)
+        own, item = np.divmod(pair, len(self.names))
+        enough = both >= self.least[item]
+        place = band[enough] - self.longest // BAND - 1
+        return set(zip(own[enough].tolist(), self.names[item[enough]].tolist(), place.tolist(), strict=True))
+
+
+def _runs(places: set[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first, last band) of bands that stand together."""
+    doc = n = first = last = None
+    for a, b, place in sorted(places):
+        if (a, b) == (doc, n) and place <= last + 2:
+            last = place
+            continue
+        if doc is not None:
+            yield doc, n, first, last
+        doc, n, first, last = a, b, place, place
+    if doc is not None:
+        yield doc, n, first, last
+
+
 class Searcher:
     def __init__(self, items: list[tuple[int, str]]):
         self.embedding = Embedding()
@@ -127,6 +228,11 @@ class Searcher:
             for t, own in shorts.items():
                 self.short.add_word(t, (len(t), own))
             self.short.make_automaton()
+        by_gram: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for own in by_size.values():
+            for n in own:
+                by_gram[gram_size(len(self.items[n][1].encode()))].append((n, self.items[n][1]))
+        self.grams = [Grams(part, q) for q, own in by_gram.items() for part in chunks(own, GRAM_ITEMS)]
         # Per size: sorted keys of all repeats with item and byte offset, and a bitmap of key prefixes.
         self.tables = {}
         for size, own in by_size.items():
@@ -171,7 +277,7 @@ class Searcher:
                 for lane, a, b in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
                     doc = int(which[lane])
                     for k in range(a, b):
-                        found.add((doc, int(items[k]), (int(starts[lane] - begins[doc]) - int(offsets[k])) // 32))
+                        found.add((doc, int(items[k]), (int(starts[lane] - begins[doc]) - int(offsets[k])) // BAND))
         return found
 
     def matches(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
@@ -179,11 +285,12 @@ class Searcher:
         cleaned = [normal(t) for t in texts]
         encoded = [t.encode() for t in cleaned]
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        for doc, n, place in self.candidates(encoded):
+        places = self.candidates(encoded).union(*(g.candidates(encoded) for g in self.grams))
+        for doc, n, first, last in _runs(places):
             item, pattern = self.items[n]
             size = len(pattern.encode())
             slack = size // 4 + 40
-            region = encoded[doc][max(0, place * 32 - slack) : place * 32 + size + slack].decode("utf-8", "ignore")
+            region = encoded[doc][max(0, first * BAND - slack) : (last + 3) * BAND + size + slack].decode("utf-8", "ignore")
             distance = infix_distance(pattern, region)
             if len(pattern) - distance >= SIMILARITY * len(pattern) and distance < out[doc].get(item, (1 << 30, 0))[0]:
                 out[doc][item] = distance, len(pattern)

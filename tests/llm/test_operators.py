@@ -147,6 +147,17 @@ def test_leaks_recall():
     assert found >= 0.9 * len(items)
 
 
+def test_exact_copies_of_every_length():
+    """Items of 12 to 110 bytes, at even and odd words of a text."""
+    rng = random.Random(12)
+    long = ["".join(rng.choices("abcdefghijklmnopñ", k=rng.randint(2, 9))) for _ in range(40)]
+    items = [(i, " ".join(rng.sample(long, 25))[: 12 + i].strip("ñ ") + "x") for i in range(100)]
+    searcher = decontaminate.Searcher(items)
+    for i, text in items:
+        for before in (30, 31):
+            assert searcher.matches([words(rng, before) + " " + text + " " + words(rng, 30)])[0].get(i) == (0, len(text))
+
+
 # ---- 3 ----
 
 
