@@ -12,7 +12,7 @@ Windows alone miss copies of items that hold only one, and many edited ones, so
 the number is what a passage of the least similarity must still share (an edit takes away at most as many grams as overlap it), so
 none is missed; above it is ``SHARE`` of the item's bytes, which an exact copy always has.  Every candidate is verified: the least
 edit distance between the item and any substring around the place (Myers' bit-parallel algorithm) must leave a similarity of at
-least 0.8.  Items too short for a window must occur as they are.
+least 0.8.  Items too short for a window must occur from a word's start to a word's end, with as many edits as that similarity allows.
 
 Texts and items are compared in lower case with white space folded.  Items are taken in blocks of at most ``MAX_ITEMS`` (by hash of the id),
 each block one pass over all texts, so what a task holds is bounded however many items there are.
@@ -78,6 +78,24 @@ def infix_distance(pattern: str, text: str) -> int:
     return best
 
 
+def bounded_distance(pattern: str, text: str, most: int) -> int:
+    """Least edit distance between the pattern and any substring of the text from a word's start to a word's end; more than ``most`` if above it."""
+    size, best = len(pattern), most + 1
+    before = [not c.isalnum() for c in " " + text]
+    after = [not c.isalnum() for c in text + " "]
+    for a in (i for i, c in enumerate(text) if before[i] and c != " "):
+        row = list(range(size + 1))
+        for b in range(a, min(len(text), a + size + most)):
+            last, row[0] = row[0], b - a + 1
+            for i, c in enumerate(pattern, 1):
+                last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (c != text[b]))
+            if after[b + 1]:
+                best = min(best, row[-1])
+            if min(row) >= best:
+                break
+    return best
+
+
 class Embedding:
     """Walks and samples; the same for items and texts, from a fixed seed."""
 
@@ -229,7 +247,8 @@ class Searcher:
                 self.short.add_word(t, (len(t), own))
             self.short.make_automaton()
         by_gram: dict[int, list[tuple[int, str]]] = defaultdict(list)
-        for own in by_size.values():
+        edited = [n for t, own in shorts.items() if most_edits(len(t)) for n in own]
+        for own in [*by_size.values(), edited]:
             for n in own:
                 by_gram[gram_size(len(self.items[n][1].encode()))].append((n, self.items[n][1]))
         self.grams = [Grams(part, q) for q, own in by_gram.items() for part in chunks(own, GRAM_ITEMS)]
@@ -291,7 +310,7 @@ class Searcher:
             size = len(pattern.encode())
             slack = size // 4 + 40
             region = encoded[doc][max(0, first * BAND - slack) : (last + 3) * BAND + size + slack].decode("utf-8", "ignore")
-            distance = infix_distance(pattern, region)
+            distance = infix_distance(pattern, region) if size >= SIZES[-1] else bounded_distance(pattern, region, most_edits(len(pattern)))
             if len(pattern) - distance >= SIMILARITY * len(pattern) and distance < out[doc].get(item, (1 << 30, 0))[0]:
                 out[doc][item] = distance, len(pattern)
         if self.short is not None:

@@ -158,6 +158,27 @@ def test_exact_copies_of_every_length():
             assert searcher.matches([words(rng, before) + " " + text + " " + words(rng, 30)])[0].get(i) == (0, len(text))
 
 
+@pytest.mark.parametrize("size", [7, 12, 20, 26, 40, 50, 70, 120, 240])
+def test_leaks_recall_by_length(size):
+    """A fifth of the characters substituted, inserted or deleted, in items of each length class."""
+    rng = random.Random(size)
+    long = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(2000))
+    items = [(i, long[200 * i : 200 * i + size].strip().ljust(size, "a")) for i in range(30)]
+    searcher, texts = decontaminate.Searcher(items), []
+    for _, text in items:
+        own = list(text)
+        for _ in range(size // 5):
+            p, kind = rng.randrange(1, len(own) - 1), rng.randrange(3)
+            own[p : p + (kind < 2)] = [rng.choice("abcxyz")] * (kind != 1)
+        texts.append(words(rng, 41) + " " + "".join(own) + " " + words(rng, 40))
+    found = sum(i in m for (i, _), m in zip(items, searcher.matches(texts), strict=True))
+    assert found >= 0.9 * len(items)
+
+
+def test_short_items_end_at_words():
+    assert decontaminate.Searcher([(1, "planet")]).matches(["a plant x", "explanets", "pla net", "planets", "a (planet)"]) == [{1: (1, 6)}, {}, {1: (1, 6)}, {1: (1, 6)}, {1: (0, 6)}]
+
+
 # ---- 3 ----
 
 
