@@ -8,7 +8,7 @@ with other separators, get equal pseudonyms in every document, and the holder of
 Kinds: card (Luhn), phone (North American plan or +country code), ipv4, date (ISO, dotted and slashed, real calendar days),
 ssn, iban (mod 97) and email (letters and digits of the local part; the domain stays).
 
-Edge cases: null and empty texts have no findings; overlapping findings keep the earliest, then longest; repeated rows are
+Edge cases: null and empty texts have no findings; overlapping findings keep the earliest, then longest valid one; repeated rows are
 answered each; an empty table gives an empty result.
 """
 
@@ -220,13 +220,18 @@ def findings(text: str, names: Pseudonyms) -> list[tuple[str, int, int, str, str
         return out
     while found := _FIND.search(text, at):
         kind = found.lastgroup
-        made = names.of(kind, found[0])
+        end, made = found.end(), names.of(kind, found[0])
+        if made is None and (kind in ("card", "iban") or (kind == "phone" and re.match(r"\+[2-9]", found[0]))):
+            # What follows may have been taken in: shorter ends at group boundaries, the longest first.
+            for end in range(found.end() - 1, found.start(), -1):
+                if text[end] in " -." and (made := names.of(kind, text[found.start() : end])) is not None:
+                    break
         if made is None:  # another kind may start within what failed
             step = re.compile(r"\w+").match(text, found.start())
             at = max(found.start() + 1, step.end() if step else 0)
             continue
-        out.append((kind, found.start(), found.end(), found[0], made))
-        at = found.end()
+        out.append((kind, found.start(), end, text[found.start() : end], made))
+        at = end
     return out
 
 

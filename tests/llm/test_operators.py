@@ -207,6 +207,18 @@ def test_pii(spark, docs, none):
     assert pii.documents_with_pii(none, "k").count() == 0
 
 
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("pay 4111 1111 1111 1111 12/25 now", "card", "4111 1111 1111 1111"),
+    ("4111111111111111 123", "card", "4111111111111111"),
+    ("4111-1111-1111-1111-123", "card", "4111-1111-1111-1111"),
+    ("to AT61 1904 3002 3457 3201 BIC", "iban", "AT61 1904 3002 3457 3201"),
+    ("to AT61 1904 3002 3457 3201 CODE BIC", "iban", "AT61 1904 3002 3457 3201"),
+    ("+49 170 1234567 2024 1231", "phone", "+49 170 1234567"),
+])
+def test_pii_before_other_groups(text, kind, value):
+    assert [(k, v) for k, _, _, v, _ in pii.findings(text, pii.Pseudonyms(b"k"))] == [(kind, value)]
+
+
 # ---- 4 ----
 
 
