@@ -318,7 +318,7 @@ def cluster_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def leader_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.leader_groups(activities(spark, sf_dir).filter("place_name IS NOT NULL AND city IS NOT NULL"))
+    return clustering.leader_groups(activities(spark, sf_dir))
 
 
 @_query(f"WITH {ACTIVITIES} SELECT coalesce(country, 'General') AS country, category, count(*) AS n FROM activities GROUP BY GROUPING SETS ((1, 2), (1), ())".replace("GROUPING SETS ((1, 2), (1), ())", "ROLLUP (coalesce(country, 'General'), category)"))
