@@ -18,7 +18,7 @@ Texts and items are compared in lower case with white space folded.  Items are t
 each block one pass over all texts, so what a task holds is bounded however many items there are.
 
 Edge cases: null, empty and white-space texts and items match nothing; repeated items or rows give one pair for each different
-(doc_id, item_id), with the least distance; empty tables give an empty result; other columns are ignored (``keep_clean`` keeps them).
+(doc_id, item_id), with the least distance; items without an id count as one item of null id; empty tables give an empty result; other columns are ignored (``keep_clean`` keeps them).
 """
 
 from __future__ import annotations
@@ -325,7 +325,7 @@ class Searcher:
 
 def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
     """The items in blocks of at most about MAX_ITEMS; one block is held at a time by those who iterate."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
     n = max(1, -(-rows.count() // MAX_ITEMS))
     for block in range(n):
         yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()]

@@ -175,6 +175,13 @@ def test_leaks_recall_by_length(size):
     assert found >= 0.9 * len(items)
 
 
+def test_items_without_an_id(spark, docs):
+    passage = docs.filter("doc_id = 5").first()["text"][-200:]
+    items = spark.createDataFrame([(None, passage), (None, None)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(docs, items).collect()} >= {(5, None, 0)}
+    assert decontaminate.keep_clean(docs, items).filter("doc_id = 5").count() == 0
+
+
 def test_short_items_end_at_words():
     assert decontaminate.Searcher([(1, "planet")]).matches(["a plant x", "explanets", "pla net", "planets", "a (planet)"]) == [{1: (1, 6)}, {}, {1: (1, 6)}, {1: (1, 6)}, {1: (0, 6)}]
 
