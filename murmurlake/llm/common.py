@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,34 +47,39 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], s
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset (tests), one of our own."""
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset one of our own, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "murmurlake-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the query that wrote them is over; Spark makes them anew if a later query should need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: the lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    release(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` made and that no later step reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of queries that are over; it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` made and that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def sha256_hex(column: Column) -> Column:

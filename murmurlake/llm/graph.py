@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import written
+from murmurlake.llm.common import forget, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if edges.isEmpty():
             break
-        edges = written(_star(_star(edges, large=True), large=False), "edges")
+        last, edges = edges, written(_star(_star(edges, large=True), large=False), "edges")
+        forget(last)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if now == state:
             break

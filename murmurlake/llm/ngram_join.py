@@ -1,24 +1,26 @@
-"""Exact n-gram Jaccard join by filtering under several global token orders.
-
-A document is the set of its distinct three-word shingles, as 64-bit hashes.  Documents with one set are one *class*, and classes are joined.
-Two sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` tokens of each, under any
-total order of tokens, so a pair must do so under all of ``ORDERS`` orders; with k - 1 more tokens in both prefixes it must share k.  The first order puts tokens that are known to be
-frequent last (a bounded list, from counts of what the tasks' texts share; it decides speed, not results) and deals classes to the tokens of their
-prefixes; candidates that differ too much in size or don't share a token under each other order go before any set is read.
-
-A token shared by more than ``SMALL`` classes doesn't make pairs.  Its classes form a *group* (named by the least of them), and each
-is described by its difference D to the group's *pivot*, the set of tokens that about half of the group holds; any set would
-do, this one makes differences small.  As |x ^ y| = |D(x) ^ D(y)|, x and y link if |D(x) ^ D(y)| <= c(|x| + |y|) with
-c = (1-t)/(1+t).  So with a(x) = |D(x)| - c|x|, a pair with a(x) + a(y) <= 0 always links, and both link to the class of least a,
-which keeps the component without the pair; any other pair that links shares an element of the differences' prefixes.  These
-elements are the tokens of a next level, dealt in the same way; levels go on until no token is large.  The number of rows
-follows the sizes of the sets, never the square of a group.
-
-Links between classes are verified exactly on their sets, components follow by alternating stars.
+"""N-gram Jaccard join by filtering under several global token orders.
+
+A document is the set of its distinct three-word shingles, as 64-bit hashes.  Documents with one set are one *class*, named by 64 bits of
+the set, and classes are joined.  Two sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t * n) + 1``
+tokens of each, under any total order of tokens, so a pair must do so under all of ``ORDERS`` orders; with k - 1 more tokens in both
+prefixes it must share k.  Every order puts rare tokens first and breaks ties by its own hash.  How frequent a token is comes from exact
+counts over all documents (``token_levels``), kept in a table of bounded size where tokens may collide, which decides speed, never
+results.  The first order deals classes to the tokens of their prefixes; candidates that differ too much in size, or don't share enough
+under another order, go before any set is compared.
+
+A token shared by more than ``SMALL`` classes doesn't make pairs.  Its classes form a *group*, and each is described by its difference D
+to the group's *pivot*, the tokens that about half of the group holds; any set would do, this one makes differences small.
+As |x ^ y| = |D(x) ^ D(y)|, x and y link if |D(x) ^ D(y)| <= c(|x| + |y|) with c = (1-t)/(1+t).  So with a(x) = |D(x)| - c|x|, a pair with
+a(x) + a(y) <= 0 always links, and both link to the class of least a, the *hub*, which keeps the component without the pair; any
+other pair that links shares an element of the differences' prefixes.  These elements are the tokens of a next level, whose sets are the
+differences: small buckets make pairs, verified on differences alone, large ones are groups again.  What a large bucket shares is
+in its pivot, so every level leaves less; levels go on until no token is large.  Classes that are all linked with the hub need no more
+levels.  Rows follow the sizes of the sets, never the square of a group.
 
 Edge cases: texts without words (null, empty, white space) have an empty set and are linked with nothing; rows that repeat
-a doc_id with other words are linked through that id; a null doc_id gets the least id of its component if there is one;
-an empty table gives an empty result; other columns are ignored.
+a doc_id with other words are rows of their own; a row without doc_id links and connects others, and gets the least id of its
+component if there is one; an empty table gives an empty result; other columns are ignored.  Sets are compared by the 64-bit hashes of their
+shingles: a false link needs so many collisions that similarity passes the threshold, or one of two class names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import forget, ids_and_texts, map_rows, written
+from murmurlake.llm.common import forget, map_rows, written
 from murmurlake.llm.graph import components
 
 WORDS = 3
@@ -38,13 +40,17 @@ WORDS = 3
 TIMES, PER = 90, 100
 ORDERS = 3
 SMALL = 24
-#: Entries of the list of frequent tokens that the first order puts last.
-MAX_FREQUENT = 100_000
-LEVELS = 12
+#: Levels after which the join gives up with an error; each fixes at least one token of every group that is left.
+MOST_LEVELS = 200
 #: Under the other orders prefixes are longer by up to so many tokens, and as many more must be shared.
 DEPTH = 32
+#: The table of frequencies has 2**SLOT_BITS slots of a byte, and at most a quarter as many tokens are entered.
+SLOT_BITS = 22
+#: Tokens that a task counts at once.
+COUNTED = 2_000_000
+#: Up to so many wanted texts are told to all tasks by their 64-bit hashes (8 MB); beyond it texts are joined by shuffle.
+MAX_BROADCAST = 1_000_000
 
-_M = (1 << 64) - 1
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03
 _TURN = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
@@ -129,74 +135,136 @@ def _encoded(texts: list) -> list[bytes]:
     return [(t or "").encode() for t in texts]
 
 
-def frequent_tokens(docs: DataFrame, limit: int = MAX_FREQUENT) -> np.ndarray:
-    """Tokens of early hash that tasks meet in at least two texts, most frequent last; at most ``limit``."""
+def _rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), text; null texts as empty ones."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+# ---- how frequent tokens are ----
+
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _packed_counts(tokens: np.ndarray, bits: int) -> pa.RecordBatch:
+    """part (leading bits), tokens (the next 40 bits of each), counts (two bytes each): one row for each part."""
+    names, n = np.unique(tokens, return_counts=True)
+    part = (names >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    rest = (names << np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, 3:]
+    ends = np.append(first, len(names)).astype(np.int32)
+    columns = [pa.array(part[first].astype(np.int32))]
+    for data, width in ((rest, 5), (np.minimum(n, 65535).astype(np.uint16), 2)):
+        columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * np.int32(width)), pa.py_buffer(data.tobytes())]))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "tokens", "counts"])
+
+
+def _count_in_tasks(rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), {}
+        powers, held, size = Powers(), [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                texts = _encoded(batch.column(1).slice(start, 256).to_pylist())
-                sets = {s.tobytes(): s for s in shingles(texts, powers)}.values()
-                early = [s[: 2 * prefix_length(len(s))] for s in sets if len(s)]
-                for t, n in zip(*(x.tolist() for x in np.unique(np.concatenate(early), return_counts=True)), strict=True) if early else ():
-                    seen[t] = seen.get(t, 0) + n
-            if len(seen) > 1_000_000:  # counts of one say nothing
-                seen = {t: n for t, n in seen.items() if n > 1}
-            if len(seen) > 1_000_000:
-                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[:500_000])
-        tokens = [(t, n) for t, n in seen.items() if n > 2]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array([t for t, _ in tokens], dtype=np.uint64).view(np.int64)), pa.array([n for _, n in tokens], type=pa.int64())],
-            names=["t", "n"],
-        )
-
-    counts = ids_and_texts(docs).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    rows = counts.filter("n > 8").orderBy(F.desc("n"), "t").limit(limit).collect()
-    return np.array([r["t"] for r in rows][::-1], dtype=np.int64).view(np.uint64)
-
-
-def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, cls, p1 (prefix under the first order), p2.. (prefixes under the others, longer by ``DEPTH``, as 32 bits
-    of each token), k (how many of these must be shared), slack (how many of them collide in these bits)."""
-    order = np.argsort(frequent)
-    hot, rank = frequent[order], np.arange(len(frequent), dtype=np.int64)[order]
-
-    def first_prefix(s: np.ndarray, p: int) -> np.ndarray:
-        if not len(hot):
-            return s[:p]
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        late = hot[at] == s
-        calm = s[~late][:p]
-        if len(calm) < p:
-            last = s[late]
-            calm = np.concatenate([calm, last[np.argsort(rank[at[late]])][: p - len(calm)]])
-        return calm
+                sets = {s.tobytes(): s for s in shingles(_encoded(batch.column(0).slice(start, 256).to_pylist()), powers)}
+                held.extend(sets.values())
+                size += sum(map(len, sets.values()))
+                if size >= COUNTED:
+                    yield _packed_counts(np.concatenate(held), bits)
+                    held, size = [], 0
+        if size:
+            yield _packed_counts(np.concatenate(held), bits)
+
+    return rows.select("text").mapInArrow(run, "part int, tokens binary, counts binary")
+
+
+def _levels_of_parts(counted: DataFrame, bits: int) -> DataFrame:
+    """slot, level (8 * log2 of the count) of every token that occurs twice; parts come whole, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            raw = np.frombuffer(b"".join(t for t, _ in held), dtype=np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(raw), 8), dtype=np.uint8)
+            wide[:, 3:] = raw
+            names = wide.view(np.uint64)[:, 0]
+            n = np.frombuffer(b"".join(c for _, c in held), dtype=np.uint16).astype(np.int64)
+            order = np.argsort(names)
+            names, n = names[order], n[order]
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            n = np.add.reduceat(n, first)
+            names = names[first][n > 1]
+            level = np.minimum(255, np.round(8 * np.log2(n[n > 1]))).astype(np.int16)
+            slot = _slots(np.uint64(now) << np.uint64(64 - bits) | names >> np.uint64(bits))
+            return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(level)], names=["slot", "level"])
+
+        for batch in batches:
+            for part, tokens, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and part != now:
+                    yield out()
+                    held = []
+                now = part
+                held.append((tokens, counts))
+        if held:
+            yield out()
+
+    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(run, "slot int, level short")
+
+
+def token_levels(docs: DataFrame) -> np.ndarray:
+    """A level for every slot: how often the most frequent token of the slot occurs, by logarithm; 0 for rare ones.
+
+    Tasks count their tokens first, so a token of all documents is one row a task.  Parts grow in number with the rows, up to 2**18.
+    """
+    bits = min(18, max(12, (docs.count() // 500).bit_length()))
+    found = written(_levels_of_parts(_count_in_tasks(_rows_of(docs), bits), bits), "ngram-counts")
+    room, least = 1 << (SLOT_BITS - 2), 256
+    for level, n in sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = level
+    told = found.filter(F.col("level") >= least).groupBy("slot").agg(F.max("level").alias("level")).toArrow()  # at most a quarter of the slots
+    table = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    table[told.column("slot").to_numpy()] = told.column("level").to_numpy().astype(np.uint8)
+    forget(found)
+    return table
+
+
+# ---- signatures and sets ----
+
+
+def _in_order(tokens: np.ndarray, levels: np.ndarray, turn: int, p: int) -> np.ndarray:
+    """The first p tokens: rare ones first, then by a hash of the order's own."""
+    if p >= len(tokens):
+        return tokens
+    key = levels[_slots(tokens)].astype(np.uint64) << np.uint64(56) | mix(tokens * np.uint64(_TURN[turn] | 1)) >> np.uint64(8)
+    return tokens[np.argpartition(key, p - 1)[:p]]
+
+
+def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """doc_id, row, n_shingles, cls, prefix (under the first order; for a class only once a task, its other rows have none)."""
+    #: Below this size only equal sets are similar enough, and those are one class.
+    least_size = -(-TIMES // (PER - TIMES))
 
     def make():
-        powers = Powers()
+        powers, seen = Powers(), set()
 
         def work(columns: list) -> list:
-            sets = shingles(_encoded(columns[1]), powers)
-            p1, more, depth, slack = [], [[] for _ in range(ORDERS - 1)], [], []
-            for s in sets:
-                p = prefix_length(len(s)) if len(s) else 0
-                p1.append(first_prefix(s, p).view(np.int64))
-                depth.append(min(p, DEPTH))
-                long, lost = p + min(p, DEPTH) - 1, 0
-                for k, own in enumerate(more):
-                    turned = mix(s * np.uint64(_TURN[k + 2] | 1))
-                    early = np.partition(turned, long - 1)[:long] if 0 < long < len(s) else turned
-                    short = np.unique(early.astype(np.uint32))
-                    lost = max(lost, len(early) - len(short))
-                    own.append(short.view(np.int32))
-                slack.append(lost)
-            return [columns[0], [len(s) for s in sets], list(map(class_of, sets)), depth, slack, p1, *more]
+            sets = shingles(_encoded(columns[2]), powers)
+            names, prefixes = list(map(class_of, sets)), []
+            for s, name in zip(sets, names, strict=True):
+                fresh = len(s) >= least_size and name not in seen
+                prefixes.append(_in_order(s, levels, 0, prefix_length(len(s))).view(np.int64) if fresh else None)
+                seen.add(name)
+            if len(seen) > 500_000:
+                seen.clear()
+            return [columns[0], columns[1], list(map(len, sets)), names, prefixes]
 
         return work
 
-    kinds = ", ".join(f"p{k} array<int>" for k in range(2, ORDERS + 1))
-    return map_rows(ids_and_texts(docs), make, f"doc_id long, n_shingles long, cls long, k int, slack int, p1 array<long>, {kinds}")
+    return map_rows(_rows_of(docs), make, "doc_id long, row long, n_shingles long, cls long, prefix array<long>")
 
 
 def _may_link(n: str, m: str) -> str:
@@ -204,43 +272,52 @@ def _may_link(n: str, m: str) -> str:
     return f"{n} * {PER} >= {TIMES} * {m} AND {m} * {PER} >= {TIMES} * {n}"
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """The upper 48 bits of each token, in order; what verification reads."""
-    return (tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64)[:, 0]
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, tokens (binary) for the classes whose representatives are in ``wanted`` (doc_id, cls)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
+    """cls, n, tokens (binary, sorted 64-bit hashes), k and slack, p2.. (prefixes under the other orders, 32 bits of each token, longer by k;
+    k tokens must be shared; slack of them collide) for the wanted (row, cls)."""
 
     def make():
         powers = Powers()
 
         def work(columns: list) -> list:
             sets = shingles(_encoded(columns[1]), powers)
-            return [columns[0], list(map(class_of, sets)), list(map(len, sets)), list(map(packed, sets))]
+            more: list[list] = [[] for _ in range(ORDERS - 1)]
+            depth, slack = [], []
+            for s in sets:
+                p = prefix_length(len(s)) if len(s) else 0
+                depth.append(min(p, DEPTH))
+                lost = 0
+                for turn, own in enumerate(more, 1):
+                    early = _in_order(s, levels, turn, p + depth[-1] - 1)
+                    short = np.unique(early.astype(np.uint32))
+                    lost = max(lost, len(early) - len(short))
+                    own.append(short.view(np.int32))
+                slack.append(lost)
+            return [columns[0], list(map(class_of, sets)), list(map(len, sets)), [s.tobytes() for s in sets], depth, slack, *more]
 
         return work
 
-    mine = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("cls").alias("wanted_cls"))
-    texts = ids_and_texts(docs).join(mine, F.col("doc_id") == F.col("wanted_id")).select("wanted_cls", "text")
-    # Rows that repeat a doc_id with other words drop out here; rows that repeat it with the same words only repeat links.
-    return written(map_rows(texts, make, "wanted_cls long, cls long, n long, tokens binary").filter("cls = wanted_cls").drop("wanted_cls"), "ngram-sets")
+    mine = wanted.select(F.col("row").alias("wanted_row"), F.col("cls").alias("wanted_cls"))
+    if mine.count() <= MAX_BROADCAST:
+        mine = F.broadcast(mine)
+    texts = _rows_of(docs).join(mine, F.col("row") == F.col("wanted_row")).select("wanted_cls", "text")
+    kinds = ", ".join(f"p{k} array<int>" for k in range(2, ORDERS + 1))
+    made = map_rows(texts, make, f"wanted_cls long, cls long, n long, tokens binary, k int, slack int, {kinds}")
+    return written(made.filter("cls = wanted_cls").drop("wanted_cls").dropDuplicates(["cls"]), "ngram-sets")
+
+
+def _set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) that share enough under every other order, and whose sets link."""
 
     def make():
         def work(columns: list) -> list:
             a, b = [], []
             for x, y, s, t in zip(*columns, strict=True):
-                one, two = unpacked(s), unpacked(t)
+                one, two = _set(s), _set(t)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 if PER * both >= TIMES * (len(one) + len(two) - both):
                     a.append(x)
@@ -249,145 +326,208 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return work
 
+    orders = [f"p{k}" for k in range(2, ORDERS + 1)]
+    for side in ("a", "b"):
+        own = sets.select(*[F.col(c).alias(side if c == "cls" else f"{c}{side}") for c in ("cls", "k", "slack", *orders)])
+        pairs = pairs.join(own, side)
+    shared = F.least("ka", "kb") - F.col("slacka") - F.col("slackb")
+    for p in orders:
+        pairs = pairs.filter(F.size(F.array_intersect(f"{p}a", f"{p}b")) >= shared)
     with_sets = (
-        pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a")
+        pairs.select("a", "b")
+        .join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("t")), "b")
         .select("a", "b", "s", "t")
     )
     return map_rows(with_sets, make, "a long, b long")
 
 
-def _pivots(large: DataFrame) -> DataFrame:
-    """grp, base (binary, sorted tokens): what about half of the classes of each group hold; counted where the rows are first."""
+# ---- groups ----
 
-    def make():
-        def work(columns: list) -> list:
-            groups: dict[int, list] = {}
-            for grp, tokens in zip(columns[0], columns[3], strict=True):
-                groups.setdefault(grp, []).append(unpacked(tokens))
-            out: tuple[list, list, list] = ([], [], [])
-            for grp, sets in groups.items():
-                tokens, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n * 4 >= len(sets)
-                if len(sets) > 2:  # else its tokens say little about the group
-                    out[0].extend([grp] * int(often.sum() + 1))
-                    out[1].extend([None, *tokens[often].view(np.int64).tolist()])
-                    out[2].extend([len(sets), *n[often].tolist()])
-            return list(out)
 
-        return work
+def _pivots(rows: DataFrame) -> DataFrame:
+    """grp, base (sorted tokens): what about half of the rows of each group hold.
 
-    counts = map_rows(large, make, "grp long, token long, n long").groupBy("grp", "token").agg(F.sum("n").alias("n"))
+    Rows are dealt by ranges of (grp, cls), so a group lies together however large it is, and counted where they lie.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+
+        def out() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n * 4 >= len(held)
+            names = pa.array([None, *tokens[often].view(np.int64).tolist()], type=pa.int64())
+            sums = pa.array([len(held), *n[often].tolist()], type=pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(names), type=pa.int64()), names, sums], names=["grp", "token", "n"])
+
+        for batch in batches:
+            for grp, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) > 2 and (grp != now or len(held) >= 1024):  # one or two rows say little about the group
+                    yield out()
+                    held = []
+                elif grp != now:
+                    held = []
+                now = grp
+                held.append(_set(tokens))
+        if len(held) > 2:
+            yield out()
+
+    dealt = rows.select("grp", "cls", "tokens").repartitionByRange("grp", "cls").sortWithinPartitions("grp", "cls").select("grp", "tokens")
+    counts = dealt.mapInArrow(run, "grp long, token long, n long").groupBy("grp", "token").agg(F.sum("n").alias("n"))
     sizes = counts.filter("token IS NULL").select("grp", F.col("n").alias("size"))
     held = counts.filter("token IS NOT NULL").join(sizes, "grp").filter("2 * n >= size")
-    return held.groupBy("grp").agg(F.array_sort(F.collect_list("token")).alias("base"))
+    return held.groupBy("grp").agg(F.collect_list("token").alias("base"))
 
 
-def _level(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """grp, cls, n, d (size of the difference), token (of the next level; null in the row that tells d alone)."""
-    large = written(large.join(sets, "cls").select("grp", "cls", "n", "tokens"), "ngram-large")
+def _level(rows: DataFrame) -> DataFrame:
+    """grp, cls, n, tokens (the difference to the pivot of the group), far ((1 + t) a(x) in whole numbers), keys (its prefix)."""
 
     def make():
         def work(columns: list) -> list:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for grp, cls, n, tokens, base in zip(*columns, strict=True):
                 pivot = np.sort(np.array(base or [], dtype=np.int64).view(np.uint64))
-                own = unpacked(tokens)
+                own = _set(tokens)
                 new, gone = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
+                diff = np.sort(np.concatenate([new, gone]))
                 # A partner is at most PER/TIMES as large: |D(x) - D(y)| <= c(|x| + |y|) <= n * (PER - TIMES) / TIMES.
                 most = (PER - TIMES) * n // TIMES
                 keys = np.concatenate([new, gone])[: most + 1]  # new ones are rarer, they come first
-                salted = mix(keys ^ np.uint64(grp & _M)).view(np.int64).tolist()
-                for token in [None, *salted]:
-                    for column, value in zip(out, (grp, cls, n, len(new) + len(gone), token), strict=True):
-                        column.append(value)
+                values = (grp, cls, n, diff.tobytes(), (PER + TIMES) * len(diff) - (PER - TIMES) * n, keys.view(np.int64))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
             return list(out)
 
         return work
 
-    rows = large.join(_pivots(large), "grp", "left").select("grp", "cls", "n", "tokens", "base")
-    made = written(map_rows(rows, make, "grp long, cls long, n long, d long, token long"), "ngram-level")
-    forget(large)
-    return made
+    based = rows.join(_pivots(rows), "grp", "left").select("grp", "cls", "n", "tokens", "base")
+    return written(map_rows(based, make, "grp long, cls long, n long, tokens binary, far long, keys array<long>"), "ngram-level")
+
+
+def _close(pairs: DataFrame, level: DataFrame) -> DataFrame:
+    """The pairs (grp, a, b) whose differences are small enough."""
+
+    def make():
+        def work(columns: list) -> list:
+            a, b = [], []
+            for x, y, n, m, s, t in zip(*columns, strict=True):
+                one, two = _set(s), _set(t)
+                apart = len(one) + len(two) - 2 * len(np.intersect1d(one, two, assume_unique=True))
+                if (PER + TIMES) * apart <= (PER - TIMES) * (n + m):
+                    a.append(x)
+                    b.append(y)
+            return [a, b]
+
+        return work
+
+    own = level.select("grp", F.col("cls").alias("a"), "n", F.col("tokens").alias("s"))
+    other = level.select("grp", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("t"))
+    return map_rows(pairs.join(own, ["grp", "a"]).join(other, ["grp", "b"]).select("a", "b", "n", "m", "s", "t"), make, "a long, b long")
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """members (token, cls, n) of tokens with several classes, with held (how many) and grp (the least class)."""
-    held = members.groupBy("token").agg(F.count("*").alias("held"), F.min("cls").alias("grp")).filter("held > 1")
-    return members.join(held, "token")
+    """members (token, cls, n, near) of tokens with several classes that aren't all near, with held (how many) and least (class).
+
+    One exchange by token serves both sides; tasks have told a class once each, so copies don't weigh."""
+    members = members.repartition("token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("near").alias("near"))
+    held = members.groupBy("token").agg(F.count("*").alias("held"), F.min("cls").alias("least"), F.min("near").alias("all_near"))
+    return members.join(held.filter("held > 1 AND NOT all_near").drop("all_near"), "token")
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs a < b within small buckets whose sizes allow a link."""
+def _pairs(buckets: DataFrame, *by: str) -> DataFrame:
+    """All pairs a < b within small buckets whose sizes allow a link and that aren't both near the hub."""
     small = buckets.filter(F.col("held") <= SMALL)
-    other = small.select("token", F.col("cls").alias("b"), F.col("n").alias("m"))
+    other = small.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("near").alias("also"))
     return (
-        small.select("token", F.col("cls").alias("a"), "n")
+        small.select("token", *by, F.col("cls").alias("a"), "n", "near")
         .join(other, "token")
-        .filter(f"a < b AND {_may_link('n', 'm')}")
-        .select("a", "b")
+        .filter(f"a < b AND NOT (near AND also) AND {_may_link('n', 'm')}")
+        .select(*by, "a", "b")
         .distinct()
     )
 
 
-def links(docs: DataFrame, sigs: DataFrame, names: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sigs: DataFrame, levels: np.ndarray) -> DataFrame:
     """a, b: links between classes; enough of them that every class that links with another is connected to it."""
-    some = sigs.filter("n_shingles > 0")
-    classes = names.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    reps = some.dropDuplicates(["cls"])
-    # Below this size only equal sets are similar enough, and those are one class.
-    least_size = -(-TIMES // (PER - TIMES))
-    members = reps.filter(F.col("n_shingles") >= least_size).select(F.explode("p1").alias("token"), "cls", F.col("n_shingles").alias("n"))
+    members = sigs.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "cls", F.col("n_shingles").alias("n"), F.lit(False).alias("near"))
     buckets = written(_buckets(members), "ngram-buckets")
-    orders = [f"p{k}" for k in range(2, ORDERS + 1)]
-
-    pairs = _pairs(buckets)
-    told = some.select("cls", "k", "slack", *orders).dropDuplicates(["cls"])
-    for side in ("a", "b"):
-        pairs = pairs.join(told.select(*[F.col(c).alias(side if c == "cls" else f"{c}{side}") for c in told.columns]), side)
-    shared = F.least("ka", "kb") - F.col("slacka") - F.col("slackb")
-    for p in orders:
-        pairs = pairs.filter(F.size(F.array_intersect(f"{p}a", f"{p}b")) >= shared)
-    pairs = written(pairs.select("a", "b"), "ngram-pairs")
-    forget(sigs)
-    large = buckets.filter(F.col("held") > SMALL).select("grp", "cls").distinct()
+    pairs = written(_pairs(buckets), "ngram-pairs")
+    large = written(buckets.filter(F.col("held") > SMALL).select(F.col("least").alias("grp"), "cls").distinct(), "ngram-large")
+    forget(buckets)
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
-    sets = _sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"))
+    rows = sigs.filter("n_shingles > 0").groupBy("cls").agg(F.min("row").alias("row"))
+    sets = _sets_of(docs, rows.join(wanted, "cls"), levels)
     found = [written(_verified(pairs, sets), "ngram-links")]
+    forget(pairs)
 
-    for _ in range(LEVELS):
-        if large.isEmpty():
+    state = written(large.join(sets.select("cls", "n", "tokens"), "cls").select("grp", "cls", "n", "tokens"), "ngram-state")
+    forget(sets, large)
+    for _ in range(MOST_LEVELS):
+        if state.isEmpty():
             break
-        level = _level(large, sets)
-        # (1 + t) a(x) in whole numbers; the least of a group is linked with all that a sum <= 0 allows.
-        far = F.expr(f"{PER + TIMES} * d - {PER - TIMES} * n").alias("far")
-        known = level.filter("token IS NULL").select("grp", "cls", far)
-        least = known.groupBy("grp").agg(F.min(F.struct("far", "cls")).alias("near"))
-        found.append(
-            known.join(least, "grp").filter("far + near.far <= 0 AND cls <> near.cls").select(F.col("cls").alias("a"), F.col("near.cls").alias("b"))
-        )
-        buckets = written(_buckets(level.filter("token IS NOT NULL").select("token", "cls", "n").distinct()), "ngram-buckets")
-        again = written(_pairs(buckets).join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")  # those of before are told
-        found.append(written(_verified(again, sets), "ngram-links"))
-        large = buckets.filter(F.col("held") > SMALL).select("grp", "cls").distinct()
+        level = _level(state)
+        forget(state)
+        least = level.groupBy("grp").agg(F.min(F.struct("far", "cls")).alias("hub"))
+        hubs = level.select("grp", "cls", "n", "far", "keys").join(least, "grp")
+        near = F.col("far") + F.col("hub.far") <= 0
+        told = written(hubs.select("grp", "cls", "n", near.alias("near"), F.col("hub.cls").alias("hub"), "keys"), "ngram-hubs")
+        found.append(written(told.filter("near AND cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "ngram-links"))
+        # A token of this level belongs to its group: its name is that of both.
+        token = F.xxhash64("grp", "key").alias("token")
+        rows = told.select("grp", "cls", "n", "near", F.explode("keys").alias("key"))
+        groups = rows.select(token, "grp").distinct()
+        buckets = written(_buckets(rows.select(token, "cls", "n", "near")).join(groups, "token"), "ngram-buckets")
+        found.append(written(_close(_pairs(buckets, "grp"), level), "ngram-links"))
+        again = buckets.filter(F.col("held") > SMALL).select("token", "grp", "cls")
+        state = written(again.join(level, ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens"), "ngram-state")
+        forget(level, told, buckets)
     else:
-        if not large.isEmpty():  # what is left after so many levels: all pairs of its buckets
-            found.append(_verified(_pairs(buckets.withColumn("held", F.lit(0))), sets))
+        raise RuntimeError("groups did not become small")
     made = found[0]
     for part in found[1:]:
         made = made.unionByName(part)
     return made
 
 
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, root (a class) for every row; rows without words have none."""
+    levels = token_levels(docs)
+    sigs = written(signatures(docs, levels), "ngram-signatures")
+    names = written(sigs.select("doc_id", "row", "n_shingles", "cls"), "ngram-names")
+    found = links(docs, sigs, levels)
+    roots = written(components(found), "ngram-roots")
+    forget(sigs)
+    rows = names.join(roots, F.col("cls") == F.col("node"), "left")
+    return rows.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")).alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    frequent = frequent_tokens(docs)
-    sigs = written(signatures(docs, frequent), "ngram-signatures")
-    names = written(sigs.select("doc_id", "n_shingles", "cls"), "ngram-names")
-    roots = written(components(links(docs, sigs, names)), "ngram-roots")
-    rows = names.join(roots, F.col("cls") == F.col("node"), "left")
-    named = rows.select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
-    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.filter("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(
-        named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = _components(docs)
+    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.filter("root IS NOT NULL").join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(
+        named.filter("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, of which every component keeps one: the row of least doc_id (null last), then of least text hash,
+    and one of the rows that are equal in both.  Rows without words stay."""
+    named = written(_components(docs).filter("root IS NOT NULL"), "ngram-named")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    keys = named.groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
+    keepers = named.groupBy("root").agg(F.min(rank).alias("keep"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row") == F.col("keep.row"))
+    # Only rows that go, and those of which several are equal, are looked up.
+    odd = keys.join(keepers, "root").filter(~stays | (F.col("n") > 1))
+    mark = "_".join(["odd", *docs.columns])  # no column has this name
+    told = odd.select(F.struct(F.col("doc_id").alias("id"), "row", (~stays).alias("goes")).alias(mark))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tagged = docs.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}.id")) & (F.xxhash64(text) == F.col(f"{mark}.row")), "left")
+    alone = tagged.filter(F.col(mark).isNull()).drop(mark)
+    several = tagged.filter(~F.col(f"{mark}.goes"))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    one = several.groupBy(F.col(f"{mark}.id"), F.col(f"{mark}.row")).agg(F.first(whole).alias(mark))
+    return alone.union(one.select(*[F.col(f"{mark}.c{i}").alias(c) for i, c in enumerate(docs.columns)]))

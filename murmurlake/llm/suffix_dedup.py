@@ -19,7 +19,6 @@ occurrences of each other and both go; a null doc_id is a name like others; an e
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -287,12 +286,6 @@ def _indexed(fragments: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, rid long, lo int, windows int")
 
 
-def _free(docs: DataFrame) -> None:
-    """Let Spark drop the shuffle files of queries that are over."""
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, rid, lo, windows: runs of window starts whose string starts elsewhere too."""
     units, found = _units(docs), []
@@ -317,11 +310,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
                     "repeats-whole",
                 )
             )
-        _free(docs)
         mixed = told.filter("mixed")
         few = written(_fragments(docs, mixed.filter(F.col("kinds") <= hot), length), "repeats-bytes")
         found.append(written(_indexed(few, length), "repeats-indexed"))
-        _free(docs)
         many = mixed.filter(F.col("kinds") > hot)
         if k == length or many.isEmpty():
             break

@@ -299,6 +299,36 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     assert counted(ngram_join.near_duplicates(table(spark, rows)).collect()) == counted(components_of(rows))
 
 
+def test_ngram_join_of_rows_without_ids(spark):
+    """Null ids link, also where they alone connect two others; long documents, and ids that several texts share."""
+    rng = random.Random(21)
+    base = words(rng, 200, 10**6).split()
+    near = [*base[:-6], *(f"x{i}" for i in range(6))]
+    far = [*(f"y{i}" for i in range(6)), *base[6:]]
+    long = words(rng, 20_000, 10**6)
+    rows = [(None, " ".join(base)), (5, " ".join(near)), (6, " ".join(near + ["tail"])), (9, " ".join(far)), (4, long), (3, long + " end"), (3, "a b c"), (None, None), (8, "a b c")]
+    want = components_of([(i, t or "") for i, t in rows])
+    assert counted(ngram_join.near_duplicates(table(spark, rows)).collect()) == counted(want)
+    kept = ngram_join.one_of_each(table(spark, [*rows, (8, "  A b C"), (3, long + " end")]))
+    assert kept.columns == table(spark, []).columns
+    assert counted((r["doc_id"], r["text"] and len(r["text"])) for r in kept.collect()) == counted([(5, len(" ".join(near))), (3, len(long) + 4), (3, 5), (None, None)])
+
+
+def test_token_levels(spark, docs, none):
+    """Exact counts behind the table: a slot's level is that of its most frequent token."""
+    n = collections.Counter()
+    sets = {s.tobytes(): s for s in ngram_join.shingles([t.encode() for _, t in rows_of(docs)], ngram_join.Powers())}.values()
+    for s in sets:
+        n.update(s.tolist())
+    got, want = ngram_join.token_levels(docs), collections.Counter()
+    for t, k in n.items():
+        if k > 1:
+            want[t >> 42] = max(want[t >> 42], round(8 * np.log2(k)))
+    seen = {i: int(got[i]) for i in np.flatnonzero(got).tolist()}
+    assert set(seen) >= set(want) and all(seen[i] >= v for i, v in want.items())
+    assert not ngram_join.token_levels(none).any()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
