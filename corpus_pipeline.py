@@ -31,11 +31,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links the one with the least doc_id stays."""
-    groups = ngram_join.near_duplicates(docs)
-    name = "_".join(["gone", *docs.columns])  # no column has this name
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    """Of documents connected by links one row stays, of least doc_id."""
+    return ngram_join.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
