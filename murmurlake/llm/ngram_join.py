@@ -3,7 +3,7 @@
 A document is the set of its distinct three-word shingles, as 64-bit hashes.  Documents with one set are one *class*, named by 64 bits of
 the set, and classes are joined.  Two sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t * n) + 1``
 tokens of each, under any total order of tokens, so a pair must do so under all of ``ORDERS`` orders; with k - 1 more tokens in both
-prefixes it must share k.  Every order puts rare tokens first and breaks ties by its own hash.  How frequent a token is comes from exact
+prefixes it must share k (``depth_of``).  Every order puts rare tokens first and breaks ties by its own hash.  How frequent a token is comes from exact
 counts over all documents (``token_levels``), kept in a table of bounded size where tokens may collide, which decides speed, never
 results.  The first order deals classes to the tokens of their prefixes; candidates that differ too much in size, or don't share enough
 under another order, go before any set is compared.
@@ -15,7 +15,8 @@ a(x) + a(y) <= 0 always links, and both link to the class of least a, the *hub*,
 other pair that links shares an element of the differences' prefixes.  These elements are the tokens of a next level, whose sets are the
 differences: small buckets make pairs, verified on differences alone, large ones are groups again.  What a large bucket shares is
 in its pivot, so every level leaves less; levels go on until no token is large.  Classes that are all linked with the hub need no more
-levels.  Rows follow the sizes of the sets, never the square of a group.
+levels, and a pair is looked for in the bucket of its first common element only: what stands before that element in a difference is *barred*,
+as it can't be common, and shortens the prefix.  Rows follow the sizes of the sets, never the square of a group.
 
 Edge cases: texts without words (null, empty, white space) have an empty set and are linked with nothing; rows that repeat
 a doc_id with other words are rows of their own; a row without doc_id links and connects others, and gets the least id of its
@@ -131,6 +132,11 @@ def class_of(tokens: np.ndarray) -> int:
     return int(made.view(np.int64)[0])
 
 
+def depth_of(p: int) -> int:
+    """How many tokens two sets must share in prefixes that are longer by one less."""
+    return max(1, p // 3)
+
+
 def _encoded(texts: list) -> list[bytes]:
     return [(t or "").encode() for t in texts]
 
@@ -244,7 +250,7 @@ def _in_order(tokens: np.ndarray, levels: np.ndarray, turn: int, p: int) -> np.n
 
 
 def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, row, n_shingles, cls, prefix (under the first order; for a class only once a task, its other rows have none)."""
+    """doc_id, row, n_shingles, cls, k (tokens to share), prefix (under the first order; for a class only once a task, its other rows have none)."""
     #: Below this size only equal sets are similar enough, and those are one class.
     least_size = -(-TIMES // (PER - TIMES))
 
@@ -253,18 +259,20 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
         def work(columns: list) -> list:
             sets = shingles(_encoded(columns[2]), powers)
-            names, prefixes = list(map(class_of, sets)), []
+            names, prefixes, depths = list(map(class_of, sets)), [], []
             for s, name in zip(sets, names, strict=True):
                 fresh = len(s) >= least_size and name not in seen
-                prefixes.append(_in_order(s, levels, 0, prefix_length(len(s))).view(np.int64) if fresh else None)
+                p = prefix_length(len(s)) if len(s) else 0
+                depths.append(depth_of(p))
+                prefixes.append(_in_order(s, levels, 0, p + depths[-1] - 1).view(np.int64) if fresh else None)
                 seen.add(name)
             if len(seen) > 500_000:
                 seen.clear()
-            return [columns[0], columns[1], list(map(len, sets)), names, prefixes]
+            return [columns[0], columns[1], list(map(len, sets)), names, depths, prefixes]
 
         return work
 
-    return map_rows(_rows_of(docs), make, "doc_id long, row long, n_shingles long, cls long, prefix array<long>")
+    return map_rows(_rows_of(docs), make, "doc_id long, row long, n_shingles long, cls long, k int, prefix array<long>")
 
 
 def _may_link(n: str, m: str) -> str:
@@ -297,13 +305,23 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFram
 
         return work
 
-    mine = wanted.select(F.col("row").alias("wanted_row"), F.col("cls").alias("wanted_cls"))
-    if mine.count() <= MAX_BROADCAST:
-        mine = F.broadcast(mine)
-    texts = _rows_of(docs).join(mine, F.col("row") == F.col("wanted_row")).select("wanted_cls", "text")
+    wanted = written(wanted.select("row", F.col("doc_id").alias("id"), F.col("cls").alias("wanted_cls")), "ngram-wanted")
+    rows = _rows_of(docs)
+    here = (rows["row"] == wanted["row"]) & rows["doc_id"].eqNullSafe(wanted["id"])
+    texts = rows.join(_told(wanted), here).select("wanted_cls", "text")
     kinds = ", ".join(f"p{k} array<int>" for k in range(2, ORDERS + 1))
     made = map_rows(texts, make, f"wanted_cls long, cls long, n long, tokens binary, k int, slack int, {kinds}")
-    return written(made.filter("cls = wanted_cls").drop("wanted_cls").dropDuplicates(["cls"]), "ngram-sets")
+    made = written(made.filter("cls = wanted_cls").drop("wanted_cls"), "ngram-sets")
+    if made.count() > wanted.count():  # rows that are equal in id and text
+        several, made = made, written(made.dropDuplicates(["cls"]), "ngram-sets")
+        forget(several)
+    forget(wanted)
+    return made
+
+
+def _told(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few rows of a few numbers each; else joins shuffle."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
 
 
 def _set(data: bytes) -> np.ndarray:
@@ -382,28 +400,33 @@ def _pivots(rows: DataFrame) -> DataFrame:
 
 
 def _level(rows: DataFrame) -> DataFrame:
-    """grp, cls, n, tokens (the difference to the pivot of the group), far ((1 + t) a(x) in whole numbers), keys (its prefix)."""
+    """grp, cls, n, tokens (the difference to the pivot of the group), far ((1 + t) a(x) in whole numbers), barred (elements of the
+    difference that no partner shares), n_free (how many others there are), keys (their prefix)."""
 
     def make():
         def work(columns: list) -> list:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for grp, cls, n, tokens, base in zip(*columns, strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            for grp, cls, n, tokens, barred, base in zip(*columns, strict=True):
                 pivot = np.sort(np.array(base or [], dtype=np.int64).view(np.uint64))
                 own = _set(tokens)
                 new, gone = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
                 diff = np.sort(np.concatenate([new, gone]))
+                # That no partner has an element of the old difference says nothing about the new one where the pivot holds it.
+                bar = np.setdiff1d(np.array(barred or [], dtype=np.int64).view(np.uint64), pivot)
                 # A partner is at most PER/TIMES as large: |D(x) - D(y)| <= c(|x| + |y|) <= n * (PER - TIMES) / TIMES.
-                most = (PER - TIMES) * n // TIMES
-                keys = np.concatenate([new, gone])[: most + 1]  # new ones are rarer, they come first
-                values = (grp, cls, n, diff.tobytes(), (PER + TIMES) * len(diff) - (PER - TIMES) * n, keys.view(np.int64))
+                most = (PER - TIMES) * n // TIMES - len(bar)
+                free = np.concatenate([np.setdiff1d(new, bar, assume_unique=True), gone])  # new ones are rarer, they come first
+                keys = free[: max(0, most + 1)].view(np.int64)
+                values = (grp, cls, n, diff.tobytes(), (PER + TIMES) * len(diff) - (PER - TIMES) * n, bar.view(np.int64), len(free), keys)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             return list(out)
 
         return work
 
-    based = rows.join(_pivots(rows), "grp", "left").select("grp", "cls", "n", "tokens", "base")
-    return written(map_rows(based, make, "grp long, cls long, n long, tokens binary, far long, keys array<long>"), "ngram-level")
+    based = rows.join(_pivots(rows), "grp", "left").select("grp", "cls", "n", "tokens", "barred", "base")
+    kind = "grp long, cls long, n long, tokens binary, far long, barred array<long>, n_free int, keys array<long>"
+    return written(map_rows(based, make, kind), "ngram-level")
 
 
 def _close(pairs: DataFrame, level: DataFrame) -> DataFrame:
@@ -427,42 +450,51 @@ def _close(pairs: DataFrame, level: DataFrame) -> DataFrame:
     return map_rows(pairs.join(own, ["grp", "a"]).join(other, ["grp", "b"]).select("a", "b", "n", "m", "s", "t"), make, "a long, b long")
 
 
-def _buckets(members: DataFrame) -> DataFrame:
+def _buckets(members: DataFrame, *more: str) -> DataFrame:
     """members (token, cls, n, near) of tokens with several classes that aren't all near, with held (how many) and least (class).
 
     One exchange by token serves both sides; tasks have told a class once each, so copies don't weigh."""
-    members = members.repartition("token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("near").alias("near"))
+    told = [F.first(c).alias(c) for c in ("n", "near", *more)]
+    members = members.repartition("token").groupBy("token", "cls").agg(*told)
     held = members.groupBy("token").agg(F.count("*").alias("held"), F.min("cls").alias("least"), F.min("near").alias("all_near"))
     return members.join(held.filter("held > 1 AND NOT all_near").drop("all_near"), "token")
 
 
 def _pairs(buckets: DataFrame, *by: str) -> DataFrame:
-    """All pairs a < b within small buckets whose sizes allow a link and that aren't both near the hub."""
+    """All pairs a < b within small buckets whose sizes allow a link and that aren't both near the hub, with shared (how many buckets)."""
     small = buckets.filter(F.col("held") <= SMALL)
     other = small.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("near").alias("also"))
     return (
         small.select("token", *by, F.col("cls").alias("a"), "n", "near")
         .join(other, "token")
         .filter(f"a < b AND NOT (near AND also) AND {_may_link('n', 'm')}")
-        .select(*by, "a", "b")
-        .distinct()
+        .groupBy(*by, "a", "b")
+        .agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     )
 
 
+def _depth(n: str) -> str:
+    """``depth_of(prefix_length(n))`` in SQL."""
+    return f"greatest(1, ({n} - ({TIMES} * {n} + {PER - 1}) DIV {PER} + 1) DIV 3)"
+
+
 def links(docs: DataFrame, sigs: DataFrame, levels: np.ndarray) -> DataFrame:
     """a, b: links between classes; enough of them that every class that links with another is connected to it."""
     members = sigs.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "cls", F.col("n_shingles").alias("n"), F.lit(False).alias("near"))
     buckets = written(_buckets(members), "ngram-buckets")
-    pairs = written(_pairs(buckets), "ngram-pairs")
+    # A pair that shares a large token is told by its group; any other must share enough small ones.
+    enough = F.col("shared") >= F.expr(f"least({_depth('n')}, {_depth('m')})")
+    pairs = written(_pairs(buckets).filter(enough).select("a", "b"), "ngram-pairs")
     large = written(buckets.filter(F.col("held") > SMALL).select(F.col("least").alias("grp"), "cls").distinct(), "ngram-large")
     forget(buckets)
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
-    rows = sigs.filter("n_shingles > 0").groupBy("cls").agg(F.min("row").alias("row"))
+    rows = sigs.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("row", "doc_id")).alias("one")).select("cls", "one.row", "one.doc_id")
     sets = _sets_of(docs, rows.join(wanted, "cls"), levels)
     found = [written(_verified(pairs, sets), "ngram-links")]
     forget(pairs)
 
-    state = written(large.join(sets.select("cls", "n", "tokens"), "cls").select("grp", "cls", "n", "tokens"), "ngram-state")
+    none = F.array().cast("array<bigint>").alias("barred")
+    state = written(large.join(sets.select("cls", "n", "tokens"), "cls").select("grp", "cls", "n", "tokens", none), "ngram-state")
     forget(sets, large)
     for _ in range(MOST_LEVELS):
         if state.isEmpty():
@@ -470,18 +502,20 @@ def links(docs: DataFrame, sigs: DataFrame, levels: np.ndarray) -> DataFrame:
         level = _level(state)
         forget(state)
         least = level.groupBy("grp").agg(F.min(F.struct("far", "cls")).alias("hub"))
-        hubs = level.select("grp", "cls", "n", "far", "keys").join(least, "grp")
+        # Two differences share at least (a(x) + a(y)) / 2 elements, so prefixes may leave out one less of the last ones.
+        common = F.expr(f"greatest(1, ceil((far + hub.far) / {2 * (PER + TIMES)}))").cast("int")
+        keys = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(F.size("keys"), F.col("n_free") - common + 1)))
+        hubs = level.select("grp", "cls", "n", "far", "n_free", "keys").join(least, "grp")
         near = F.col("far") + F.col("hub.far") <= 0
-        told = written(hubs.select("grp", "cls", "n", near.alias("near"), F.col("hub.cls").alias("hub"), "keys"), "ngram-hubs")
+        told = written(hubs.select("grp", "cls", "n", near.alias("near"), F.col("hub.cls").alias("hub"), keys.alias("keys")), "ngram-hubs")
         found.append(written(told.filter("near AND cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "ngram-links"))
         # A token of this level belongs to its group: its name is that of both.
-        token = F.xxhash64("grp", "key").alias("token")
         rows = told.select("grp", "cls", "n", "near", F.explode("keys").alias("key"))
-        groups = rows.select(token, "grp").distinct()
-        buckets = written(_buckets(rows.select(token, "cls", "n", "near")).join(groups, "token"), "ngram-buckets")
-        found.append(written(_close(_pairs(buckets, "grp"), level), "ngram-links"))
-        again = buckets.filter(F.col("held") > SMALL).select("token", "grp", "cls")
-        state = written(again.join(level, ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens"), "ngram-state")
+        buckets = written(_buckets(rows.withColumn("token", F.xxhash64("grp", "key")), "grp", "key"), "ngram-buckets")
+        found.append(written(_close(_pairs(buckets, "grp").select("grp", "a", "b"), level), "ngram-links"))
+        again = buckets.filter(F.col("held") > SMALL).select("token", "grp", "key", "cls")
+        before = F.expr("concat(barred, slice(keys, 1, greatest(0, cast(array_position(keys, key) AS INT) - 1)))").alias("barred")
+        state = written(again.join(level, ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens", before), "ngram-state")
         forget(level, told, buckets)
     else:
         raise RuntimeError("groups did not become small")
@@ -491,31 +525,35 @@ def links(docs: DataFrame, sigs: DataFrame, levels: np.ndarray) -> DataFrame:
     return made
 
 
-def _components(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_shingles, root (a class) for every row; rows without words have none."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, row, n_shingles, cls; all of them), and the roots (node, root; of classes that link with others)."""
     levels = token_levels(docs)
     sigs = written(signatures(docs, levels), "ngram-signatures")
     names = written(sigs.select("doc_id", "row", "n_shingles", "cls"), "ngram-names")
-    found = links(docs, sigs, levels)
-    roots = written(components(found), "ngram-roots")
+    roots = written(components(links(docs, sigs, levels)), "ngram-roots")
     forget(sigs)
-    rows = names.join(roots, F.col("cls") == F.col("node"), "left")
-    return rows.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")).alias("root"))
+    return names, roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    named = _components(docs)
-    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.filter("root IS NOT NULL").join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(
-        named.filter("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    )
+    names, roots = _classes(docs)
+    # By class first: a class or component with a large share of all rows is one row a task.
+    held = names.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    rooted = held.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", "rows", "root")
+    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))
+    several = rooted.filter("rows > 1 OR root IS NOT NULL").join(least, "root", "left")
+    found = written(several.select(F.col("cls").alias("of"), F.coalesce("of_root", "least").alias("found")), "ngram-components")
+    rows = names.join(_told(found), (F.col("cls") == F.col("of")) & (F.col("n_shingles") > 0), "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("of").isNotNull(), F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, of which every component keeps one: the row of least doc_id (null last), then of least text hash,
     and one of the rows that are equal in both.  Rows without words stay."""
-    named = written(_components(docs).filter("root IS NOT NULL"), "ngram-named")
+    names, roots = _classes(docs)
+    named = names.filter("n_shingles > 0").join(roots, F.col("cls") == F.col("node"), "left")
+    named = written(named.select("doc_id", "row", F.coalesce("root", "cls").alias("root")), "ngram-named")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     keys = named.groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
     keepers = named.groupBy("root").agg(F.min(rank).alias("keep"))
