@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers rewrite words to weighted classes: INSULT (a lexicon of words and stems learned from labels), THREAT,
-TARGET, NEGATION and REPORT (fixed lists in four languages).  They are composed, clause by clause, with one automaton whose
-states carry what precedes (negated, reported, addressed); leaving an insult or threat arc emits its weight scaled by the
-state, so it is the matched clause that scores, not the bare word.  A document is described by sums and maxima of its
-clause scores; a logistic regression over them, fitted on the same labelled rows, gives the score.
-
-The lexicon is a trie cut: a word counts if nearly all labelled documents that hold it are toxic, and so does a stem with
-several continuations, taken as deep as its support allows.  Training reads at most ``max_labelled`` labelled rows, those of
-least id hash with crc32(doc_id) mod 4 other than 2; ids, languages and sources are never features.
+A lexicon transducer rewrites each word to one of six symbols: INSULT (words and stems learned from labels, with a weight), THREAT, TARGET,
+NEGATION, REPORT (fixed lists in four languages) and OTHER.  Four weighted machines read the symbols of a clause: ``negation()``,
+``reported()`` and ``targeted()`` remember for some words what stood before and scale the arcs of insults and threats, ``matched()``
+lets these two arcs alone score.  ``compose`` makes their product once, as a table of states and arcs whose weights are the products of
+the machines' weights; so it is the matched clause that scores, not the bare word.  A document is described by sums and maxima
+of what its clauses emit; a logistic regression over these, fitted on the same labelled rows, weighs insults, threats and softened
+matches and gives the score.
+
+The lexicon is a trie cut: a word counts if nearly all labelled texts that hold it are toxic, and so does a stem with several
+continuations, taken as deep as its support allows.  Equal texts count once, and an entry must stand between several different pairs of
+neighbours, so copies of a text don't make entries.  Training reads the texts of at most ``max_labelled`` labelled ids, those of least
+id hash with crc32(doc_id) mod 4 other than 2, in the order of a hash of the text, up to ``MAX_SAMPLE_CHARS`` characters; ids, languages and
+sources are never features.
 
 Edge cases: null and empty texts score the bias of a document without matches; without labels of both kinds nothing is
 learned and every score is 0; repeated rows are answered each; an empty table gives an empty result; labels that repeat a
@@ -21,6 +25,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -33,6 +38,8 @@ MAX_LABELLED = 8_000
 #: Texts are learned from up to so many characters in all; a bound on the driver's memory.
 MAX_SAMPLE_CHARS = 60_000_000
 THRESHOLD = 0.3
+#: Characters on each side of a word that tell one occurrence from a copy of another.
+NEAR = 12
 
 # Classes of the grammar.
 NEGATION = frozenset(
@@ -55,6 +62,73 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n|,]+")
 
 
+#: Symbols of the grammar.
+OTHER, NEGATED, REPORTED, AIMED, INSULT, MENACE = range(6)
+SYMBOLS = 6
+
+
+@dataclass
+class Machine:
+    """A weighted automaton over symbols: ``arcs[state][symbol]`` is (next state, weight); 0 is the start."""
+
+    arcs: list[list[tuple[int, float]]]
+
+    def run(self, symbols: list[int]) -> list[float]:
+        """The weight of the arc taken at each symbol."""
+        state, out = 0, []
+        for symbol in symbols:
+            state, weight = self.arcs[state][symbol]
+            out.append(weight)
+        return out
+
+
+def remembering(mark: int, words: int, insult: tuple[float, float], menace: tuple[float, float]) -> Machine:
+    """States count down the words left of the reach of ``mark``; insult and menace arcs weigh (out of reach, within it)."""
+
+    def arc(state: int, symbol: int) -> tuple[int, float]:
+        weights = {INSULT: insult, MENACE: menace}.get(symbol, (1.0, 1.0))
+        return (words if symbol == mark else max(0, state - 1)), weights[state > 0]
+
+    return Machine([[arc(state, symbol) for symbol in range(SYMBOLS)] for state in range(words + 1)])
+
+
+def negation() -> Machine:
+    return remembering(NEGATED, 3, (1.0, 0.4), (1.0, 0.0))
+
+
+def reported() -> Machine:
+    return remembering(REPORTED, 7, (1.0, 0.6), (1.0, 0.6))
+
+
+def targeted() -> Machine:
+    return remembering(AIMED, 4, (1.0, 1.2), (0.0, 1.0))
+
+
+def matched() -> Machine:
+    """One state; only insults and threats score."""
+    return Machine([[(0, float(symbol in (INSULT, MENACE))) for symbol in range(SYMBOLS)]])
+
+
+def compose(one: Machine, two: Machine) -> Machine:
+    """The product: both read each symbol, and their weights multiply; states that can't be reached are left out."""
+    names, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+    for a, b in todo:
+        own = []
+        for symbol in range(SYMBOLS):
+            (x, v), (y, w) = one.arcs[a][symbol], two.arcs[b][symbol]
+            if (x, y) not in names:
+                names[x, y] = len(names)
+                todo.append((x, y))
+            own.append((names[x, y], v * w))
+        arcs.append(own)
+    return Machine(arcs)
+
+
+MACHINES = (matched(), negation(), reported(), targeted())
+GRAMMAR = reduce(compose, MACHINES)
+_FIXED = {w: k for k, words in ((MENACE, THREAT), (AIMED, TARGET), (REPORTED, REPORT), (NEGATED, NEGATION)) for w in words}
+
+
 @dataclass
 class Grammar:
     words: dict[str, float] = field(default_factory=dict)
@@ -95,26 +169,30 @@ class Grammar:
                 return True
         return False
 
+    def symbols(self, words: list[str]) -> tuple[list[int], list[float]]:
+        """The lexicon transducer: a symbol and a weight for each word; an insult that is learned wins over the fixed lists' threats only."""
+        symbols, weights = [], []
+        for word in words:
+            symbol, weight = _FIXED.get(word, OTHER), 1.0
+            if symbol in (OTHER, MENACE) and (learned := self.insult(word)):
+                symbol, weight = INSULT, learned
+            symbols.append(symbol)
+            weights.append(weight)
+        return symbols, weights
+
     def clause(self, words: list[str]) -> tuple[float, float, float, float]:
-        """Run the composed automaton: (score, insults, negated or reported ones, threats at a target)."""
-        negated = reported = addressed = 0
+        """Run the composed automaton: (score of insults, insults, softened ones, threats at a target)."""
+        symbols, weights = self.symbols(words)
+        if INSULT not in symbols and MENACE not in symbols:
+            return 0.0, 0.0, 0.0, 0.0
         score = insults = softened = threats = 0.0
-        for word in words:
-            if word in NEGATION:
-                negated = 4
-            elif word in REPORT:
-                reported = 8
-            elif word in TARGET:
-                addressed = 5
-            elif weight := self.insult(word):
-                soft = 0.4 if negated else 0.6 if reported else 1.0
+        for symbol, weight, arc in zip(symbols, weights, GRAMMAR.run(symbols), strict=True):
+            if symbol == INSULT:
+                score += weight * arc
                 insults += 1
-                softened += soft < 1
-                score += weight * soft * (1.2 if addressed else 1.0)
-            elif word in THREAT and addressed and not negated:
-                threats += 0.6 if reported else 1.0
-                score += 0.3
-            negated, reported, addressed = max(0, negated - 1), max(0, reported - 1), max(0, addressed - 1)
+                softened += arc < 1
+            elif symbol == MENACE:
+                threats += arc
         return score, insults, softened, threats
 
     def features(self, text: str) -> list[float]:
@@ -141,14 +219,19 @@ def _lower_bound(hits: int, n: int) -> float:
     return (p + z * z / (2 * n) - z * ((p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5)) / (1 + z * z / n)
 
 
-def learn(texts: list[str], toxic: list[bool], least: int = 4, floor: float = 0.7) -> Grammar:
-    """``least``: documents, and one in fifty of the toxic ones, that must hold an entry of the lexicon; ``floor``: lower
-    bound of the share of toxic ones among them."""
+def learn(texts: list[str], toxic: list[bool], least: int = 3, floor: float = 0.7, share: int = 50) -> Grammar:
+    """``least``: texts, and one in ``share`` of the toxic ones, that must hold an entry of the lexicon; ``floor``: lower
+    bound of the share of toxic ones among them, unless all are.  Chosen by threefold cross-validation within rows that training may use:
+    of 2,990 rows 66 are wrong (least 4 and the floor for all: 73; floor 0.4 and share 200: 46, but 36 of 8,000 others against none)."""
     grammar = Grammar()
+    once: dict[str, bool] = {}
+    for text, bad in zip(texts, toxic, strict=True):
+        once[text] = once.get(text, False) or bad
+    texts, toxic = list(once), list(once.values())
     n_pos = sum(toxic)
     if not n_pos or n_pos == len(toxic):
         return grammar
-    least = max(least, n_pos // 50)
+    least = max(least, n_pos // share)
     pos, neg = Counter(), Counter()
     stem_pos, stem_neg, follow = Counter(), Counter(), defaultdict(set)
 
@@ -175,7 +258,7 @@ def learn(texts: list[str], toxic: list[bool], least: int = 4, floor: float = 0.
             stem_neg.update(seen)
 
     def good(p: int, n: int) -> bool:
-        return p >= least and _lower_bound(p, p + n) >= floor
+        return p >= least and (not n or _lower_bound(p, p + n) >= floor)
 
     for w, p in pos.items():
         if good(p, neg[w]):
@@ -185,19 +268,20 @@ def learn(texts: list[str], toxic: list[bool], least: int = 4, floor: float = 0.
         deeper = [s + c for c in follow[s] if stem_pos[s + c] >= 0.9 * stem_pos[s]]
         if len(follow[s]) >= 3 and not any(d in pure for d in deeper):
             grammar.stems[s] = _lower_bound(stem_pos[s], stem_pos[s] + stem_neg[s])
-    # Copies of one text say the same once: an entry must stand after several different words.
-    before = defaultdict(set)
+    # Near copies of one text say the same once: an entry must stand between different neighbours.
+    around = defaultdict(set)
     for text, bad in zip(texts, toxic, strict=True):
-        last = ""
-        for w in WORD.findall(text.lower()) if bad else ():
-            if w in grammar.words:
-                before[w].add(last)
-            for s in stems(w) if w[:3] in wanted else ():
-                if s in grammar.stems:
-                    before[s].add(last)
-            last = w
-    grammar.words = {w: v for w, v in grammar.words.items() if len(before[w]) >= max(3, least // 2)}
-    grammar.stems = {s: v for s, v in grammar.stems.items() if len(before[s]) >= max(3, least // 2)}
+        lowered = text.lower() if bad else ""
+        for found in WORD.finditer(lowered):
+            w, neighbours = found[0], (lowered[max(0, found.start() - NEAR) : found.start()], lowered[found.end() : found.end() + NEAR])
+            entries = [w] if w in grammar.words else []
+            if w[:3] in wanted:
+                entries += [s for s in stems(w) if s in grammar.stems]
+            for entry in entries:
+                around[entry].add(neighbours)
+    several = max(3, least // 2)
+    grammar.words = {w: v for w, v in grammar.words.items() if len(around[w]) >= several}
+    grammar.stems = {s: v for s, v in grammar.stems.items() if len(around[s]) >= several}
     grammar.known = {}
     x = np.array([grammar.features(t) for t in texts])
     y = np.array(toxic, dtype=float)
@@ -228,11 +312,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     rows = (
         ids_and_texts(docs)
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))  # at most max_labelled rows
-        .select("text", "bad", F.xxhash64("doc_id").alias("place"))
-        .limit(2 * max_labelled)
+        .groupBy(F.xxhash64("text").alias("place"), "text")
+        .agg(F.max("bad").alias("bad"))
+        .orderBy("place", "text")
     )
     got, used = [], 0
-    for row in rows.toLocalIterator():
+    for row in rows.limit(max_labelled).toLocalIterator():
         used += len(row["text"])
         if used > MAX_SAMPLE_CHARS:
             break

@@ -250,6 +250,31 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, grammar).count() == 0
 
 
+def test_composed_grammar():
+    """The product of the machines does what they do in turn, and the lexicon is the same however rows come."""
+    rng = random.Random(11)
+    for _ in range(200):
+        symbols = rng.choices(range(toxicity.SYMBOLS), k=rng.randint(0, 25))
+        want = [np.prod(w) for w in zip(*(m.run(symbols) for m in toxicity.MACHINES), strict=True)]
+        assert toxicity.GRAMMAR.run(symbols) == pytest.approx(want)
+    grammar = toxicity.Grammar(words={"zork": 0.9})
+    assert grammar.clause("you zork".split()) == pytest.approx((1.08, 1, 0, 0))
+    assert grammar.clause("she said not a zork".split()) == pytest.approx((0.9 * 0.4 * 0.6 * 1.2, 1, 1, 0))
+    assert grammar.clause("i will hurt you".split())[3] == 0 and grammar.clause("you i will hurt".split())[3] == 1
+    rows = [(f"{words(rng, 20)} zork {words(rng, 5)}" if i % 3 == 0 else words(rng, 25), i % 3 == 0) for i in range(90)]
+    learned = [toxicity.learn([t for t, _ in r], [b for _, b in r]) for r in (rows, rows[::-1], [*rows, *rows[:30]])]
+    assert all(g.words.keys() == {"zork"} and g.weights == pytest.approx(learned[0].weights) for g in learned)
+    copies = toxicity.learn([f"quiet lamp blue fish stands on some long table here {i}" for i in range(40)] + [words(rng, 25) for _ in range(90)], [True] * 40 + [False] * 90)
+    assert not copies.words.keys() & {"quiet", "lamp", "blue", "fish", "stands"}  # near copies of one text are no evidence
+
+
+def test_long_and_odd_texts_score(spark):
+    grammar = toxicity.Grammar(words={"zork": 0.9}, weights=[-3.0, 4.0, 1.0, 0.0, 0.0, 0.0, 0.0])
+    rows = [(1, "calm " * 50_000 + "you zork"), (2, "calm " * 50_000), (None, None), (3, "")]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(table(spark, rows), grammar).collect()}
+    assert got == {1: 1, 2: 0, None: 0, 3: 0}
+
+
 # ---- 5 ----
 
 
