@@ -23,7 +23,6 @@ Edge cases: null, empty and white-space texts and items match nothing; repeated
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.llm.common import chunks, ids_and_texts, map_rows
+from murmurlake.llm.common import chunks, ids_and_texts, map_rows, written
 
 SIMILARITY = 0.8
 SIZES = (48, 24, 12)
@@ -45,11 +44,14 @@ SEED = 20_240_917
 SHARE = 0.12
 #: Items whose grams are looked up at once, bytes of text that are looked up at once, and bytes of a diagonal band.
 GRAM_ITEMS, GRAM_BYTES, BAND = 400, 1 << 18, 32
-_SPACE = re.compile(r"\s+")
+#: Candidates whose pieces are compared at once.
+LANES = 256
+#: Windows that walk at once; so many stay in the processor's cache.
+WALKS = 8192
 
 
 def normal(text: str | None) -> str:
-    return _SPACE.sub(" ", (text or "").lower()).strip()
+    return " ".join((text or "").lower().split())
 
 
 def infix_distance(pattern: str, text: str) -> int:
@@ -96,6 +98,62 @@ def bounded_distance(pattern: str, text: str, most: int) -> int:
     return best
 
 
+class Pieces:
+    """Items cut into pieces of at most 64 characters, whose least distances to a region sum up to no more than the item's own.
+
+    Pieces of many candidates are compared at once, one machine word each, by the low byte of their characters: a lower bound."""
+
+    def __init__(self, items: list[str]):
+        self.edits = np.array([most_edits(len(t)) for t in items], dtype=np.int64)
+        self.first, self.sizes, rows = [0], [], []
+        for text in items:
+            n = -(-len(text) // 64)
+            for k in range(n):
+                codes = _codes(text)[k * len(text) // n : (k + 1) * len(text) // n]
+                row = np.zeros(257, dtype=np.uint64)
+                np.bitwise_or.at(row, codes, np.uint64(1) << np.arange(len(codes), dtype=np.uint64))
+                rows.append(row)
+                self.sizes.append(len(codes))
+            self.first.append(len(rows))
+        self.masks = np.array(rows).reshape(-1, 257)
+
+    def may_match(self, items: list[int], regions: list[str]) -> np.ndarray:
+        """For each item and region, False where the region can't be similar enough."""
+        out = np.zeros(len(items), dtype=bool)
+        order = sorted(range(len(items)), key=lambda i: len(regions[i]))  # regions of one length waste least
+        for part in chunks(order, LANES):
+            lane = np.concatenate([np.arange(self.first[items[i]], self.first[items[i] + 1]) for i in part])
+            own = np.repeat(np.arange(len(part)), [self.first[items[i] + 1] - self.first[items[i]] for i in part])
+            codes = np.full((max(len(regions[i]) for i in part), len(part)), 256, dtype=np.int64)
+            for k, i in enumerate(part):
+                codes[: len(regions[i]), k] = _codes(regions[i])
+            low = np.zeros(len(part), dtype=np.int64)
+            np.add.at(low, own, self._distances(lane, codes, own))
+            out[part] = low <= self.edits[[items[i] for i in part]]
+        return out
+
+    def _distances(self, lane: np.ndarray, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Myers' algorithm on all lanes; a match may start anywhere."""
+        masks, one = self.masks[lane].ravel(), np.uint64(1)
+        now = np.array(self.sizes, dtype=np.int64)[lane]
+        high = (now - 1).astype(np.uint64)
+        up, down, best = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), dtype=np.uint64), now.copy()
+        base = np.arange(len(lane)) * 257
+        for column in codes:
+            eq = masks[base + column[own]]
+            diagonal = (((eq & up) + up) ^ up) | eq | down
+            plus, minus = down | ~(diagonal | up), up & diagonal
+            now += (plus >> high & one).astype(np.int64) - (minus >> high & one).astype(np.int64)
+            np.minimum(best, now, out=best)
+            plus, minus = plus << one, minus << one
+            up, down = minus | ~(diagonal | plus), plus & diagonal
+        return best
+
+
+def _codes(text: str) -> np.ndarray:
+    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 255).astype(np.int64)
+
+
 class Embedding:
     """Walks and samples; the same for items and texts, from a fixed seed."""
 
@@ -112,6 +170,10 @@ class Embedding:
             for r in range(REPEATS):
                 for k, j in enumerate(self.places[w][r]):
                     wanted[int(j)].append((w, r, k))
+        parts = [self._block(data, starts[i : i + WALKS], ends[i : i + WALKS], sizes, wanted) for i in range(0, max(1, len(starts)), WALKS)]
+        return {w: np.concatenate([p[w] for p in parts], axis=1) for w in sizes}
+
+    def _block(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: list[int], wanted: dict) -> dict[int, np.ndarray]:
         symbols = {w: np.zeros((REPEATS, len(starts), -(-SAMPLED // 8) * 8), dtype=np.uint8) for w in sizes}
         at, ends = starts.astype(np.int32), ends.astype(np.int32)
         for j in range(max(wanted, default=-1) + 1):
@@ -252,6 +314,7 @@ class Searcher:
             for n in own:
                 by_gram[gram_size(len(self.items[n][1].encode()))].append((n, self.items[n][1]))
         self.grams = [Grams(part, q) for q, own in by_gram.items() for part in chunks(own, GRAM_ITEMS)]
+        self.pieces = Pieces([t for _, t in self.items])
         # Per size: sorted keys of all repeats with item and byte offset, and a bitmap of key prefixes.
         self.tables = {}
         for size, own in by_size.items():
@@ -305,14 +368,19 @@ class Searcher:
         encoded = [t.encode() for t in cleaned]
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         places = self.candidates(encoded).union(*(g.candidates(encoded) for g in self.grams))
+        runs = []
         for doc, n, first, last in _runs(places):
-            item, pattern = self.items[n]
-            size = len(pattern.encode())
+            size = len(self.items[n][1].encode())
             slack = size // 4 + 40
-            region = encoded[doc][max(0, first * BAND - slack) : (last + 3) * BAND + size + slack].decode("utf-8", "ignore")
-            distance = infix_distance(pattern, region) if size >= SIZES[-1] else bounded_distance(pattern, region, most_edits(len(pattern)))
-            if len(pattern) - distance >= SIMILARITY * len(pattern) and distance < out[doc].get(item, (1 << 30, 0))[0]:
-                out[doc][item] = distance, len(pattern)
+            runs.append((doc, n, encoded[doc][max(0, first * BAND - slack) : (last + 3) * BAND + size + slack].decode("utf-8", "ignore")))
+        may = self.pieces.may_match([n for _, n, _ in runs], [r for _, _, r in runs])
+        for (doc, n, region), near in zip(runs, may.tolist(), strict=True):
+            if near:
+                item, pattern = self.items[n]
+                long = len(pattern.encode()) >= SIZES[-1]
+                distance = infix_distance(pattern, region) if long else bounded_distance(pattern, region, most_edits(len(pattern)))
+                if len(pattern) - distance >= SIMILARITY * len(pattern) and distance < out[doc].get(item, (1 << 30, 0))[0]:
+                    out[doc][item] = distance, len(pattern)
         if self.short is not None:
             for doc, text in enumerate(cleaned):
                 for end, (size, own) in self.short.iter(text):
@@ -323,18 +391,19 @@ class Searcher:
         return out
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most about MAX_ITEMS; one block is held at a time by those who iterate."""
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in blocks of at most about MAX_ITEMS, and whether there are several; then each pass is a written table, so that neither
+    driver nor tasks hold more than one block."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
     n = max(1, -(-rows.count() // MAX_ITEMS))
     for block in range(n):
-        yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()]
+        yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()], n > 1
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, item_chars: every pair of a document and an item it holds."""
     made = None
-    for block in _blocks(items):
+    for block, several in _blocks(items):
 
         def make(block: list = block):
             searcher = Searcher(block)
@@ -350,6 +419,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             return work
 
         part = map_rows(ids_and_texts(docs), make, "doc_id long, item_id long, distance int, item_chars int")
+        part = written(part, "leaks") if several else part
         made = part if made is None else made.unionByName(part)
     return made.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("item_chars").alias("item_chars"))
 
@@ -357,7 +427,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item."""
     kept = docs
-    for block in _blocks(items):
+    for block, several in _blocks(items):
 
         def run(batches, block: list = block):
             import pyarrow as pa
@@ -370,4 +440,5 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                     yield part.filter(pa.array([not m for m in searcher.matches(texts)], type=pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
+        kept = written(kept, "clean") if several else kept
     return kept
