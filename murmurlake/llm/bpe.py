@@ -4,9 +4,10 @@ Encodings of byte strings form a monoid under a *join*: the encoding of ``x + y`
 and ``y`` by encoding anew a window of tokens around the seam.  A token sequence is the encoding of its bytes
 exactly if every two neighbours are, together, the encoding of their own bytes; inside ``x`` and inside ``y``
 that holds already, so a window whose outer edges pass this test against the tokens beside it proves that no
-token outside can change.  A window that fails is doubled.  Pieces (matches of the split pattern) up to
-``LEAF`` bytes are merged directly; longer ones are halved recursively, so a piece without any break costs
-O(n log n) and no quadratic merge loop sees it.  Decoding concatenates the tokens' bytes up the same tree.
+token outside can change.  A window that fails is doubled.  Pieces (matches of the split pattern) that aren't tokens are halved down to
+leaves of at most ``LEAF`` bytes, which are merged directly, and joined again up the tree, so a piece without any break costs O(n log n)
+and no quadratic merge loop sees it.  Whether two tokens stay side by side is remembered by the pair, and so are the windows' encodings
+(by the two tokens at the seam for the smallest window).  Decoding concatenates halves up the same tree, down to ``LEAF`` tokens.
 
 Edge cases: null and empty texts give zero tokens and the digest of the empty string; repeated rows and ties
 are answered row by row; an empty table gives an empty result; other columns are ignored.
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 
 from murmurlake.llm.common import ids_and_texts, map_rows
 
-LEAF = 24
+LEAF = 4
 _NONE = 1 << 60
 #: Pieces remembered by a worker before it starts afresh; a bound on memory, not on results.
 REMEMBERED = 200_000
+#: Pairs of tokens remembered in the same way.
+PAIRS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +42,7 @@ class TreeBpe:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._seams: dict[tuple[int, int], list[int] | None] = {}
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the leftmost pair of least rank until none is left."""
@@ -55,23 +58,29 @@ class TreeBpe:
                 pairs[at - 1] = rank(parts[at - 1] + merged, _NONE)
         return [self.ranks[p] for p in parts]
 
+    def seam(self, a: int, b: int) -> list[int] | None:
+        """The encoding of the bytes of two tokens, None if they stay as they are."""
+        known = self._seams.get((a, b), 0)
+        if known == 0:
+            if len(self._seams) > PAIRS:
+                self._seams.clear()
+            known = self.leaf(self.bytes_of[a] + self.bytes_of[b])
+            known = self._seams[a, b] = None if known == [a, b] else known
+        return known
+
     def fits(self, a: int, b: int) -> bool:
         """Whether tokens a, b stay as they are next to each other."""
-        known = self._fits.get((a, b))
-        if known is None:
-            known = self._fits[a, b] = self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self._fits) > REMEMBERED:
-                self._fits = {(a, b): known}
-        return known
+        return self.seam(a, b) is None
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        if not left or not right or self.fits(left[-1], right[0]):
+        """The encoding of both parts' bytes from their encodings: the window at the seam grows until its edges hold."""
+        if not left or not right or (middle := self.seam(left[-1], right[0])) is None:
             return left + right
-        k = 2
+        k = 1
         while True:
             a, b = min(k, len(left)), min(k, len(right))
-            window = self.decode(left[len(left) - a :] + right[:b])
-            middle = self.leaf(window)
+            if k > 1:
+                middle = self.leaf(self.decode(left[len(left) - a :] + right[:b]))
             stable = (a == len(left) or self.fits(left[-a - 1], middle[0])) and (
                 b == len(right) or self.fits(middle[-1], right[b])
             )
@@ -94,7 +103,7 @@ class TreeBpe:
         return [i for p in self.split.findall(text) for i in self.piece(p.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 64:
+        if len(ids) <= LEAF:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
