@@ -6,10 +6,12 @@ distinct keys it is split on the next bit, and the directory doubles with the de
 of key prefixes, never on rows, and copies of one text, however many, are one key, so a hot group can't overfill a bucket.
 The capacity grows with the number of keys once the directory would pass ``MAX_SLOTS``, which bounds its size.
 
-Entries are chained by their bytes: copies of a text are combined in the map tasks and then where all copies meet, by comparing the
-normalised texts themselves, so texts that collide in the key stay apart.  The chains, now one small row a distinct text,
-are dealt to owner tasks by ranges of buckets; an owner numbers the chain of each key and writes its part of the index to the
-shared folder.  Every row looks its group up there by key; where a key has several chains, by bytes.
+Every row finds its bucket through the directory, by the slot of its key's leading bits, and entries belong to it: rows of a bucket with
+equal keys are chained by their bytes.  Copies of a text are combined in the map tasks and then where all copies meet, by comparing the
+normalised texts themselves, so texts that collide in the key stay apart.  The entries, now one small row a distinct text, are dealt to
+owner tasks by ranges of buckets and keys; an owner numbers the chain of each key and writes its buckets' folders of the index to the
+shared files.  Rows look their group up in the folder of their bucket, by key; where a key has several chains, by bytes.  A slot that led
+to another bucket would lose its rows.
 
 Edge cases: null texts count as empty, so all empty, null and white-space texts form one group; rows that repeat the doc_id that stays
 are kept together with it; a null doc_id stays only if no other row is as long; an empty table gives an empty result; other
@@ -91,39 +93,42 @@ def group_of_rows(
 ) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
     texts = ids_and_texts(docs).select("doc_id", F.length("text").alias("chars"), normalised(F.col("text")).alias("norm"))
-    full = texts.withColumn("key", key_of(F.col("norm")).cast("long"))
-    entries = written(full.select("doc_id", "chars", "key", F.sha2("norm", 256).alias("text_sha256")), "exact-entries")
-    depth, buckets = directory(entries, capacity, start_depth)
-
-    chains = full.groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"))
-    owned = (
-        chains.select("key", "group_size", "best", F.sha2("norm", 256).alias("chain_sha"), _leading(F.col("key"), depth).alias("slot"))
-        .join(F.broadcast(buckets.select("slot", "bucket")), "slot")  # at most MAX_SLOTS slots
-        .repartitionByRange("bucket", "key")
-    )
-    chain = Window.partitionBy("key")
+    keyed = texts.withColumn("key", key_of(F.col("norm")).cast("long"))
+    entries = written(keyed.select("doc_id", "chars", "key", F.sha2("norm", 256).alias("text_sha256")), "exact-entries")
+    depth, slots = directory(entries, capacity, start_depth)
+    slots = F.broadcast(slots.select(F.col("slot").alias("leads"), "bucket"))  # at most MAX_SLOTS slots
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """The rows with their bucket, through the directory."""
+        return rows.join(slots, _leading(F.col("key"), depth) == F.col("leads")).drop("leads")
+
+    full = placed(keyed)
+    chains = full.groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"))
+    owned = chains.select("bucket", "key", "group_size", "best", F.sha2("norm", 256).alias("chain_sha")).repartitionByRange("bucket", "key")
+    chain = Window.partitionBy("bucket", "key")  # lies within the owner's range: no further exchange
     index = written(
         owned.select(
-            "bucket",
             "key",
             F.row_number().over(chain.orderBy("chain_sha")).alias("chain"),
             F.count("*").over(chain).alias("chains"),
             "chain_sha",
             "group_size",
             _id_of_rank(F.col("best")).alias("keep_id"),
+            "bucket",
         ),
         "exact-index",
+        "bucket",
     )
     made = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    alone = entries.join(index.filter("chains = 1").select("key", "keep_id", "group_size"), "key").select(*made)
+    alone = placed(entries).join(index.filter("chains = 1").select("bucket", "key", "keep_id", "group_size"), ["bucket", "key"]).select(*made)
     collided = index.filter("chains > 1")
     if collided.isEmpty():
         return alone
     # Texts that share a key but not their bytes: their rows come with texts, and bytes decide.
-    shared = collided.select("key").distinct()
-    again = full.join(shared, "key", "left_semi")
-    groups = again.groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"))
-    told = again.join(groups, ["key", "norm"]).select(
+    shared = collided.select("bucket", "key").distinct()
+    again = full.join(shared, ["bucket", "key"], "left_semi")
+    groups = again.groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"))
+    told = again.join(groups, ["bucket", "key", "norm"]).select(
         "doc_id", _id_of_rank(F.col("best")).alias("keep_id"), "group_size", F.sha2("norm", 256).alias("text_sha256")
     )
     return alone.unionByName(told.select(*made))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -120,6 +121,24 @@ def test_infix_distance():
         assert decontaminate.infix_distance(p, t) == distance(p, t)
 
 
+def test_pieces_bound_the_distance():
+    """Pieces never say no where the distance is small enough, and say no to most of the rest."""
+    rng = random.Random(14)
+    items = ["".join(rng.choices("abcdé中 ", k=rng.randint(1, 200))) for _ in range(60)]
+    pieces, which, regions = decontaminate.Pieces(items), [], []
+    for n, text in enumerate(items):
+        for edits in (0, len(text) // 10, len(text) // 5, len(text) // 2):
+            own = list(text)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = rng.choice(["", "x", "yz"])
+            which.append(n)
+            regions.append("".join(rng.choices("abc ", k=rng.randint(0, 60))) + "".join(own))
+    may = pieces.may_match(which, regions)
+    for n, region, near in zip(which, regions, may, strict=True):
+        assert near or distance(items[n], region) > decontaminate.most_edits(len(items[n]))
+    assert not pieces.may_match([n for n in which if len(items[n]) > 30], ["x y " * 30 for n in which if len(items[n]) > 30]).any()
+
+
 def test_leaks(spark, docs, none):
     rng = random.Random(5)
     item = "the quick brown fox jumps over the lazy dog while seven wizards hex the king in his old castle by night"
@@ -388,6 +407,34 @@ def test_bpe_equals_the_library(spark, docs, none):
     assert bpe.encode_ids(docs.filter("doc_id = 14"), path, public.PATTERN).first()["decoded"] == "🔥 ünï😀" * 20
 
 
+def test_bpe_joins_halves(monkeypatch):
+    """Most pieces of an ordinary text that aren't tokens go up the tree, at every size of leaf with the same result."""
+    import tiktoken
+
+    ranks, joins, join = bpe.load_ranks(public.path("byte_bpe_50k.tiktoken")), [], bpe.TreeBpe.join
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe.TreeBpe, "join", lambda self, a, b: joins.append(len(a) + len(b)) or join(self, a, b))
+    text = "Unquestionably multifarious Geschwindigkeitsbegrenzungen désensibilisations irreconocible " * 3 + "x" * 700
+    for leaf in (1, 2, 4, 24):
+        joins.clear()
+        monkeypatch.setattr(bpe, "LEAF", leaf)
+        own = bpe.TreeBpe(ranks, public.PATTERN)
+        assert own.encode(text) == library.encode_ordinary(text)
+        assert leaf > 4 or len(joins) > 20
+    if os.path.isdir("/root/testdata/sf0.001"):
+        import pyarrow.parquet as pq
+
+        monkeypatch.setattr(bpe, "LEAF", 4)
+        joins.clear()
+        own = bpe.TreeBpe(ranks, public.PATTERN)
+        texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+        pieces = {p for t in texts for p in own.split.findall(t or "")}
+        missed = [p for p in pieces if p.encode() not in ranks and len(p.encode()) > 4]
+        for p in missed:
+            own.piece(p.encode())
+        assert len(joins) >= len(missed) > 1000
+
+
 def test_token_counts_equal_the_library(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -458,3 +505,14 @@ def test_exact_dedup(spark, docs, none, capacity, depth, key):
         want += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for _, _, i in members]
     assert counted(got) == counted(want)
     assert exact_dedup.group_of_rows(none).count() == 0
+
+
+def test_directory_leads_rows_to_their_entries(spark, docs, monkeypatch):
+    """Buckets split until they fit, owners keep their ranges without a further exchange, and a wrong slot loses its rows."""
+    keys = spark.range(2000).select(F.xxhash64("id").alias("key"))
+    depth, slots = exact_dedup.directory(keys, 100, 1)
+    held = slots.groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    assert len(held) > 16 and all(r["n"] <= 100 for r in held) and sum(r["n"] for r in held) == 2000
+    whole = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (lambda d, s: (d, s.filter("slot % 2 = 0")))(*whole(*a)))
+    assert 0 < exact_dedup.group_of_rows(docs, 2, start_depth=1).count() < docs.count()
