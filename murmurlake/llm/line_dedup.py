@@ -2,12 +2,12 @@
 
 Every window of ``width`` lines of a text is hashed to 128 bits; windows that occur more than once anywhere are found by
 one aggregation (copies are combined before the shuffle, so a common window is one row a task), and the first occurrence,
-by doc_id and then line, stays.  All later occurrences mark the lines they cover; covered positions of a document are
+by doc_id, hash of the text and line, stays.  All later occurrences mark the lines they cover; covered positions of a document are
 merged and its other lines joined again.  Windows that hold nothing but white space don't count.
 
-Edge cases: null texts stay null, texts with fewer than ``width`` lines are left alone; rows with one and the same doc_id
-(null too) are taken as one document: what is removed from one is removed from all of them, and a window at the same line of
-each is the same occurrence; an empty table gives an empty result; columns of any name are kept.
+Edge cases: null texts stay null, texts with fewer than ``width`` lines are left alone; rows that share a doc_id (null too) but not their
+text are documents of their own; rows equal in both are one document, whose windows are first occurrences or later ones together; an empty
+table gives an empty result; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """lid, line, k1, k2: one row for each window."""
+    """lid, tid (hash of the text), line, k1, k2: one row for each window."""
     lines = F.col("lls")
     last = F.size("lls") - width
     hashed = F.transform(
@@ -34,12 +34,13 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         ),
     )
     return (
-        docs.select(F.col("doc_id").cast("long").alias("lid"), _lines(F.col("text")).alias("lls"))
+        docs.select(F.col("doc_id").cast("long").alias("lid"), F.xxhash64("text").alias("tid"), _lines(F.col("text")).alias("lls"))
         .filter(last >= 0)
-        .select("lid", F.explode(hashed).alias("w"))
+        .select("lid", "tid", F.explode(hashed).alias("w"))
         .filter(F.length(F.trim(F.regexp_replace("w.three", r"\s+", ""))) > 0)
         .select(
             "lid",
+            "tid",
             F.col("w.line").alias("line"),
             F.xxhash64("w.three").alias("k1"),
             F.xxhash64(F.lit(7), "w.three").alias("k2"),
@@ -48,18 +49,19 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """lid, gone (sorted array of the lines that later occurrences cover)."""
+    """lid, tid, gone (sorted array of the lines that later occurrences cover)."""
     rows = windows(docs, width)
     first = (
         rows.groupBy("k1", "k2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("lid", "line")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("lid", "tid", "line")).alias("first"))
         .filter("n > 1")
     )
     later = rows.join(first, ["k1", "k2"]).filter(
-        ~(F.col("lid").eqNullSafe(F.col("first.lid")) & (F.col("line") == F.col("first.line")))
+        ~(F.col("lid").eqNullSafe(F.col("first.lid")) & (F.col("tid") == F.col("first.tid")) & (F.col("line") == F.col("first.line")))
     )
-    return later.groupBy("lid").agg(F.collect_set("line").alias("starts")).select(
+    return later.groupBy("lid", "tid").agg(F.collect_set("line").alias("starts")).select(
         "lid",
+        "tid",
         F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))).alias("gone"),
     )
 
@@ -67,10 +69,12 @@ def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the columns n_lines, n_removed and kept_text added under ``line_dedup``, a struct."""
     mark = "_".join(["gone", *docs.columns])  # no column has this name
-    gone = covered_lines(docs, width).select(F.col("lid").alias(f"{mark}_id"), F.col("gone").alias(mark))
+    gone = covered_lines(docs, width).select(F.col("lid").alias(f"{mark}_id"), F.col("tid").alias(f"{mark}_text"), F.col("gone").alias(mark))
     lines = _lines(F.col("text"))
-    merged = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}_id")), "left")
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col(mark), i))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}_id")) & (F.xxhash64("text") == F.col(f"{mark}_text"))
+    merged = docs.join(gone, here, "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(mark))
+    left = F.transform(stay, lambda i: F.get(lines, i))
     return merged.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(

@@ -465,6 +465,14 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.remove_repeated_lines(none).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(4, "a\nb\nc"), (5, "a\nb\nc"), (5, "x\ny\nz"), (None, "p\nq\nr"), (None, "x\ny\nz\nw"), (9, "l\n" * 30_000)]
+    got = {(r["doc_id"], r["text"][:8]): r["line_dedup"] for r in line_dedup.remove_repeated_lines(table(spark, rows)).collect()}
+    assert {k: v["kept_text"] for k, v in got.items() if k[0] != 9} == {
+        (4, "a\nb\nc"[:8]): "a\nb\nc", (5, "a\nb\nc"): "", (5, "x\ny\nz"): "", (None, "p\nq\nr"): "p\nq\nr", (None, "x\ny\nz\nw"): "x\ny\nz\nw"}
+    assert got[9, "l\nl\nl\nl\n"]["n_removed"] == 29_999
+
+
 # ---- 8 ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=/>Home</a></nav>
