@@ -8,8 +8,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: ASCII word boundary, also beside letters outside ASCII.
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -114,12 +116,30 @@ def clean_html(column: Column) -> Column:
     return F.trim(F.regexp_replace(strip_tags(column), r"\s+", " "))
 
 
-def decode_entities(column: Column, rounds: int = 2) -> Column:
-    """Named references of ENTITIES, applied ``rounds`` times for references to references."""
-    for _ in range(rounds):
+def decoded(text: str) -> str:
+    """``text`` without its references: those of ENTITIES, decimal and hexadecimal ones, again and again until nothing changes."""
+    before = None
+    while text != before:
+        before = text
         for name, character in ENTITIES:
-            column = F.replace(column, F.lit(name), F.lit(character))
-    return column
+            text = text.replace(name, character)
+        text = _DECIMAL.sub(lambda m: chr(int(m[1]) & 0xFFFF), text)
+        text = _HEXADECIMAL.sub(lambda m: chr(int(m[1], 16) & 0xFFFF), text)
+    # Two code units of a character beyond the first plane are one again; a single one has no meaning.
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+_DECIMAL, _HEXADECIMAL = re.compile(r"&#([0-9]+);"), re.compile(r"&#x([0-9a-fA-F]+);")
+
+
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: decoded(t) if t is not None and "&" in t else t)
+
+
+def decode_entities(column: Column) -> Column:
+    """Named and numeric references, also references to references however deep."""
+    return _decoded(column)
 
 
 def truncated(column: Column, size: int) -> Column:
@@ -139,6 +159,12 @@ def safe_name(column: Column) -> Column:
     return F.regexp_replace(column, r"[^a-zA-Z0-9_-]", "_")
 
 
+def number_text(number: Column) -> Column:
+    """A double as text: whole ones without a fraction or exponent."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
+
+
 def activity_id(*fields: Column) -> Column:
-    """16 hex digits over field values in order; whole doubles are written without a fraction."""
-    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.regexp_replace(f.cast("string"), r"\.0$", ""), F.lit("")) for f in fields]), 256), 1, 16)
+    """16 hex digits over the texts of field values in order (``number_text`` for numbers); nulls are empty."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(f, F.lit("")) for f in fields]), 256), 1, 16)

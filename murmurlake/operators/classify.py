@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmurlake.functions.text import activity_id
+from murmurlake.functions.text import activity_id, number_text
 from murmurlake.operators.filters import combined_score
 
 # Fixed values.
@@ -13,6 +13,7 @@ CATEGORIES = (
     "food nightlife nature arts culture music entertainment events sports fitness wellness shopping travel experiences hobbies gaming learning "
     "home work social family pets other"
 ).split()
+LINK_TYPES = "movie tv_show media web_series video_game physical_game game book comic theatre album song podcast artist".split()
 ITEM = (
     "array<struct<msg:string,off:string,title:string,fun:string,int:string,cat:string,wiki:string,placeName:string,placeQuery:string,city:string,"
     "region:string,country:string,image:struct<stock:string,mediaKey:string,preferStock:string>,link:struct<type:string,query:string>>>"
@@ -54,7 +55,7 @@ def parse_responses(responses: DataFrame, strict_offsets: bool = False) -> DataF
         *[text_or_null(F.col(f"x.{a}")).alias(b) for a, b in (("wiki", "wiki_name"), ("placeName", "place_name"), ("placeQuery", "place_query"), ("city", "city"), ("region", "region"), ("country", "country"))],
         text_or_null(F.col("x.image.mediaKey")).alias("media_key"),
         text_or_null(F.col("x.image.stock")).alias("stock"),
-        F.when(text_or_null(F.col("x.link.type")).isNotNull() & text_or_null(F.col("x.link.query")).isNotNull(), F.col("x.link")).alias("link"),
+        F.when(F.col("x.link.type").isin(*LINK_TYPES) & text_or_null(F.col("x.link.query")).isNotNull(), F.col("x.link")).alias("link"),
     )
     return made.filter(F.array_contains("expected_ids", F.col("message_id"))).drop("expected_ids")
 
@@ -63,7 +64,9 @@ def to_activities(parsed: DataFrame) -> DataFrame:
     """Rows with a title: capitalised, scored, with an id."""
     title = F.concat(F.upper(F.substring("title", 1, 1)), F.substring("title", 2, 1 << 30))
     made = parsed.filter("title IS NOT NULL").withColumn("activity", title).withColumn("score", combined_score(F.col("fun_score"), F.col("interesting_score")))
-    fields = [F.col(c) for c in ("activity", "fun_score", "interesting_score", "score", "category", "wiki_name", "place_name", "place_query", "city", "region", "country")]
+    numbers = [number_text(F.col(c)) for c in ("fun_score", "interesting_score", "score")]
+    texts = [F.col(c) for c in ("activity", "category", "wiki_name", "place_name", "place_query", "city", "region", "country")]
+    fields = [texts[0], *numbers, *texts[1:]]
     return made.withColumn("activity_id", activity_id(*fields)).drop("title")
 
 

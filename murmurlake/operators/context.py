@@ -11,14 +11,15 @@ MIN_MESSAGES, MIN_CHARS = 2, 280
 def context_bounds(messages: DataFrame, min_messages: int = MIN_MESSAGES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Adds first_id and last_id: on each side at least ``min_messages`` messages and ``min_chars`` characters, as far as there are any.
 
-    Ids are dense by chat.  With prefix sums of lengths both bounds are RANGE frames, so no row looks at its neighbours.
+    Ids are dense by chat.  With prefix sums of lengths both bounds are RANGE frames that only grow, the upper one in descending order, so
+    no row looks at its neighbours and a chat takes time in proportion to its rows.
     """
     size = F.coalesce(F.length("content"), F.lit(0)).cast("long")
     by_id = Window.partitionBy("chat_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = messages.withColumn("_upto", F.sum(size).over(by_id)).withColumn("_before", F.col("_upto") - size)
     chat = Window.partitionBy("chat_id")
     low = F.max("id").over(chat.orderBy("_before").rangeBetween(Window.unboundedPreceding, -min_chars))
-    high = F.min("id").over(chat.orderBy("_upto").rangeBetween(min_chars, Window.unboundedFollowing))
+    high = F.min("id").over(chat.orderBy(-F.col("_upto")).rangeBetween(Window.unboundedPreceding, -min_chars))
     last = F.max("id").over(chat)
     bounded = summed.withColumns({"_low": low, "_high": high, "_last": last})
     return bounded.withColumns(

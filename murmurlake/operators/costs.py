@@ -22,7 +22,7 @@ def format_micros(micros: Column) -> Column:
 
 def model_usage(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """Up to two usage rows a call (model, input_tokens, output_tokens); an unknown model raises an error."""
-    priced = calls.join(F.broadcast(pricing), "model", "left")  # a dimension of models, tens of rows
+    priced = calls.join(pricing, "model", "left")  # Spark broadcasts it if it is small
     known = F.when(F.col("provider").isNull(), F.raise_error(F.concat(F.lit("unknown model: "), "model"))).otherwise(F.col("provider"))
 
     def part(resource: str, tokens: str, price: str) -> Column:
@@ -42,11 +42,8 @@ def request_usage(calls: DataFrame) -> DataFrame:
 
 def summary(usage: DataFrame) -> DataFrame:
     """resource, provider, quantity, cost_micros, cents: by resource, by provider and in all, in one pass."""
-    usage.createOrReplaceTempView("_usage")
-    made = usage.sparkSession.sql(
-        "SELECT resource, provider, sum(quantity) AS quantity, sum(cost_micros) AS cost_micros FROM _usage "
-        "GROUP BY GROUPING SETS ((resource), (provider), ())"
-    )
+    sets = usage.groupingSets([["resource"], ["provider"], []], "resource", "provider")
+    made = sets.agg(F.sum("quantity").alias("quantity"), F.sum("cost_micros").alias("cost_micros"))
     return made.withColumn("cents", micros_to_cents(F.col("cost_micros")))
 
 

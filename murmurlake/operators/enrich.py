@@ -65,8 +65,9 @@ def coordinates_from_messages(activities: DataFrame) -> DataFrame:
 def place_cascade(activities: DataFrame, responses: DataFrame) -> DataFrame:
     """Adds latitude, longitude, place_id and place_lookup_source: maps address, place search, geocoding, search by title."""
     ok = responses.filter("status = 'OK'")
-    places = ok.filter("kind = 'places'").dropDuplicates(["query"])
-    codes = ok.filter("kind = 'geocode'").dropDuplicates(["query"])
+    answer = F.struct("place_id", "latitude", "longitude")
+    told = ok.groupBy("kind", "query").agg(F.min(answer).alias("a")).select("kind", "query", "a.*")  # of several answers always the same
+    places, codes = told.filter("kind = 'places'"), told.filter("kind = 'geocode'")
     url = coordinates_from_messages(activities)
     place = F.coalesce(F.nullif("place_query", F.lit("")), F.nullif("place_name", F.lit("")))
     region = F.nullif(F.concat_ws(", ", *[F.nullif(c, F.lit("")) for c in ("city", "region", "country")]), F.lit(""))
@@ -115,7 +116,7 @@ def first_of(rows: DataFrame, lookups: Sequence[tuple[str, DataFrame, str]], val
     """Adds value and value_source from the first lookup (source, table of key and value, key column) that knows the row."""
     made, parts = rows, []
     for i, (source, table, key) in enumerate(lookups):
-        one = table.select(F.col("key").alias(f"_k{i}"), F.col(value).alias(f"_v{i}")).dropDuplicates([f"_k{i}"])
+        one = table.groupBy(F.col("key").alias(f"_k{i}")).agg(F.min(value).alias(f"_v{i}"))  # of several always the same
         made = made.join(one, F.col(key) == F.col(f"_k{i}"), "left")
         parts.append((source, F.col(f"_v{i}")))
     told = None
@@ -126,6 +127,6 @@ def first_of(rows: DataFrame, lookups: Sequence[tuple[str, DataFrame, str]], val
 
 def split_cached(urls: DataFrame, cache: DataFrame) -> DataFrame:
     """Adds state: 'hit', 'known_failure' (cached without data) or 'miss'."""
-    known = cache.select(F.col("url").alias("_u"), F.col("data").isNotNull().alias("_ok")).dropDuplicates(["_u"])
+    known = cache.groupBy(F.col("url").alias("_u")).agg(F.max(F.col("data").isNotNull()).alias("_ok"))
     made = urls.join(known, F.col("url") == F.col("_u"), "left")
     return made.withColumn("state", F.when(F.col("_u").isNull(), "miss").when(F.col("_ok"), "hit").otherwise("known_failure")).drop("_u", "_ok")

@@ -96,19 +96,25 @@ def scrape(pages: DataFrame) -> DataFrame:
 def follow_redirects(urls: DataFrame, redirects: DataFrame, most: int = 10) -> DataFrame:
     """url, final_url after at most ``most`` steps of a (url, target) table."""
     made = urls.select("url", F.col("url").alias("final_url"))
-    step = redirects.select(F.col("url").alias("_from"), "target").dropDuplicates(["_from"])
+    step = redirects.groupBy(F.col("url").alias("_from")).agg(F.min("target").alias("target"))
     for _ in range(most):
         made = made.join(step, F.col("final_url") == F.col("_from"), "left").select("url", F.coalesce("target", "final_url").alias("final_url"))
     return made
 
 
 def with_url_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Adds told: content with what is known of each address after it (rows: row_id, content, urls)."""
-    listed = rows.select("row_id", F.posexplode("urls").alias("n", "url")).join(metadata.select("url", F.col("title").alias("t")), "url")
-    known = listed.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("n", "url", "t"))).alias("_k"))
+    """Adds told: content with what is known of each address after it (rows: row_id, content, urls), at places where the address isn't the
+    start of a longer one; of several titles for an address the least counts."""
+    titles = metadata.groupBy("url").agg(F.min("title").alias("t"))
+    listed = rows.select("row_id", F.explode(F.array_distinct("urls")).alias("url")).join(titles, "url")
+    known = listed.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("url", "t"))).alias("_k"))
     told = F.aggregate(
-        F.coalesce("_k", F.array().cast("array<struct<n:int,url:string,t:string>>")),
+        F.coalesce("_k", F.array().cast("array<struct<url:string,t:string>>")),
         F.col("content"),
-        lambda text, k: F.replace(text, k["url"], F.concat(k["url"], F.lit(" ["), k["t"], F.lit("]"))),
+        lambda text, k: F.regexp_replace(
+            text,
+            F.concat(F.lit("\\Q"), k["url"], F.lit(r"\E(?![\w/?=&%#~+-]|[.,;:!@][\w/])")),
+            F.concat(F.lit("$0 ["), F.regexp_replace(k["t"], r"([\\$])", r"\\$1"), F.lit("]")),
+        ),
     )
     return rows.join(known, "row_id", "left").withColumn("told", told).drop("_k")

@@ -95,7 +95,7 @@ def media_type(content: Column) -> Column:
 
 
 def is_system(content: Column) -> Column:
-    return matches(content, r"^\x{200E}?(?:" + "|".join(SYSTEM) + ")")
+    return matches(F.regexp_replace(content, r"^\s+|\s+$", ""), r"^\x{200E}?(?:" + "|".join(SYSTEM) + ")")
 
 
 def _year(text: Column) -> Column:

@@ -161,3 +161,47 @@ def test_sinks(spark, tmp_path):
     import io
 
     assert "xl/workbook.xml" in zipfile.ZipFile(io.BytesIO(sinks.xlsx_bytes(df))).namelist()
+
+
+def test_references_of_every_kind(spark):
+    rows = [("caf&#233; &#x27;x&#x27; &amp;amp;amp;amp;lt; &apos;&quot;", "café 'x' < '\""), ("no refs 😀 &nothing;", "no refs 😀 &nothing;"), (None, None), ("", "")]
+    got = spark.createDataFrame(rows, "raw string, want string").select(T.decode_entities(F.col("raw")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_activity_ids_tell_texts_apart(spark):
+    df = spark.createDataFrame([("Route 2", 3.0), ("Route 2.0", 3.0), ("Route 2", 3.5)], "t string, n double")
+    ids = [r[0] for r in df.select(T.activity_id(F.col("t"), T.number_text(F.col("n")))).collect()]
+    assert len(set(ids)) == 3
+    assert [r[0] for r in df.select(T.number_text(F.col("n"))).collect()] == ["3", "3", "3.5"]
+
+
+def test_context_bounds_of_a_long_chat(spark):
+    """A chat of 200,000 messages takes time in proportion; bounds as by counting on."""
+    rows = spark.range(200_000).select(F.lit("c").alias("chat_id"), "id", F.expr("repeat('x', cast(id % 97 as int))").alias("content"))
+    got = context.context_bounds(rows).filter("id % 50000 = 777").orderBy("id").collect()
+    for r in got:
+        i, low, high, a, b = r["id"], 0, 0, r["id"], r["id"]
+        while a > 0 and (low < 280 or i - a < 2):
+            a -= 1
+            low += a % 97
+        while b < 199_999 and (high < 280 or b - i < 2):
+            b += 1
+            high += b % 97
+        assert (r["first_id"], r["last_id"]) == (a, b)
+
+
+def test_addresses_within_longer_ones(spark):
+    from murmurlake.operators import platforms
+
+    rows = spark.createDataFrame([(1, "see http://a.b/x, http://a.b/x/y and http://a.b/x.html http://a.b/x", ["http://a.b/x", "http://a.b/x/y", "http://a.b/x"])], "row_id long, content string, urls array<string>")
+    known = spark.createDataFrame([("http://a.b/x", "Cost $5 \\ more"), ("http://a.b/x/y", "Y")], "url string, title string")
+    assert platforms.with_url_metadata(rows, known).first()["told"] == "see http://a.b/x [Cost $5 \\ more], http://a.b/x/y [Y] and http://a.b/x.html http://a.b/x [Cost $5 \\ more]"
+
+
+def test_system_lines_and_link_types(spark):
+    lines = spark.createDataFrame([("  You deleted this message \n",), ("hello",)], "t string")
+    assert [r[0] for r in lines.select(chat.is_system(F.col("t"))).collect()] == [True, False]
+    reply = '[{"msg": 1, "title": "a", "link": {"type": "movie", "query": "q"}}, {"msg": 1, "title": "b", "link": {"type": "spaceship", "query": "q"}}]'
+    got = classify.parse_responses(spark.createDataFrame([(1, [1], reply)], "batch_id long, expected_ids array<long>, response string")).collect()
+    assert {r["title"]: r["link"] is not None for r in got} == {"a": True, "b": False}
