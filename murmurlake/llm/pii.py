@@ -167,14 +167,15 @@ class Pseudonyms:
         day, order = got
         mark = re.search(r"[-./]", text)[0]
         padded = all(len(p) != 1 for p in re.split(r"[-./]", text))
-        net, n = self.network("date", _DATES[1] - _DATES[0]), day.toordinal() - _DATES[0]
-        while True:
-            n = net.apply(n)
-            new = datetime.date.fromordinal(n + _DATES[0])
-            parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
-            made = mark.join(parts[k] for k in order)
-            if read_date(made) == (new, order):  # it must be read back as the same day
+        net = self.network("date", _DATES[1] - _DATES[0])
+        new = datetime.date.fromordinal(net.apply(day.toordinal() - _DATES[0]) + _DATES[0])
+        parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
+        # One day has one pseudonym however it is written; where the month before the day would be read as another day, the day stands first.
+        for written in (order, "dmy"):
+            made = mark.join(parts[k] for k in written)
+            if read_date(made) == (new, written):
                 return made
+        return None
 
     def _ssn(self, text: str) -> str | None:
         def valid(d: str) -> bool:

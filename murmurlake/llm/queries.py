@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from murmurlake.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, pii, suffix_dedup, token_count, toxicity
 
-KEY = "murmurlake"
+#: The setting that holds the key of pseudonyms, and the key where it is unset.
+KEY_SETTING, KEY = "spark.murmurlake.pii.key", "murmurlake"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.documents_with_pii(_table(spark, sf_dir, "documents"), KEY)
+    return pii.documents_with_pii(_table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, KEY))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

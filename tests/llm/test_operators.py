@@ -245,6 +245,31 @@ def test_pii_before_other_groups(text, kind, value):
     assert [(k, v) for k, _, _, v, _ in pii.findings(text, pii.Pseudonyms(b"k"))] == [(kind, value)]
 
 
+def test_dates_are_linked_in_every_order():
+    names, rng = pii.Pseudonyms(b"k"), random.Random(13)
+    for _ in range(500):
+        y, m, d = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)
+        forms = [f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{d}/{m}/{y}", *([f"{m}/{d}/{y}"] if d > 12 else [])]
+        assert len({pii.read_date(names.of("date", f))[0] for f in forms}) == 1
+    days = {pii.read_date(names.of("date", f"2000-{m:02d}-{d:02d}"))[0] for m in range(1, 13) for d in range(1, 29)}
+    assert len(days) == 12 * 28
+
+
+def test_pii_against_a_plain_search(spark):
+    """Values planted among other words and numbers, against a validation of every word by itself; long and null texts, clashing columns."""
+    rng, rows, want = random.Random(15), [(None, None), (0, ""), (1, "word " * 50_000 + "10.1.2.3")], {1: ["10.1.2.3"]}
+    for i in range(2, 150):
+        body = "".join(rng.choices("123456789", k=15))
+        own = [body + pii.luhn_digit(body), body + str((int(pii.luhn_digit(body)) + 1) % 10), f"{rng.randint(1, 300)}.{rng.randint(0, 255)}.7.9", f"{rng.randint(100, 899)}-{rng.randint(0, 99):02d}-1234"]
+        rng.shuffle(own)
+        rows.append((i, " ".join(x for w in own for x in (w, words(rng, 3)))))
+        want[i] = [w for w in own if (w.isdigit() and pii.luhn(w)) or (w.count(".") == 3 and int(w.split(".")[0]) < 256) or (w.count("-") == 2 and w[:3] != "666" and w[4:6] != "00")]
+    made = pii.pseudonymise(table(spark, rows), "k").collect()
+    texts = dict(rows)
+    got = {r["doc_id"]: [texts[r["doc_id"]][f["start"] : f["end"]] for f in r["findings"]] for r in made if r["findings"]}
+    assert got == {i: w for i, w in want.items() if w}
+
+
 # ---- 4 ----
 
 
