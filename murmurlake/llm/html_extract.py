@@ -77,8 +77,9 @@ def _outside(name: str, attrs: str, in_main: bool) -> bool:
     return bool(role and role[1].lower() in ROLES) or bool(_HIDDEN.search(attrs))
 
 
-def tokens(page: str) -> list[Token]:
-    """Text runs (context ``w:...``) and tags (``t:...``) outside cut zones, in page order."""
+def tokens(page: str, marked: list[bool] | None = None) -> list[Token]:
+    """Text runs (context ``w:...``) and tags (``t:...``) outside cut zones, in page order; ``marked`` gets whether each is in the page's own
+    main container."""
     out: list[Token] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, cut, link, main
     block, at, end = 0, 0, len(page)
@@ -88,6 +89,8 @@ def tokens(page: str) -> list[Token]:
     def text(raw: str) -> None:
         if not cut and raw:
             out.append((f"w:{context}{'/a' if link else ''}{'/main' if main else ''}", html_lib.unescape(raw), block))
+            if marked is not None:
+                marked.append(main)
 
     while at < end:
         found = _TAG.search(page, at)
@@ -135,6 +138,8 @@ def tokens(page: str) -> list[Token]:
             context = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "body")
         if not cut:
             out.append((f"t:{name}", "", block))
+            if marked is not None:
+                marked.append(main)
     return out
 
 
@@ -152,15 +157,11 @@ def learn(pages: list[str]) -> dict[str, float]:
     """Log ratios of each context and tag inside marked content against outside, over pages that mark it."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        depth = 0
-        found = tokens(page)
-        if not any(k.endswith("/main") for k, _, _ in found):
-            continue
-        for kind, text, _ in found:
-            if kind in ("t:article", "t:main"):
-                depth ^= 1
-            size = len(text.split()) if text else (kind[0] == "t")
-            (inside if kind.endswith("/main") or (kind[0] == "t" and depth) else outside)[kind] += size
+        marked: list[bool] = []
+        found = tokens(page, marked)
+        if any(marked):
+            for (kind, text, _), own in zip(found, marked, strict=True):
+                (inside if own else outside)[kind] += len(text.split()) if text else (kind[0] == "t")
     n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     weights = {}
     for kind in {*inside, *outside}:

@@ -521,6 +521,20 @@ def test_html(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_learning_from_marked_pages(spark):
+    """Nested and unclosed containers don't turn inside and outside round; long pages and extra columns are read whole."""
+    nested = "<body><p>menu words here</p><main><article><p>one two</p></article><p>three</p></main><div>foot note</div>"
+    marked = []
+    found = html_extract.tokens(nested, marked)
+    assert [t for (k, t, _), own in zip(found, marked, strict=True) if k[0] == "w" and own] == ["one two", "three"]
+    marked.clear()
+    assert [t for (k, t, _), own in zip(html_extract.tokens("<p>a</p><article><p>b<p>c", marked), marked, strict=True) if k[0] == "w" and own] == ["b", "c"]
+    page = "<body><nav>x</nav><article>" + "".join(f"<p>word {i} of many</p>" for i in range(20_000)) + "</article></body>"
+    pages = spark.createDataFrame([(1, "u", page, "w", 3)], "page_id long, url string, html string, text string, n_chars long")
+    row = html_extract.extract_main_text(pages).first()
+    assert row["text"] == "\n".join(f"word {i} of many" for i in range(20_000)) and row["n_chars"] == len(row["text"])
+
+
 # ---- 9 ----
 
 
