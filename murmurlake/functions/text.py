@@ -77,6 +77,15 @@ def urls_in(column: Column) -> Column:
     return F.filter(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")), lambda u: F.length(u) > 0)
 
 
+def first_url(column: Column) -> Column:
+    """The first address up to white space; null without one."""
+    return F.nullif(F.regexp_extract(column, f"(?i)(https?://[^{S[1:-1]}]+)", 1), F.lit(""))
+
+
+def distinct_urls(column: Column) -> Column:
+    return F.array_distinct(urls_in(column))
+
+
 def squeezed(column: Column) -> Column:
     """Lower case, trimmed, runs of white space as one space."""
     return F.regexp_replace(F.trim(F.lower(column)), r"\s+", " ")
@@ -150,6 +159,18 @@ def token_estimate(column: Column) -> Column:
     return F.ceil(F.length(column) / 4).cast("long")
 
 
+def parse_boolean(column: Column) -> Column:
+    """'true' and 'false' in any case, null for anything else."""
+    low = F.lower(column)
+    return F.when(low == "true", True).when(low == "false", False)
+
+
+def plain_license(column: Column) -> Column:
+    """A licence's name in lower case with hyphens, 'version 4' as '4'."""
+    low = F.regexp_replace(F.lower(F.trim(column)), rf"version{S}*([0-9])", "$1")
+    return F.regexp_replace(low, f"[_{S[1:-1]}]+", "-")
+
+
 def cache_key(*parts: Column) -> Column:
     """Key of a request: sha256 of its parts joined by colons; nulls keep their place."""
     return F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)

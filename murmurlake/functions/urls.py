@@ -118,6 +118,36 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^www\.", "")
 
 
+def youtube_url(video: Column) -> Column:
+    return F.concat(F.lit("https://www.youtube.com/watch?v="), video)
+
+
+def is_reddit(url: Column) -> Column:
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).rlike(r"(?:^|\.)(?:reddit\.com|redd\.it)$"), F.lit(False))
+
+
+def is_reddit_share(url: Column) -> Column:
+    """Short addresses that have to be followed."""
+    return url.rlike("/r/[^/]+/s/[a-zA-Z0-9]+")
+
+
+def url_problem(url: Column, own: tuple[str, ...] = ()) -> Column:
+    """Why an address isn't to be fetched, null if it may be; ``own``: domains that never are, with all below them."""
+    part = {p: F.try_parse_url(url, F.lit(p)) for p in ("PROTOCOL", "HOST", "PATH")}
+    host = F.lower(part["HOST"])
+    blocked = F.lit(False)
+    for name in own:
+        blocked = blocked | (host == name) | host.endswith(f".{name}")
+    suspicious = part["PATH"].contains("..") | part["PATH"].contains("//")
+    return (
+        F.when(part["PROTOCOL"].isNull(), "invalid address")
+        .when(~F.lower(part["PROTOCOL"]).isin("http", "https"), "invalid protocol")
+        .when(host.isNull(), "invalid address")
+        .when(blocked, "blocked domain")
+        .when(suspicious, "suspicious path")
+    )
+
+
 def maps_link(lat: Column, lng: Column) -> Column:
     return F.when(
         lat.isNotNull() & lng.isNotNull(), F.concat(F.lit("https://www.google.com/maps?q="), lat.cast("string"), F.lit(","), lng.cast("string"))

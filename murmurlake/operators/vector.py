@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +27,25 @@ def top_k(vectors: DataFrame, query: list[float], k: int, least: float = 0.0) ->
     return scored.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def best_query(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+def best_query(vectors: DataFrame, queries: DataFrame, k: int, least: float, within: Sequence[str] = ()) -> DataFrame:
     """id, q_idx, similarity: each query's k best vectors at ``least`` or above, then the best query of each vector.
 
     ``queries`` (q_idx, embedding) is the side that is sent to all tasks, in blocks of about ``BLOCK`` rows by hash of q_idx, so each query is
     whole in one block; each task keeps only what reaches the threshold, and ranking by query is cut to k rows in the map tasks.
+    ``within`` names columns of the vectors whose values are searched apart; they are returned too.
     """
     norm = F.sqrt(_dot(F.col("embedding"), F.col("embedding")))
-    v = vectors.select("id", F.col("embedding").alias("ve"), norm.alias("vn"))
+    v = vectors.select(*within, "id", F.col("embedding").alias("ve"), norm.alias("vn"))
     told = queries.select("q_idx", F.col("embedding").alias("qe"), norm.alias("qn"))
     scale = F.col("vn") * F.col("qn")
-    by_query = Window.partitionBy("q_idx").orderBy(F.desc("similarity"), "id")
+    by_query = Window.partitionBy(*within, "q_idx").orderBy(F.desc("similarity"), "id")
     blocks = max(1, -(-queries.count() // BLOCK))
     kept = None
     for block in range(blocks):
         q = F.broadcast(told.filter(F.pmod(F.xxhash64("q_idx"), F.lit(blocks)) == block) if blocks > 1 else told)
         paired = v.join(q, F.size("ve") == F.size("qe"))
-        scored = paired.select("id", "q_idx", F.when(scale == 0, 0.0).otherwise(_dot(F.col("ve"), F.col("qe")) / scale).alias("similarity"))
+        scored = paired.select(*within, "id", "q_idx", F.when(scale == 0, 0.0).otherwise(_dot(F.col("ve"), F.col("qe")) / scale).alias("similarity"))
         part = scored.filter(F.col("similarity") >= least).withColumn("_n", F.row_number().over(by_query)).filter(F.col("_n") <= k)
         kept = part if kept is None else kept.unionByName(part)
-    by_vector = Window.partitionBy("id").orderBy(F.desc("similarity"), "q_idx")
-    return kept.withColumn("_n", F.row_number().over(by_vector)).filter("_n = 1").select("id", "q_idx", "similarity")
+    by_vector = Window.partitionBy(*within, "id").orderBy(F.desc("similarity"), "q_idx")
+    return kept.withColumn("_n", F.row_number().over(by_vector)).filter("_n = 1").select(*within, "id", "q_idx", "similarity")

@@ -357,24 +357,18 @@ def cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.summary(rows)
 
 
-@_query("SELECT c_custkey, c_custkey * 80 AS tokens, ceil(c_custkey / 150.0)::BIGINT AS activities, ceil(ceil(c_custkey / 150.0)::DOUBLE * 0.7::DOUBLE)::BIGINT AS geocodable FROM customer")
+@_query("WITH n AS (SELECT c_custkey, c_custkey * 80 AS tokens, ceil(c_custkey / 150.0)::BIGINT AS activities, ceil(ceil(c_custkey / 150.0)::DOUBLE * 0.7::DOUBLE)::BIGINT AS geocodable FROM customer), m AS (SELECT *, tokens * 0.02::DOUBLE + (tokens * 0.5::DOUBLE + activities * 150 * 3.0::DOUBLE) + geocodable * 17000 AS cost_micros FROM n), c AS (SELECT *, ceil(cost_micros / 10000::DOUBLE)::BIGINT AS cents FROM m) SELECT *, floor(cents * 0.6::DOUBLE)::BIGINT AS low_cents, ceil(cents * 1.8::DOUBLE)::BIGINT AS high_cents FROM c")
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("message_count"))
-    return costs.estimate(rows, 0.5, 3.0, 0.02).select("c_custkey", "tokens", "activities", "geocodable")
+    return costs.estimate(rows, 0.5, 3.0, 0.02).select("c_custkey", "tokens", "activities", "geocodable", "cost_micros", "cents", "low_cents", "high_cents")
 
 
-@_query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'input' ELSE 'output' END AS side, (p_partkey % 1000)::DOUBLE * CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 4.0 END AS cost_micros FROM part WHERE p_partkey % 1000 > 0")
+@_query("SELECT model, provider, resource, sum(quantity) AS quantity, sum(quantity * price) AS cost_micros FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'gpt-5' ELSE 'gemini-3-pro' END AS model, CASE WHEN p_partkey % 3 = 0 THEN 'openai' ELSE 'google' END AS provider, 'ai_input_tokens' AS resource, (p_partkey % 4)::DOUBLE AS quantity, CASE WHEN p_partkey % 3 = 0 THEN 1.25::DOUBLE ELSE 2.0::DOUBLE END AS price FROM part UNION ALL SELECT CASE WHEN p_partkey % 3 = 0 THEN 'gpt-5' ELSE 'gemini-3-pro' END, CASE WHEN p_partkey % 3 = 0 THEN 'openai' ELSE 'google' END, 'ai_output_tokens', (p_partkey % 7)::DOUBLE, CASE WHEN p_partkey % 3 = 0 THEN 10.0::DOUBLE ELSE 12.0::DOUBLE END FROM part) WHERE quantity > 0 GROUP BY ALL")
 def cost_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    calls = _read(spark, sf_dir, "part").select("p_partkey", F.lit("m").alias("model"), F.when(key % 2 == 0, key % 1000).otherwise(0).alias("input_tokens"), F.when(key % 2 == 1, key % 1000).otherwise(0).alias("output_tokens"))
-    pricing = spark.createDataFrame([("m", "p", 0.5, 4.0)], "model string, provider string, input_token_price double, output_token_price double")
-    made = calls.withColumn("model", F.col("model")).alias("c")
-    usage = costs.model_usage(made.withColumn("model", F.lit("m")), pricing)  # keys are told apart by what they cost
-    side = F.regexp_extract("resource", "ai_(.*)_tokens", 1)
-    price = F.when(side == "input", 0.5).otherwise(4.0)
-    parts = calls.select("p_partkey", F.when(key % 2 == 0, "input").otherwise("output").alias("side"), (key % 1000).cast("double").alias("quantity"))
-    distinct = usage.select(side.alias("side"), "quantity", (F.col("quantity") * price).alias("cost_micros")).distinct()
-    return parts.join(distinct, ["side", "quantity"]).select("p_partkey", "side", "cost_micros")
+    calls = _read(spark, sf_dir, "part").select(F.when(key % 3 == 0, "gpt-5").otherwise("gemini-3-pro").alias("model"), (key % 4).alias("input_tokens"), (key % 7).alias("output_tokens"))
+    usage = costs.model_usage(calls, costs.price_table(spark))
+    return usage.groupBy("model", "provider", "resource").agg(F.sum("quantity").alias("quantity"), F.sum("cost_micros").alias("cost_micros"))
 
 
 @_query("SELECT count(*) AS located, round(avg(c_acctbal::DOUBLE), 4) AS lat, round(avg(c_nationkey::DOUBLE), 4) AS lng FROM customer WHERE c_custkey % 3 > 0")
@@ -475,13 +469,12 @@ def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.regexp_extract("item_title", r"(\d+)$", 1).cast("long").alias("item"), "site", "url")
 
 
-@_query("SELECT r_regionkey AS wanted_key, n_name AS label FROM (SELECT r_regionkey, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY (CASE WHEN contains(lower(n_name), 'an') THEN 60 ELSE 0 END) * 10 + least(n_nationkey, 100) - CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 500 END DESC, n_name) AS k FROM nation JOIN region ON n_regionkey = r_regionkey) WHERE k = 1")
+@_query("WITH s AS (SELECT lower(left(r_name, 2)) AS wanted, n_name AS label, CASE WHEN lower(n_name) = lower(left(r_name, 2)) THEN 100 WHEN starts_with(lower(n_name), lower(left(r_name, 2))) THEN 80 WHEN contains(lower(n_name), lower(left(r_name, 2))) THEN 60 WHEN contains(lower(left(r_name, 2)), lower(n_name)) THEN 40 ELSE 0 END * 10 + least(n_nationkey * 9, 100) - CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 500 END AS match_score FROM nation, region) SELECT wanted, label, match_score::BIGINT AS match_score FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY match_score DESC, label) AS k FROM s) WHERE k = 1")
 def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _read(spark, sf_dir, "nation")
-    rows = n.select(F.col("n_regionkey").alias("wanted_key"), F.concat(F.lit("x"), F.col("n_regionkey").cast("string")).alias("wanted"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("sitelinks"), (F.col("n_nationkey") % 2 == 0).alias("has_id"))
-    score = F.when(F.lower("label").contains("an"), 60).otherwise(0)
-    order = Window.partitionBy("wanted").orderBy(F.desc(score * 10 + F.least("sitelinks", F.lit(100)) - F.when(F.col("has_id"), 0).otherwise(500)), "label")
-    return rows.withColumn("k", F.row_number().over(order)).filter("k = 1").select("wanted_key", "label")
+    wanted = _read(spark, sf_dir, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("wanted"))
+    found = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("label"), (F.col("n_nationkey") * 9).alias("sitelinks"), (F.col("n_nationkey") % 2 == 0).alias("has_id"))
+    made = enrich.rank_entities(found.join(wanted, F.lit(True)))  # five titles
+    return made.select("wanted", "label", F.col("match_score").cast("long").alias("match_score"))
 
 
 @_query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'miss' WHEN page_id % 3 = 1 THEN 'hit' ELSE 'known_failure' END AS state FROM pages")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from murmurlake.plans.queries import ENTRIES
+from murmurlake.plans.lookup_queries import ENTRIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
