@@ -7,7 +7,7 @@ that holds already, so a window whose outer edges pass this test against the tok
 token outside can change.  A window that fails is doubled.  Pieces (matches of the split pattern) that aren't tokens are halved down to
 leaves of at most ``LEAF`` bytes, which are merged directly, and joined again up the tree, so a piece without any break costs O(n log n)
 and no quadratic merge loop sees it.  Whether two tokens stay side by side is remembered by the pair, and so are the windows' encodings
-(by the two tokens at the seam for the smallest window).  Decoding concatenates halves up the same tree, down to ``LEAF`` tokens.
+(by the two tokens at the seam for the smallest window) and halves of up to ``HALF`` bytes.  Decoding concatenates halves up the same tree, down to ``LEAF`` tokens.
 
 Edge cases: null and empty texts give zero tokens and the digest of the empty string; repeated rows and ties
 are answered row by row; an empty table gives an empty result; other columns are ignored.
@@ -30,6 +30,8 @@ _NONE = 1 << 60
 REMEMBERED = 200_000
 #: Pairs of tokens remembered in the same way.
 PAIRS = 400_000
+#: Halves of at most so many bytes, which recur in many pieces, are remembered in the same way, as many as pairs.
+HALF = 8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,6 +45,7 @@ class TreeBpe:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern)
         self._seams: dict[tuple[int, int], list[int] | None] = {}
+        self._halves: dict[bytes, list[int]] = {}
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the leftmost pair of least rank until none is left."""
@@ -89,10 +92,18 @@ class TreeBpe:
             k *= 2
 
     def encode_piece(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.leaf(data)
-        half = len(data) // 2
-        return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        size = len(data)
+        if size <= HALF and (known := self._halves.get(data)) is not None:
+            return known
+        if size <= LEAF:
+            made = self.leaf(data)
+        else:
+            made = self.join(self.encode_piece(data[: size // 2]), self.encode_piece(data[size // 2 :]))
+        if size <= HALF:
+            if len(self._halves) > PAIRS:
+                self._halves.clear()
+            self._halves[data] = made
+        return made
 
     def piece(self, data: bytes) -> list[int]:
         """A whole match of the pattern; one that is a token stays a token."""
