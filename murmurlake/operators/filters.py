@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,47 @@ class ExportFilter:
     limit: int | None = None
 
 
+def option_date(text: str | None) -> datetime.date | None:
+    """A day as YYYY-MM-DD; None where it isn't one."""
+    try:
+        return datetime.date.fromisoformat(text) if text else None
+    except ValueError:
+        return None
+
+
+def filter_of(kind: str, args: Mapping[str, Any], config: Mapping[str, Any] | None = None) -> ExportFilter:
+    """The filter of an export of one kind from options named export_*, and pdf_* before them for 'pdf'.
+
+    An option of the command line goes before the same one of the settings, and those of pdf before the general ones.  Empty lists count as unset
+    everywhere, no limit and the order by score only on the command line; flags hold if any place sets them.
+    """
+    layers = [(t, f"{lead}_", t is args) for lead in (("pdf", "export") if kind == "pdf" else ("export",)) for t in (args, config or {})]
+
+    def first(name: str, default: Any = None) -> Any:
+        for table, lead, typed in layers:
+            value = table.get(lead + name)
+            if value is None or value in ([], ()) or (typed and (name, value) in (("max_activities", 0), ("sort", "score"))):
+                continue
+            return value
+        return default
+
+    def flag(name: str) -> bool:
+        return any(bool(table.get(lead + name)) for table, lead, _ in layers)
+
+    return ExportFilter(
+        categories=tuple(first("categories", ())),
+        countries=tuple(first("countries", ())),
+        senders=tuple(first("from", ())),
+        start=option_date(first("start_date")),
+        end=option_date(first("end_date")),
+        min_score=float(first("min_score", 0)),
+        only_locations=flag("only_locations"),
+        only_generic=flag("only_generic"),
+        order=first("sort", "score"),
+        limit=max(0, first("max_activities", 0)) or None,
+    )
+
+
 def normal_country(column: Column, countries: dict[str, str]) -> Column:
     """Names for codes and aliases (keys in upper case); trimmed input otherwise, null for blanks."""
     trimmed = F.nullif(F.trim(column), F.lit(""))

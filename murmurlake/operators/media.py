@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurlake.functions.text import without_accents
+from murmurlake.operators.enrich import first_of, license_check
+
+# Names and the least width of pictures that are taken from an article.
+NOT_PHOTOS = r"\.svg$|\.gif$|logo|icon|flag|coat_of_arms"
+LEAST_WIDTH = 400
 
 
 def object_name(column: Column) -> Column:
@@ -75,6 +82,54 @@ def stock_query(most: int = 100) -> Column:
     return F.substring(F.coalesce(F.nullif(F.trim("stock"), F.lit("")), category), 1, most)
 
 
+def image_chain(activities: DataFrame, photos: DataFrame, index: DataFrame, synonyms: DataFrame, stocks: Sequence[tuple[str, DataFrame]], base: str) -> DataFrame:
+    """Adds image_url and image_url_source: the first that is found of
+
+    the venue's own photo (``photos``: place_id, image_url; only where place_id is a venue's), the library's picture of the object unless stock
+    pictures are preferred, each stock table (source, table of query and image_url) in turn, the library's picture where they are, and the
+    category's picture unless it is 'other'.  activities: ord, place_id, is_venue, object, prefer_stock, stock, category, country_code.
+    """
+    asked = activities.select(
+        "ord", F.when(F.col("is_venue"), F.col("place_id")).alias("_venue"), stock_query().alias("_query"), "object", "category", "country_code",
+        F.when(~F.coalesce("prefer_stock", F.lit(False)), F.col("ord")).alias("_early"),
+        F.when(F.col("prefer_stock"), F.col("ord")).alias("_late"),
+        F.when(F.col("category") != "other", F.col("ord")).alias("_category"),
+    )
+    none = F.lit(None).cast("string")
+
+    def pictures(**without: Column) -> DataFrame:
+        rows = asked.select("ord", "object", "category", "country_code").withColumns({"country": none, **without})
+        found = library_images(rows, index, synonyms).filter(F.col("image_hash").isNotNull())
+        return found.select(F.col("ord").alias("key"), image_url(base).alias("image_url"))
+
+    objects, categories = pictures(category=none), pictures(object=none)
+    chain = [("google_places", photos.select(F.col("place_id").alias("key"), "image_url"), "_venue"), ("media_library", objects, "_early")]
+    chain += [(source, table.select(F.col("query").alias("key"), "image_url"), "_query") for source, table in stocks]
+    chain += [("media_library", objects, "_late"), ("media_library_category", categories, "_category")]
+    return activities.join(first_of(asked, chain, "image_url").select("ord", "image_url", "image_url_source"), "ord", "left")
+
+
+def article_name(query: Column) -> Column:
+    """Name of an article as addresses have it: words with a capital, joined by underscores."""
+    return F.array_join(F.transform(F.split(query, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), "_")
+
+
+def article_images(activities: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Adds image_url and image_url_source (wiki_name, place_name, city or country: whose article has the first usable picture).
+
+    pictures: article, rank, name, width, license, image_url; usable are photos of at least 400 pixels under an allowed licence, by rank."""
+    usable = pictures.filter(~F.lower("name").rlike(NOT_PHOTOS) & (F.col("width") >= LEAST_WIDTH) & license_check(F.col("license"))["allowed"])
+    best = usable.groupBy(F.col("article").alias("key")).agg(F.min_by("image_url", F.struct("rank", "image_url")).alias("image_url"))
+    names = ("wiki_name", "place_name", "city", "country")
+    asked = activities.withColumns({f"_{n}": article_name(F.nullif(F.col(n), F.lit(""))) for n in names})
+    return first_of(asked, [(n, best, f"_{n}") for n in names], "image_url").drop(*[f"_{n}" for n in names])
+
+
+def image_stats(rows: DataFrame) -> DataFrame:
+    """source, n: how many rows have their picture from where; 'none' for those without."""
+    return rows.groupBy(F.coalesce("image_url_source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"))
+
+
 def needs_attribution(source: Column, license_: Column) -> Column:
     free = F.lower(F.trim(license_)).rlike("^(?:cc0|cc[- ]0|public[- ]?domain|pd)")
     return F.when(source == "wikipedia", ~F.coalesce(free, F.lit(False))).otherwise(source.isin("google_places", "pexels", "unsplash"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmurlake.functions import urls as U
 from murmurlake.functions.text import contains_any, decode_entities, hashtags
-from murmurlake.operators.pages import json_ld, open_graph
+from murmurlake.operators.pages import assigned_json, json_ld, open_graph
 
 # Domains by platform, hosts that aren't fetched.
 DOMAINS = (
@@ -23,7 +23,6 @@ DOMAINS = (
     ("google_maps", ("maps.google.", "google.com/maps", "goo.gl/maps")),
 )
 BLOCKED_HOSTS = ("booking.com", "tripadvisor.com", "tripadvisor.co.", "tripadvisor.ca")
-_PLAYER = r"(?s)ytInitialPlayerResponse\s*=\s*(\{.*?\})\s*;\s*(?:var|</script)"
 _TIKTOK = (r'(?s)<script[^>]*id="__UNIVERSAL_DATA_FOR_REHYDRATION__"[^>]*>(.*?)</script>', r'(?s)<script[^>]*id="SIGI_STATE"[^>]*>(.*?)</script>')
 
 
@@ -61,7 +60,7 @@ def scrape(pages: DataFrame) -> DataFrame:
         {
             "_og": open_graph(html),
             "_ld": F.try_element_at(json_ld(html), F.lit(1)),
-            "_player": _found(html, _PLAYER),
+            "_player": assigned_json(html, "ytInitialPlayerResponse"),
             "_tok": F.coalesce(*[_found(html, r) for r in _TIKTOK]),
         }
     )

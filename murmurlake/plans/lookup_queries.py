@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmurlake.functions import keys
 from murmurlake.functions import text as T
 from murmurlake.functions import urls as U
-from murmurlake.operators import costs, entities, previews, semantic, stats
+from murmurlake.operators import costs, entities, media, pages, previews, semantic, stats
 from murmurlake.plans.queries import ENTRIES, MESSAGES, _pick, _query, _read, messages, oracle_sql, queries
 
 __all__ = ["ENTRIES", "oracle_sql", "queries"]
@@ -241,3 +241,65 @@ def link_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         U.is_reddit(url).alias("reddit"),
         U.url_problem(url, ("own.example",)).alias("problem"),
     )
+
+
+@_query("""
+WITH r AS (SELECT c_custkey AS k FROM customer), s AS (SELECT k, CASE WHEN k % 20 = 0 THEN 'google_places' WHEN k % 3 = 0 AND k % 2 = 1 THEN 'media_library'
+  WHEN k % 7 = 0 THEN 'pexels' WHEN k % 11 = 0 THEN 'pixabay' WHEN k % 3 = 0 THEN 'media_library' WHEN k % 4 <> 0 THEN 'media_library_category' END AS source FROM r)
+SELECT k, source, CASE source WHEN 'google_places' THEN 'photo' || k WHEN 'media_library' THEN 'https://img.example/objects/kayak/k1-700.jpg'
+  WHEN 'pexels' THEN 'a' || k WHEN 'pixabay' THEN 'b' || k WHEN 'media_library_category' THEN 'https://img.example/categories/food/f1-700.jpg' END AS url FROM s""")
+def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("ord")
+    text = k.cast("string")
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord")).select(
+        "ord", F.concat(F.lit("p"), text).alias("place_id"), (k % 10 == 0).alias("is_venue"), F.when(k % 3 == 0, "Boat").otherwise("zzz").alias("object"),
+        (k % 2 == 0).alias("prefer_stock"), F.concat(F.lit("s"), text).alias("stock"), F.when(k % 4 == 0, "other").otherwise("food").alias("category"),
+        F.lit("NZ").alias("country_code"),
+    )
+    index = spark.createDataFrame([("objects", "kayak", ["k1"]), ("categories", "food", ["f1"]), ("categories", "other", ["o1"])], "entity_type string, item string, entries array<string>")
+    synonyms = spark.createDataFrame([("object", "kayak", "boat", None)], "kind string, folder string, synonym string, country_code string")
+
+    def table(name: str, every: int, key: str, lead: str) -> DataFrame:
+        return rows.filter(k % every == 0).select(F.col(key).alias(name), F.concat(F.lit(lead), text).alias("image_url"))
+
+    photos, stocks = table("place_id", 4, "place_id", "photo"), [("pexels", table("query", 7, "stock", "a")), ("pixabay", table("query", 11, "stock", "b"))]
+    made = media.image_chain(rows, photos, index, synonyms, stocks, "https://img.example")
+    return made.select(k.alias("k"), F.col("image_url_source").alias("source"), F.col("image_url").alias("url"))
+
+
+@_query("""
+SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'wiki_name' WHEN 1 THEN 'city' WHEN 2 THEN 'country' END AS source,
+  CASE s_suppkey % 4 WHEN 0 THEN 'w' || s_suppkey WHEN 1 THEN 'town' WHEN 2 THEN 'land' END AS url FROM supplier""")
+def article_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    rows = _read(spark, sf_dir, "supplier").select(
+        k.alias("k"), F.when(k % 4 == 0, F.concat(F.lit("old house "), text)).alias("wiki_name"), F.when(k % 4 < 3, F.concat(F.lit("hall "), text)).alias("place_name"),
+        F.when(k % 4 == 1, "some town").alias("city"), F.when(k % 4 < 3, "Land").otherwise("").alias("country"),
+    )
+    key = F.col("k").cast("string")
+    kinds = "article string, rank int, name string, width int, license string, image_url string"
+    fixed = spark.createDataFrame([("Some_Town", 1, "Town logo.png", 900, "CC BY 4.0", "logo"), ("Some_Town", 2, "Town.jpg", 399, "CC BY 4.0", "small"), ("Some_Town", 3, "Town.jpg", 400, "CC BY 4.0", "town"), ("Land", 1, "Land.jpg", 800, "CC0", "land")], kinds)
+    own = [F.lit(1).alias("rank"), F.lit("a.jpg").alias("name"), F.lit(800).alias("width")]
+    houses = rows.select(F.concat(F.lit("Old_House_"), key).alias("article"), *own, F.lit("CC BY-SA 3.0").alias("license"), F.concat(F.lit("w"), key).alias("image_url"))
+    halls = rows.select(F.concat(F.lit("Hall_"), key).alias("article"), *own, F.lit("fair use").alias("license"), F.lit("hall").alias("image_url"))
+    made = media.article_images(rows, fixed.unionByName(houses).unionByName(halls))
+    return made.select("k", F.col("image_url_source").alias("source"), F.col("image_url").alias("url"))
+
+
+@_query("""
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Name ' || page_id WHEN 1 THEN 'Head } ' || page_id ELSE 'Og & ' || page_id END AS title,
+  CASE page_id % 3 WHEN 0 THEN 'own.jpg' WHEN 1 THEN 'first.jpg' ELSE 'og.jpg' END AS image,
+  CASE page_id % 3 WHEN 0 THEN 'example.org,article' WHEN 1 THEN 'example.org,event' ELSE 'example.org' END AS categories FROM pages""")
+def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    text, block, end = key.cast("string"), '<script type="application/ld+json">', "</script>"
+    skipped = f'{block}{{"@type": "BreadcrumbList", "name": "no"}}{end}{block}broken{end}'
+    html = (
+        F.when(key % 3 == 0, F.concat(F.lit(skipped + block + '{"@type": "Article", "image": {"url": "own.jpg"}, "name": "Name '), text, F.lit('"}' + end)))
+        .when(key % 3 == 1, F.concat(F.lit(block + '{"@type": "Event", "image": ["first.jpg", "b"], "headline": "Head } '), text, F.lit('"}' + end)))
+        .otherwise(F.concat(F.lit(skipped + '<meta property="og:image" content="og.jpg"><meta property="og:title" content="Og &amp; '), text, F.lit('">')))
+    )
+    rows = _read(spark, sf_dir, "pages").select(F.concat(F.lit("https://www.example.org/"), text).alias("url"), html.alias("html"))
+    made = pages.generic_metadata(rows)
+    return made.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "title", F.col("image_url").alias("image"), F.array_join("categories", ",").alias("categories"))

@@ -105,3 +105,41 @@ def test_semantic_and_heuristic_candidates_merge(spark):
     merged = {(r.chat_id, r.message_id): r.source_type for r in semantic.all_candidates(chat, found).collect()}
     assert merged[(1, 0)] == merged[(2, 0)] == "regex" and merged[(1, 3)] == "semantic"
     assert (1, 2) not in merged and (2, 3) not in merged  # too short; a reply within a suggestion's window
+
+
+def test_export_options_by_place():
+    import datetime
+
+    from murmurlake.operators.filters import ExportFilter, filter_of
+
+    args = {"export_categories": [], "export_from": ["Ann"], "export_max_activities": 0, "export_sort": "score", "export_end_date": "2024-13-01", "pdf_sort": "score", "pdf_max_activities": 0}
+    config = {
+        "export_categories": ["food"], "export_from": ["Bo"], "export_max_activities": 7, "export_sort": "oldest", "export_end_date": "2024-01-01",
+        "pdf_categories": ["music"], "pdf_only_locations": True, "pdf_start_date": "2024-02-03", "pdf_min_score": 0.5, "export_min_score": 0.25,
+    }
+    assert filter_of("csv", args) == ExportFilter(senders=("Ann",))
+    assert filter_of("csv", args, config) == ExportFilter(categories=("food",), senders=("Ann",), min_score=0.25, order="oldest", limit=7)
+    told = filter_of("pdf", args, config)
+    assert told == ExportFilter(categories=("music",), senders=("Ann",), start=datetime.date(2024, 2, 3), min_score=0.5, only_locations=True, order="oldest", limit=7)
+    assert filter_of("pdf", args, config | {"pdf_max_activities": 0}).limit is None
+    assert filter_of("pdf", args | {"pdf_max_activities": 3, "pdf_categories": ["art"]}, config).limit == 3
+
+
+def test_assigned_objects_end_at_their_own_brace(spark):
+    from murmurlake.operators import pages, platforms
+
+    html = 'x <script>var ytInitialPlayerResponse = {"videoDetails": {"title": "a }; var \\" {b", "author": "me"}}; var other = {"videoDetails": 1};</script>'
+    rows = spark.createDataFrame([("https://youtu.be/abcdefghijk", 200, html), ("https://youtu.be/abcdefghijk", 200, "none"), (None, None, None)], "url string, status int, html string")
+    told = rows.select(pages.assigned_json(F.col("html"), "ytInitialPlayerResponse").alias("j")).select(F.get_json_object("j", "$.videoDetails.title").alias("t"))
+    assert [r["t"] for r in told.collect()] == ['a }; var " {b', None, None]
+    assert platforms.scrape(rows.limit(1)).first()["title"] == 'a }; var " {b'
+
+
+def test_pictures_of_nothing(spark):
+    from murmurlake.operators import media
+
+    rows = spark.createDataFrame([(1, None, None, None, None)], "k int, wiki_name string, place_name string, city string, country string")
+    pictures = spark.createDataFrame([], "article string, rank int, name string, width int, license string, image_url string")
+    made = media.article_images(rows, pictures)
+    assert made.select("image_url", "image_url_source").first() == (None, None)
+    assert [tuple(r) for r in media.image_stats(made).collect()] == [("none", 1)]
