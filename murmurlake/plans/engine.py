@@ -25,9 +25,11 @@ class Engine:
         instructions: str = "List the activities that these messages suggest, as JSON.",
         batch_size: int = 30,
         stages: Stages | None = None,
+        strict_offsets: bool = True,
     ):
         self.spark, self.chats, self.classifier, self.places = spark, chats, classifier, place_responses
         self.instructions, self.batch_size, self.stages = instructions, batch_size, stages
+        self.strict_offsets = strict_offsets
         self.built: dict[str, DataFrame] = {}
 
     def get(self, stage: str) -> DataFrame:
@@ -45,21 +47,32 @@ class Engine:
     def _candidates(self) -> DataFrame:
         return candidates.extract_candidates(self.get("messages"))
 
-    def _prompts(self) -> DataFrame:
+    def _contexts(self) -> DataFrame:
         found, messages = self.get("candidates"), self.get("messages")
         bounds = context.context_bounds(messages).select("chat_id", messages["id"].alias("message_id"), "first_id", "last_id")
         rows = context.with_context(found.join(bounds, ["chat_id", "message_id"]), messages)
-        return classify.prompts(context.fixed_batches(rows, self.batch_size, rows["message_id"]), self.instructions)
+        return context.fixed_batches(rows, self.batch_size, rows["message_id"])
+
+    def _prompts(self) -> DataFrame:
+        return classify.prompts(self.get("contexts"), self.instructions)
 
     def _activities(self) -> DataFrame:
-        """Activities in the order of their messages; as many as a classifier found, so one task can number them."""
+        """Activities in the order of their messages; as many as a classifier found, so one task can number them.
+
+        An offset means a message of the candidate's context.  One that points outside fails the stage, or means the candidate itself where
+        offsets aren't strict."""
         found = classify.to_activities(classify.parse_responses(self.classifier(self.get("prompts"))))
-        messages = self.get("messages")
-        entry = F.struct("id", "timestamp", "sender", F.col("content").alias("message"))
-        said = messages.select(F.col("id").alias("message_id"), entry.alias("m"), "chat_id")
-        keyed = found.withColumn("chat_id", F.regexp_replace("batch_id", r"#\d+$", "")).withColumn("message_id", F.col("message_id") + F.when(F.col("offset") == 0, 0).otherwise(F.col("offset")))
-        joined = keyed.join(said, ["chat_id", "message_id"]).withColumn("messages", F.array("m"))
-        return joined.withColumn("ord", F.row_number().over(Window.orderBy("batch_id", "chat_id", "message_id", "activity_id")).cast("long")).drop("m", "chat_id", "message_id", "offset", "batch_id")
+        keyed = found.withColumn("chat_id", F.regexp_replace("batch_id", r"#\d+$", ""))
+        told = self.get("contexts").select("chat_id", "message_id", "sender", "content", "timestamp", "context_before", "context_after")
+        own = F.struct(F.col("message_id").alias("id"), "sender", "content", "timestamp")
+        meant = classify.at_offset(F.col("offset"), own, F.col("context_before"), F.col("context_after"))
+        wrong = F.concat(F.lit("message "), F.col("message_id").cast("string"), F.lit(" of chat "), "chat_id", F.lit(" has no context at offset "), F.col("offset").cast("string"))
+        rest = F.raise_error(wrong).cast(told.select(own.alias("m")).schema["m"].dataType) if self.strict_offsets else own
+        joined = keyed.join(told, ["chat_id", "message_id"]).withColumn("m", F.coalesce(meant, rest))
+        entry = F.struct(F.col("m.id").alias("id"), F.col("m.timestamp").alias("timestamp"), F.col("m.sender").alias("sender"), F.col("m.content").alias("message"))
+        order = Window.orderBy("batch_id", "chat_id", "message_id", "activity_id")
+        made = joined.withColumn("messages", F.array(entry)).withColumn("ord", F.row_number().over(order).cast("long"))
+        return made.select(*[c for c in found.columns if c not in ("message_id", "offset", "batch_id")], "messages", "ord")
 
     def _grouped(self) -> DataFrame:
         rows = self.get("activities")

@@ -6,13 +6,16 @@ import html
 import io
 import json
 import zipfile
+from collections.abc import Mapping, Sequence
+from typing import Any
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmurlake.functions.text import truncated
 from murmurlake.functions.urls import maps_link
+from murmurlake.operators.filters import filter_of, select_activities
 
 PALETTE = ("#e6194b", "#3cb44b", "#4363d8", "#f58231", "#911eb4", "#46f0f0", "#f032e6", "#9a6324")
 
@@ -130,3 +133,38 @@ def pdf_bytes(activities: DataFrame, title: str, lines_per_page: int = 50) -> by
     table = "".join(f"{p:010d} 00000 n \n" for p in places)
     end = f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF"
     return out + end.encode()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of one document, in whatever file system its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+KINDS = ("csv", "json", "excel", "map", "pdf")
+
+
+def write_exports(activities: DataFrame, folder: str, kinds: Sequence[str], args: Mapping[str, Any], config: Mapping[str, Any] | None = None, title: str = "Activities") -> dict[str, str]:
+    """Writes each kind with the filter that its own options make; the paths by kind.  Tables are folders of Spark, the rest single files."""
+    wrong = [k for k in kinds if k not in KINDS]
+    if wrong:
+        raise ValueError(f"no such export: {', '.join(wrong)}")
+    spark, made = activities.sparkSession, {}
+    for kind in kinds:
+        rows = select_activities(activities, filter_of(kind, args, config))
+        made[kind] = path = f"{folder.rstrip('/')}/activities.{dict(excel='xlsx', map='html').get(kind, kind)}"
+        if kind == "csv":
+            write_csv(rows, path)
+        elif kind == "json":
+            write_json(rows, path)
+        elif kind == "excel":
+            write_bytes(spark, path, xlsx_bytes(rows))
+        elif kind == "map":
+            write_bytes(spark, path, map_html(rows, title).encode())
+        else:
+            write_bytes(spark, path, pdf_bytes(rows, title))
+    return made

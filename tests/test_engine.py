@@ -32,6 +32,43 @@ def test_engine(spark, tmp_path):
     assert again.get("geocoded").count() == 1  # every stage was read back
 
 
+def test_offsets_mean_context(spark):
+    import pytest
+
+    chats = spark.createDataFrame([("a", CHAT)], "chat_id string, content string")
+    places = spark.createDataFrame([], "kind string, query string, status string, latitude double, longitude double, place_id string")
+
+    def reply(offset):
+        text = F.format_string('[{"msg": 0, "title": "beach", "off": %d}]', F.lit(offset))
+        return lambda prompts: prompts.select("batch_id", "expected_ids", text.alias("response"))
+
+    for offset, said in ((0, "we should go to the beach"), (1, "ok"), (3, "hello")):
+        row = Engine(spark, chats, reply(offset), places).get("activities").first()
+        assert [m["message"] for m in row["messages"]] == [said]
+    for offset in (4, -1):
+        with pytest.raises(Exception, match="no context at offset"):
+            Engine(spark, chats, reply(offset), places).get("activities").collect()
+        loose = Engine(spark, chats, reply(offset), places, strict_offsets=False).get("activities").first()
+        assert loose["messages"][0]["message"] == "we should go to the beach"
+
+
+def test_command_line_exports(spark, tmp_path):
+    import json
+
+    from murmurlake import cli
+
+    said = [(1, datetime.datetime(2024, 1, 1), "Ann", "let's go")]
+    kind = "ord long, activity string, category string, score double, place_name string, place_query string, city string, region string, country string, latitude double, longitude double, place_id string, place_lookup_source string, messages array<struct<id:long,timestamp:timestamp,sender:string,message:string>>"
+    rows = [(1, "Beach", "nature", 3.0, None, None, "Napier", None, "NZ", -39.5, 176.9, "p", "geocode", said), (2, "Film", "movie", 4.0, None, None, None, None, None, None, None, None, None, said)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "in"))
+    (tmp_path / "c.json").write_text(json.dumps({"export_categories": ["movie"], "pdf_categories": ["nature"]}))
+    cli.main(["export", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--config", str(tmp_path / "c.json"), "--formats", "json", "csv", "excel", "map", "pdf"])
+    assert [r["activity"] for r in spark.read.json(str(tmp_path / "out/activities.json")).collect()] == ["Film"]
+    assert spark.read.csv(str(tmp_path / "out/activities.csv"), header=True).first()["activity"] == "Film"
+    assert b"Beach" in (tmp_path / "out/activities.pdf").read_bytes() and b"Film" not in (tmp_path / "out/activities.pdf").read_bytes()
+    assert "Film" in (tmp_path / "out/activities.html").read_text() and (tmp_path / "out/activities.xlsx").read_bytes()[:2] == b"PK"
+
+
 def test_cache(spark, tmp_path):
     cache = ResponseCache(spark, str(tmp_path / "cache"))
     row = "key string, data string, cached_at timestamp"
