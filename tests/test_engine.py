@@ -35,21 +35,23 @@ def test_engine(spark, tmp_path):
 def test_offsets_mean_context(spark):
     import pytest
 
-    chats = spark.createDataFrame([("a", CHAT)], "chat_id string, content string")
-    places = spark.createDataFrame([], "kind string, query string, status string, latitude double, longitude double, place_id string")
-
-    def reply(offset):
-        text = F.format_string('[{"msg": 0, "title": "beach", "off": %d}]', F.lit(offset))
-        return lambda prompts: prompts.select("batch_id", "expected_ids", text.alias("response"))
-
-    for offset, said in ((0, "we should go to the beach"), (1, "ok"), (3, "hello")):
-        row = Engine(spark, chats, reply(offset), places).get("activities").first()
-        assert [m["message"] for m in row["messages"]] == [said]
-    for offset in (4, -1):
+    at = datetime.datetime(2024, 1, 1)
+    near = "array<struct<id:long,sender:string,content:string,timestamp:timestamp>>"
+    row = ("a", 5, "Ann", "go", at, [(3, "Bob", "far", at), (4, "Bob", "near", at)], [(6, "Bob", "next", at)])
+    contexts = spark.createDataFrame([row], f"chat_id string, message_id long, sender string, content string, timestamp timestamp, context_before {near}, context_after {near}")
+    prompts = spark.createDataFrame([("a#0", "?", [5])], "batch_id string, prompt string, expected_ids array<long>")
+
+    def said(offset, strict=True):
+        text = F.lit('[{"msg": 5, "title": "beach", "off": %d}]' % offset)
+        engine = Engine(spark, None, lambda asked: asked.select("batch_id", "expected_ids", text.alias("response")), None, strict_offsets=strict)
+        engine.built = {"contexts": contexts, "prompts": prompts}
+        return [(m["id"], m["message"]) for m in engine.get("activities").first()["messages"]]
+
+    assert [said(n) for n in (0, -1, -2, 1)] == [[(5, "go")], [(4, "near")], [(3, "far")], [(6, "next")]]
+    for offset in (2, -3):
         with pytest.raises(Exception, match="no context at offset"):
-            Engine(spark, chats, reply(offset), places).get("activities").collect()
-        loose = Engine(spark, chats, reply(offset), places, strict_offsets=False).get("activities").first()
-        assert loose["messages"][0]["message"] == "we should go to the beach"
+            said(offset)
+        assert said(offset, strict=False) == [(5, "go")]
 
 
 def test_command_line_exports(spark, tmp_path):
