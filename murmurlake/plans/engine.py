@@ -25,11 +25,11 @@ class Engine:
         instructions: str = "List the activities that these messages suggest, as JSON.",
         batch_size: int = 30,
         stages: Stages | None = None,
-        strict_offsets: bool = True,
+        fail_outside: bool = True,
     ):
         self.spark, self.chats, self.classifier, self.places = spark, chats, classifier, place_responses
         self.instructions, self.batch_size, self.stages = instructions, batch_size, stages
-        self.strict_offsets = strict_offsets
+        self.fail_outside = fail_outside
         self.built: dict[str, DataFrame] = {}
 
     def get(self, stage: str) -> DataFrame:
@@ -60,14 +60,14 @@ class Engine:
         """Activities in the order of their messages; as many as a classifier found, so one task can number them.
 
         An offset means a message of the candidate's context.  One that points outside fails the stage, or means the candidate itself where
-        offsets aren't strict."""
+        ``fail_outside`` is off."""
         found = classify.to_activities(classify.parse_responses(self.classifier(self.get("prompts"))))
         keyed = found.withColumn("chat_id", F.regexp_replace("batch_id", r"#\d+$", ""))
         told = self.get("contexts").select("chat_id", "message_id", "sender", "content", "timestamp", "context_before", "context_after")
         own = F.struct(F.col("message_id").alias("id"), "sender", "content", "timestamp")
         meant = classify.at_offset(F.col("offset"), own, F.col("context_before"), F.col("context_after"))
         wrong = F.concat(F.lit("message "), F.col("message_id").cast("string"), F.lit(" of chat "), "chat_id", F.lit(" has no context at offset "), F.col("offset").cast("string"))
-        rest = F.raise_error(wrong).cast(told.select(own.alias("m")).schema["m"].dataType) if self.strict_offsets else own
+        rest = F.raise_error(wrong).cast(told.select(own.alias("m")).schema["m"].dataType) if self.fail_outside else own
         joined = keyed.join(told, ["chat_id", "message_id"]).withColumn("m", F.coalesce(meant, rest))
         entry = F.struct(F.col("m.id").alias("id"), F.col("m.timestamp").alias("timestamp"), F.col("m.sender").alias("sender"), F.col("m.content").alias("message"))
         order = Window.orderBy("batch_id", "chat_id", "message_id", "activity_id")

@@ -43,7 +43,7 @@ def test_offsets_mean_context(spark):
 
     def said(offset, strict=True):
         text = F.lit('[{"msg": 5, "title": "beach", "off": %d}]' % offset)
-        engine = Engine(spark, None, lambda asked: asked.select("batch_id", "expected_ids", text.alias("response")), None, strict_offsets=strict)
+        engine = Engine(spark, None, lambda asked: asked.select("batch_id", "expected_ids", text.alias("response")), None, fail_outside=strict)
         engine.built = {"contexts": contexts, "prompts": prompts}
         return [(m["id"], m["message"]) for m in engine.get("activities").first()["messages"]]
 
