@@ -8,15 +8,7 @@ counts over all documents (``token_levels``), kept in a table of bounded size wh
 results.  The first order deals classes to the tokens of their prefixes; candidates that differ too much in size, or don't share enough
 under another order, go before any set is compared.
 
-A token shared by more than ``SMALL`` classes doesn't make pairs.  Its classes form a *group*, and each is described by its difference D
-to the group's *pivot*, the tokens that about half of the group holds; any set would do, this one makes differences small.
-As |x ^ y| = |D(x) ^ D(y)|, x and y link if |D(x) ^ D(y)| <= c(|x| + |y|) with c = (1-t)/(1+t).  So with a(x) = |D(x)| - c|x|, a pair with
-a(x) + a(y) <= 0 always links, and both link to the class of least a, the *hub*, which keeps the component without the pair; any
-other pair that links shares an element of the differences' prefixes.  These elements are the tokens of a next level, whose sets are the
-differences: small buckets make pairs, verified on differences alone, large ones are groups again.  What a large bucket shares is
-in its pivot, so every level leaves less; levels go on until no token is large.  Classes that are all linked with the hub need no more
-levels, and a pair is looked for in the bucket of its first common element only: what stands before that element in a difference is *barred*,
-as it can't be common, and shortens the prefix.  Rows follow the sizes of the sets, never the square of a group.
+A token shared by more than ``SMALL`` classes doesn't make pairs; its classes are a group (``set_groups``).
 
 Edge cases: texts without words (null, empty, white space) have an empty set and are linked with nothing; rows that repeat
 a doc_id with other words are rows of their own; a row without doc_id links and connects others, and gets the least id of its
@@ -35,14 +27,13 @@ from pyspark.sql import functions as F
 
 from murmurlake.llm.common import forget, map_rows, written
 from murmurlake.llm.graph import components
+from murmurlake.llm.set_groups import SMALL, as_set, buckets_of, group_links, pairs_of
+from murmurlake.llm.shingling import TURN, class_of, encoded, mix, rows_of, shingles
 
 WORDS = 3
 #: Jaccard similarity of at least TIMES/PER.
 TIMES, PER = 90, 100
 ORDERS = 3
-SMALL = 24
-#: Levels after which the join gives up with an error; each fixes at least one token of every group that is left.
-MOST_LEVELS = 200
 #: Under the other orders prefixes are longer by up to so many tokens, and as many more must be shared.
 DEPTH = 32
 #: The table of frequencies has 2**SLOT_BITS slots of a byte, and at most a quarter as many tokens are entered.
@@ -52,101 +43,15 @@ COUNTED = 2_000_000
 #: Up to so many wanted texts are told to all tasks by their 64-bit hashes (8 MB); beyond it texts are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 
-_BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03
-_TURN = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers without visible order."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(_TURN[0])
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(_TURN[1])
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEED))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-
-
-class Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                p = np.ones(size, dtype=np.uint64)
-                p[1:] = np.uint64(base)
-                setattr(self, name, np.cumprod(p))
-        return self.up[:n], self.down[:n]
-
-
-def shingles(texts: list[bytes], powers: Powers, words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    data = _LOWER[np.frombuffer(b" ".join([*texts, b""]) + b" ", dtype=np.uint8)]
-    white = _WHITE[data]
-    edge = np.flatnonzero(np.diff(white.astype(np.int8), prepend=1, append=1))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = powers.upto(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[:-1])])
-    word = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    first = np.searchsorted(starts, bounds)
-    turns = [np.uint64(t) for t in _TURN]
-    whole = np.zeros(max(0, len(word) - words + 1), dtype=np.uint64)
-    for k in range(words):
-        whole = whole * turns[2] + mix(word[k : k + len(whole)] + turns[3])
-    whole = mix(whole)
-    out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= words:
-            out.append(np.unique(whole[a : b - words + 1]))
-        elif b > a:
-            h = np.array([b - a], dtype=np.uint64)
-            for w in word[a:b]:
-                h = h * turns[4] + w
-            out.append(mix(h))
-        else:
-            out.append(np.zeros(0, dtype=np.uint64))
-    return out
-
-
 def prefix_length(n: int) -> int:
     return n - -(-TIMES * n // PER) + 1
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    if not len(tokens):
-        return 0
-    with np.errstate(over="ignore"):
-        made = mix(np.array([np.sum(mix(tokens ^ np.uint64(_SEED)), dtype=np.uint64) + np.uint64(len(tokens)) * np.uint64(_TURN[3])]))
-    return int(made.view(np.int64)[0])
-
-
 def depth_of(p: int) -> int:
     """How many tokens two sets must share in prefixes that are longer by one less."""
     return max(1, p // 3)
 
 
-def _encoded(texts: list) -> list[bytes]:
-    return [(t or "").encode() for t in texts]
-
-
-def _rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), text; null texts as empty ones."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-
-
 # ---- how frequent tokens are ----
 
 
@@ -169,10 +74,10 @@ def _packed_counts(tokens: np.ndarray, bits: int) -> pa.RecordBatch:
 
 def _count_in_tasks(rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = Powers(), [], 0
+        held, size = [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                sets = {s.tobytes(): s for s in shingles(_encoded(batch.column(0).slice(start, 256).to_pylist()), powers)}
+                sets = {s.tobytes(): s for s in shingles(encoded(batch.column(0).slice(start, 256).to_pylist()), WORDS)}
                 held.extend(sets.values())
                 size += sum(map(len, sets.values()))
                 if size >= COUNTED:
@@ -224,7 +129,7 @@ def token_levels(docs: DataFrame) -> np.ndarray:
     Tasks count their tokens first, so a token of all documents is one row a task.  Parts grow in number with the rows, up to 2**18.
     """
     bits = min(18, max(12, (docs.count() // 500).bit_length()))
-    found = written(_levels_of_parts(_count_in_tasks(_rows_of(docs), bits), bits), "ngram-counts")
+    found = written(_levels_of_parts(_count_in_tasks(rows_of(docs), bits), bits), "ngram-counts")
     room, least = 1 << (SLOT_BITS - 2), 256
     for level, n in sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
         room -= n
@@ -245,7 +150,7 @@ def _in_order(tokens: np.ndarray, levels: np.ndarray, turn: int, p: int) -> np.n
     """The first p tokens: rare ones first, then by a hash of the order's own."""
     if p >= len(tokens):
         return tokens
-    key = levels[_slots(tokens)].astype(np.uint64) << np.uint64(56) | mix(tokens * np.uint64(_TURN[turn] | 1)) >> np.uint64(8)
+    key = levels[_slots(tokens)].astype(np.uint64) << np.uint64(56) | mix(tokens * np.uint64(TURN[turn] | 1)) >> np.uint64(8)
     return tokens[np.argpartition(key, p - 1)[:p]]
 
 
@@ -255,10 +160,10 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     least_size = -(-TIMES // (PER - TIMES))
 
     def make():
-        powers, seen = Powers(), set()
+        seen = set()
 
         def work(columns: list) -> list:
-            sets = shingles(_encoded(columns[2]), powers)
+            sets = shingles(encoded(columns[2]), WORDS)
             names, prefixes, depths = list(map(class_of, sets)), [], []
             for s, name in zip(sets, names, strict=True):
                 fresh = len(s) >= least_size and name not in seen
@@ -272,12 +177,7 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
         return work
 
-    return map_rows(_rows_of(docs), make, "doc_id long, row long, n_shingles long, cls long, k int, prefix array<long>")
-
-
-def _may_link(n: str, m: str) -> str:
-    """Sizes that allow the similarity."""
-    return f"{n} * {PER} >= {TIMES} * {m} AND {m} * {PER} >= {TIMES} * {n}"
+    return map_rows(rows_of(docs), make, "doc_id long, row long, n_shingles long, cls long, k int, prefix array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -285,10 +185,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFram
     k tokens must be shared; slack of them collide) for the wanted (row, cls)."""
 
     def make():
-        powers = Powers()
-
         def work(columns: list) -> list:
-            sets = shingles(_encoded(columns[1]), powers)
+            sets = shingles(encoded(columns[1]), WORDS)
             more: list[list] = [[] for _ in range(ORDERS - 1)]
             depth, slack = [], []
             for s in sets:
@@ -306,7 +204,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFram
         return work
 
     wanted = written(wanted.select("row", F.col("doc_id").alias("id"), F.col("cls").alias("wanted_cls")), "ngram-wanted")
-    rows = _rows_of(docs)
+    rows = rows_of(docs)
     here = (rows["row"] == wanted["row"]) & rows["doc_id"].eqNullSafe(wanted["id"])
     texts = rows.join(_told(wanted), here).select("wanted_cls", "text")
     kinds = ", ".join(f"p{k} array<int>" for k in range(2, ORDERS + 1))
@@ -324,10 +222,6 @@ def _told(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
 
 
-def _set(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint64)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that share enough under every other order, and whose sets link."""
 
@@ -335,7 +229,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def work(columns: list) -> list:
             a, b = [], []
             for x, y, s, t in zip(*columns, strict=True):
-                one, two = _set(s), _set(t)
+                one, two = as_set(s), as_set(t)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 if PER * both >= TIMES * (len(one) + len(two) - both):
                     a.append(x)
@@ -360,119 +254,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(with_sets, make, "a long, b long")
 
 
-# ---- groups ----
-
-
-def _pivots(rows: DataFrame) -> DataFrame:
-    """grp, base (sorted tokens): what about half of the rows of each group hold.
-
-    Rows are dealt by ranges of (grp, cls), so a group lies together however large it is, and counted where they lie.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        now = None
-
-        def out() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n * 4 >= len(held)
-            names = pa.array([None, *tokens[often].view(np.int64).tolist()], type=pa.int64())
-            sums = pa.array([len(held), *n[often].tolist()], type=pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(names), type=pa.int64()), names, sums], names=["grp", "token", "n"])
-
-        for batch in batches:
-            for grp, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) > 2 and (grp != now or len(held) >= 1024):  # one or two rows say little about the group
-                    yield out()
-                    held = []
-                elif grp != now:
-                    held = []
-                now = grp
-                held.append(_set(tokens))
-        if len(held) > 2:
-            yield out()
-
-    dealt = rows.select("grp", "cls", "tokens").repartitionByRange("grp", "cls").sortWithinPartitions("grp", "cls").select("grp", "tokens")
-    counts = dealt.mapInArrow(run, "grp long, token long, n long").groupBy("grp", "token").agg(F.sum("n").alias("n"))
-    sizes = counts.filter("token IS NULL").select("grp", F.col("n").alias("size"))
-    held = counts.filter("token IS NOT NULL").join(sizes, "grp").filter("2 * n >= size")
-    return held.groupBy("grp").agg(F.collect_list("token").alias("base"))
-
-
-def _level(rows: DataFrame) -> DataFrame:
-    """grp, cls, n, tokens (the difference to the pivot of the group), far ((1 + t) a(x) in whole numbers), barred (elements of the
-    difference that no partner shares), n_free (how many others there are), keys (their prefix)."""
-
-    def make():
-        def work(columns: list) -> list:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-            for grp, cls, n, tokens, barred, base in zip(*columns, strict=True):
-                pivot = np.sort(np.array(base or [], dtype=np.int64).view(np.uint64))
-                own = _set(tokens)
-                new, gone = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
-                diff = np.sort(np.concatenate([new, gone]))
-                # That no partner has an element of the old difference says nothing about the new one where the pivot holds it.
-                bar = np.setdiff1d(np.array(barred or [], dtype=np.int64).view(np.uint64), pivot)
-                # A partner is at most PER/TIMES as large: |D(x) - D(y)| <= c(|x| + |y|) <= n * (PER - TIMES) / TIMES.
-                most = (PER - TIMES) * n // TIMES - len(bar)
-                free = np.concatenate([np.setdiff1d(new, bar, assume_unique=True), gone])  # new ones are rarer, they come first
-                keys = free[: max(0, most + 1)].view(np.int64)
-                values = (grp, cls, n, diff.tobytes(), (PER + TIMES) * len(diff) - (PER - TIMES) * n, bar.view(np.int64), len(free), keys)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            return list(out)
-
-        return work
-
-    based = rows.join(_pivots(rows), "grp", "left").select("grp", "cls", "n", "tokens", "barred", "base")
-    kind = "grp long, cls long, n long, tokens binary, far long, barred array<long>, n_free int, keys array<long>"
-    return written(map_rows(based, make, kind), "ngram-level")
-
-
-def _close(pairs: DataFrame, level: DataFrame) -> DataFrame:
-    """The pairs (grp, a, b) whose differences are small enough."""
-
-    def make():
-        def work(columns: list) -> list:
-            a, b = [], []
-            for x, y, n, m, s, t in zip(*columns, strict=True):
-                one, two = _set(s), _set(t)
-                apart = len(one) + len(two) - 2 * len(np.intersect1d(one, two, assume_unique=True))
-                if (PER + TIMES) * apart <= (PER - TIMES) * (n + m):
-                    a.append(x)
-                    b.append(y)
-            return [a, b]
-
-        return work
-
-    own = level.select("grp", F.col("cls").alias("a"), "n", F.col("tokens").alias("s"))
-    other = level.select("grp", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("t"))
-    return map_rows(pairs.join(own, ["grp", "a"]).join(other, ["grp", "b"]).select("a", "b", "n", "m", "s", "t"), make, "a long, b long")
-
-
-def _buckets(members: DataFrame, *more: str) -> DataFrame:
-    """members (token, cls, n, near) of tokens with several classes that aren't all near, with held (how many) and least (class).
-
-    One exchange by token serves both sides; tasks have told a class once each, so copies don't weigh."""
-    told = [F.first(c).alias(c) for c in ("n", "near", *more)]
-    members = members.repartition("token").groupBy("token", "cls").agg(*told)
-    held = members.groupBy("token").agg(F.count("*").alias("held"), F.min("cls").alias("least"), F.min("near").alias("all_near"))
-    return members.join(held.filter("held > 1 AND NOT all_near").drop("all_near"), "token")
-
-
-def _pairs(buckets: DataFrame, *by: str) -> DataFrame:
-    """All pairs a < b within small buckets whose sizes allow a link and that aren't both near the hub, with shared (how many buckets)."""
-    small = buckets.filter(F.col("held") <= SMALL)
-    other = small.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("near").alias("also"))
-    return (
-        small.select("token", *by, F.col("cls").alias("a"), "n", "near")
-        .join(other, "token")
-        .filter(f"a < b AND NOT (near AND also) AND {_may_link('n', 'm')}")
-        .groupBy(*by, "a", "b")
-        .agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
-    )
-
-
 def _depth(n: str) -> str:
     """``depth_of(prefix_length(n))`` in SQL."""
     return f"greatest(1, ({n} - ({TIMES} * {n} + {PER - 1}) DIV {PER} + 1) DIV 3)"
@@ -481,47 +262,20 @@ def _depth(n: str) -> str:
 def links(docs: DataFrame, sigs: DataFrame, levels: np.ndarray) -> DataFrame:
     """a, b: links between classes; enough of them that every class that links with another is connected to it."""
     members = sigs.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "cls", F.col("n_shingles").alias("n"), F.lit(False).alias("near"))
-    buckets = written(_buckets(members), "ngram-buckets")
+    buckets = written(buckets_of(members), "ngram-buckets")
     # A pair that shares a large token is told by its group; any other must share enough small ones.
     enough = F.col("shared") >= F.expr(f"least({_depth('n')}, {_depth('m')})")
-    pairs = written(_pairs(buckets).filter(enough).select("a", "b"), "ngram-pairs")
+    pairs = written(pairs_of(buckets, TIMES, PER).filter(enough).select("a", "b"), "ngram-pairs")
     large = written(buckets.filter(F.col("held") > SMALL).select(F.col("least").alias("grp"), "cls").distinct(), "ngram-large")
     forget(buckets)
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
     rows = sigs.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("row", "doc_id")).alias("one")).select("cls", "one.row", "one.doc_id")
     sets = _sets_of(docs, rows.join(wanted, "cls"), levels)
-    found = [written(_verified(pairs, sets), "ngram-links")]
+    found = written(_verified(pairs, sets), "ngram-links")
     forget(pairs)
 
-    none = F.array().cast("array<bigint>").alias("barred")
-    state = written(large.join(sets.select("cls", "n", "tokens"), "cls").select("grp", "cls", "n", "tokens", none), "ngram-state")
+    made = found.unionByName(group_links(large, sets, TIMES, PER))
     forget(sets, large)
-    for _ in range(MOST_LEVELS):
-        if state.isEmpty():
-            break
-        level = _level(state)
-        forget(state)
-        least = level.groupBy("grp").agg(F.min(F.struct("far", "cls")).alias("hub"))
-        # Two differences share at least (a(x) + a(y)) / 2 elements, so prefixes may leave out one less of the last ones.
-        common = F.expr(f"greatest(1, ceil((far + hub.far) / {2 * (PER + TIMES)}))").cast("int")
-        keys = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(F.size("keys"), F.col("n_free") - common + 1)))
-        hubs = level.select("grp", "cls", "n", "far", "n_free", "keys").join(least, "grp")
-        near = F.col("far") + F.col("hub.far") <= 0
-        told = written(hubs.select("grp", "cls", "n", near.alias("near"), F.col("hub.cls").alias("hub"), keys.alias("keys")), "ngram-hubs")
-        found.append(written(told.filter("near AND cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "ngram-links"))
-        # A token of this level belongs to its group: its name is that of both.
-        rows = told.select("grp", "cls", "n", "near", F.explode("keys").alias("key"))
-        buckets = written(_buckets(rows.withColumn("token", F.xxhash64("grp", "key")), "grp", "key"), "ngram-buckets")
-        found.append(written(_close(_pairs(buckets, "grp").select("grp", "a", "b"), level), "ngram-links"))
-        again = buckets.filter(F.col("held") > SMALL).select("token", "grp", "key", "cls")
-        before = F.expr("concat(barred, slice(keys, 1, greatest(0, cast(array_position(keys, key) AS INT) - 1)))").alias("barred")
-        state = written(again.join(level, ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens", before), "ngram-state")
-        forget(level, told, buckets)
-    else:
-        raise RuntimeError("groups did not become small")
-    made = found[0]
-    for part in found[1:]:
-        made = made.unionByName(part)
     return made
 
 

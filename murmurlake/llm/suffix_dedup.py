@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmurlake.llm.common import map_rows, written
-from murmurlake.llm.ngram_join import _BYTE, Powers, mix
+from murmurlake.llm.shingling import mix
 
 LENGTH = 200
 #: Anchor lengths, as shares of the window; the last is the window itself.
@@ -38,6 +39,8 @@ BLOCK_BYTES = 2_000_000
 
 # ---- anchors ----
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
 
 def _rolling(codes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all substrings of length k, by doubling."""
@@ -59,15 +62,15 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def anchors(units: list[bytes], k: int, length: int, powers: Powers) -> tuple[np.ndarray, ...]:
-    """unit, lo, windows, anchor hash, fragment hash for each run of windows with one anchor."""
+def anchors(units: list[bytes], k: int, length: int) -> tuple[np.ndarray, ...]:
+    """unit, lo, windows, anchor hash, fragment hash (XXH3 of its bytes) for each run of windows with one anchor."""
     lengths = np.array([len(u) for u in units], dtype=np.int64)
-    data = np.frombuffer(b"".join(units), dtype=np.uint8)
+    joined = memoryview(b"".join(units))
+    data = np.frombuffer(joined, dtype=np.uint8)
     empty = np.zeros(0, dtype=np.int64)
     if not (lengths >= length).any():
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    codes = _BYTE[data]
-    hashes = mix(_rolling(codes, k))
+    hashes = mix(_rolling(_BYTE[data], k))
     keyed = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     least = (_sliding_min(keyed, length - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     ends = np.cumsum(lengths)
@@ -78,9 +81,8 @@ def anchors(units: list[bytes], k: int, length: int, powers: Powers) -> tuple[np
     windows = np.diff(np.append(first, len(at)))
     start = at[first]
     stop = start + windows + length - 1
-    up, down = powers.upto(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * up[:-1])])
-    whole = mix((sums[stop] - sums[start]) * down[start] + windows.astype(np.uint64))
+    digests = b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
+    whole = np.frombuffer(digests, dtype=np.uint64)[::2] + windows.astype(np.uint64)
     return own[first], start - (ends - lengths)[own[first]], windows, hashes[place[first]], whole
 
 
@@ -195,7 +197,7 @@ def _runs(units: DataFrame, k: int, length: int, combine: bool) -> DataFrame:
     """Fragments of the units.  ``combine``: equal ones of a task are one row, m sums their units'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = Powers(), [], 0
+        held, size = [], 0
         names = ["anchor", "frag", "windows", "doc_id", "rid", "lo", "m"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
@@ -216,7 +218,7 @@ def _runs(units: DataFrame, k: int, length: int, combine: bool) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                unit, lo, windows, anchor, frag = anchors(part.column(4).to_pylist(), k, length, powers)
+                unit, lo, windows, anchor, frag = anchors(part.column(4).to_pylist(), k, length)
                 base, mult = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
                 held.append((anchor, frag, windows, lo + base[unit], mult[unit], unit + rows, part.column(0), part.column(1)))
                 rows += part.num_rows
