@@ -174,7 +174,7 @@ def _assembled(lines: DataFrame) -> DataFrame:
         "line_no",
         F.when(is_apple, apple_time).otherwise(header_time(part(1), part(2))).alias("timestamp"),
         F.when(is_apple, F.trim(F.try_element_at(filled, F.lit(1)))).otherwise(F.trim(part(3))).alias("sender"),
-        F.when(is_apple, F.array_join(F.transform(F.slice(filled, 2, F.greatest(F.size(filled), F.lit(1))), F.trim), "\n"))
+        F.when(is_apple, F.array_join(F.transform(F.slice(filled, 2, F.greatest(F.size(filled), F.lit(1))), lambda t: F.trim(t)), "\n"))
         .otherwise(F.array_join(F.concat(F.array(part(4)), rest), "\n"))
         .alias("content"),
         F.col("text").alias("raw_line"),

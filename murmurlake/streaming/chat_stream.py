@@ -18,29 +18,37 @@ def read_chat_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("path").alias("chat_id"), F.col("content").cast("string").alias("content"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _write(df: DataFrame, folder: str, batch_id: int) -> None:
+    """The batch's own part of a table: a batch that runs again overwrites what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
 def parse_stream(chats: DataFrame, messages_path: str, fingerprints_path: str, checkpoint: str) -> StreamingQuery:
     """Parse arriving chats; months whose fingerprint is known are not written again.
 
-    A chat is complete in its file, so a batch parses it whole and no message stays open between batches.  Replayed batches meet their own
-    fingerprints and add nothing.
+    A chat is complete in its file, so a batch parses it whole and no message stays open between batches.  Both tables are written in folders
+    by batch id, and a batch asks only for the fingerprints of earlier batches: one that broke off anywhere and is run again finds what it
+    found before and overwrites its own folders, so every month is written once.  Of equal months in one batch, that of the least chat_id is.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         messages = parse_chats(rows).persist()
         try:
             chunks = month_chunks(messages)
-            try:
-                known = spark.read.parquet(fingerprints_path)
-            except Exception as missing:  # the first batch has no table yet
-                if "PATH_NOT_FOUND" not in str(missing):
-                    raise
-                known = chunks.limit(0)
-            fresh = chunks.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti").persist()
+            if _exists(spark, fingerprints_path):
+                known = spark.read.parquet(fingerprints_path).filter(F.col("batch") < batch_id)
+                chunks = chunks.join(known.select("fingerprint", "month_key").distinct(), ["fingerprint", "month_key"], "left_anti")
+            one = chunks.groupBy("fingerprint", "month_key").agg(F.min("chat_id").alias("chat_id"), F.first("message_count").alias("message_count")).persist()
             keyed = messages.withColumn("month_key", F.date_format("timestamp", "yyyy-MM"))
-            keyed.join(fresh.select("chat_id", "month_key"), ["chat_id", "month_key"], "left_semi").write.mode("append").parquet(messages_path)
-            fresh.write.mode("append").parquet(fingerprints_path)
-            fresh.unpersist()
+            _write(keyed.join(one.select("chat_id", "month_key"), ["chat_id", "month_key"], "left_semi"), messages_path, batch_id)
+            _write(one, fingerprints_path, batch_id)
+            one.unpersist()
         finally:
             messages.unpersist()
 
