@@ -1,33 +1,72 @@
-"""Context windows, gaps and batches; every window is partitioned by chat."""
+"""Context windows, gaps and batches.  Context windows and batches deal a chat by ranges of its messages; gaps and neighbours go by chat."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmurlake.functions.stored import stored
+
 MIN_MESSAGES, MIN_CHARS = 2, 280
 
 
+#: Ids (of messages or groups) that one task sums up at once, and characters that one task searches.
+BLOCK, REACH = 4096, 1 << 16
+
+
+def running_total(rows: DataFrame, value: Column, at: str, total: str) -> DataFrame:
+    """Adds ``total``: the sum of ``value`` over the rows of the chat up to this one, in the order of the whole number ``at``.
+
+    Blocks of ``at`` are summed where they lie, and start from what stands before them, a row for each block; so a chat spans many tasks."""
+    blocked = rows.withColumns({"_value": value.cast("long"), "_block": F.floor(F.col(at) / BLOCK)})
+    sums = blocked.groupBy("chat_id", "_block").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy("chat_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("chat_id", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("chat_id", "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = blocked.join(starts, ["chat_id", "_block"]).withColumn(total, F.col("_start") + F.sum("_value").over(inside))
+    return made.drop("_value", "_block", "_start")
+
+
+def last_within(points: DataFrame, least: int) -> DataFrame:
+    """For the points (chat_id, v, key, ask) with an ``ask``: the greatest key of the chat's points whose v is at most v - ``least``.
+
+    Keys must not fall while v rises.  Points are dealt by (chat, stretch of v); a stretch also holds the points of the one before that
+    it reaches back to, and one number for all that is further back.  Columns: chat_id, ask, found.
+    """
+    width = max(REACH, least)
+    held = points.withColumn("_part", F.floor(F.col("v") / width))
+    late = F.col("v") - F.col("_part") * width >= width - least
+    tops = held.groupBy("chat_id", "_part").agg(F.max("key").alias("_top"), F.max(F.when(~late, F.col("key"))).alias("_early"))
+    by_part = Window.partitionBy("chat_id").orderBy("_part")
+    before = F.greatest(F.max("_top").over(by_part.rangeBetween(Window.unboundedPreceding, -2)), F.max("_early").over(by_part.rangeBetween(-1, -1)))
+    carried = tops.select("chat_id", "_part", before.alias("_before"))
+    halo = held.filter(late & F.col("key").isNotNull()).withColumns({"_part": F.col("_part") + 1, "ask": F.lit(None).cast(points.schema["ask"].dataType)})
+    window = Window.partitionBy("chat_id", "_part").orderBy("v").rangeBetween(Window.unboundedPreceding, -least)
+    told = held.unionByName(halo).join(carried, ["chat_id", "_part"]).withColumn("found", F.coalesce(F.max("key").over(window), F.col("_before")))
+    return told.filter("ask IS NOT NULL").select("chat_id", "ask", "found")
+
+
 def context_bounds(messages: DataFrame, min_messages: int = MIN_MESSAGES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Adds first_id and last_id: on each side at least ``min_messages`` messages and ``min_chars`` characters, as far as there are any.
 
-    Ids are dense by chat.  With prefix sums of lengths both bounds are RANGE frames that only grow, the upper one in descending order, so
-    no row looks at its neighbours and a chat takes time in proportion to its rows.
+    Ids are dense by chat.  Both bounds are looked up among prefix sums of lengths, dealt by stretches of the chat's characters, so no row
+    looks at its neighbours, and a chat takes time in proportion to its rows, in as many tasks as it is long.
     """
     size = F.coalesce(F.length("content"), F.lit(0)).cast("long")
-    by_id = Window.partitionBy("chat_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = messages.withColumn("_upto", F.sum(size).over(by_id)).withColumn("_before", F.col("_upto") - size)
-    chat = Window.partitionBy("chat_id")
-    low = F.max("id").over(chat.orderBy("_before").rangeBetween(Window.unboundedPreceding, -min_chars))
-    high = F.min("id").over(chat.orderBy(-F.col("_upto")).rangeBetween(Window.unboundedPreceding, -min_chars))
-    last = F.max("id").over(chat)
-    bounded = summed.withColumns({"_low": low, "_high": high, "_last": last})
-    return bounded.withColumns(
-        {
-            "first_id": F.greatest(F.lit(0), F.least(F.col("id") - min_messages, F.coalesce("_low", F.lit(0)))),
-            "last_id": F.least(F.col("_last"), F.greatest(F.col("id") + min_messages, F.coalesce("_high", "_last"))),
-        }
-    ).drop("_upto", "_before", "_low", "_high", "_last")
+    summed = running_total(messages.select("chat_id", "id", size.alias("_size")), F.col("_size"), "id", "_upto")
+    before = F.col("_upto") - F.col("_size")
+    low = last_within(summed.select("chat_id", before.alias("v"), F.col("id").alias("key"), F.col("id").alias("ask")), min_chars)
+    high = last_within(summed.select("chat_id", (-F.col("_upto")).alias("v"), (-F.col("id")).alias("key"), F.col("id").alias("ask")), min_chars)
+    lasts = messages.groupBy("chat_id").agg(F.max("id").alias("_last"))
+    bounds = low.select("chat_id", F.col("ask").alias("id"), F.col("found").alias("_low")).join(
+        high.select("chat_id", F.col("ask").alias("id"), (-F.col("found")).alias("_high")), ["chat_id", "id"]
+    )
+    bounded = messages.join(bounds, ["chat_id", "id"]).join(lasts, "chat_id")
+    return bounded.select(
+        *messages.columns,
+        F.greatest(F.lit(0), F.least(F.col("id") - min_messages, F.coalesce("_low", F.lit(0)))).alias("first_id"),
+        F.least(F.col("_last"), F.greatest(F.col("id") + min_messages, F.coalesce("_high", "_last"))).alias("last_id"),
+    )
 
 
 def with_context(rows: DataFrame, messages: DataFrame) -> DataFrame:
@@ -60,21 +99,31 @@ def fixed_batches(rows: DataFrame, size: int, order: Column) -> DataFrame:
 
 
 def smart_batches(grouped: DataFrame, size: int) -> DataFrame:
-    """batch_no by (chat_id, group_no): whole groups packed in order into batches of at most ``size``; larger groups fill batches of their own."""
+    """batch_no by (chat_id, group_no): whole groups packed in order into batches of at most ``size``; larger groups fill batches of their own.
+
+    Each group points at the first one that no longer fits into a batch that it starts.  The groups that do start one are those which the
+    pointers reach from a chat's first: pointers are doubled until none is left, so it takes rounds in the logarithm of a chat's batches.
+    """
     sizes = grouped.groupBy("chat_id", "group_no").agg(F.count("*").alias("held"))
-    listed = sizes.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("group_no", "held"))).alias("groups"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(size).cast("long").alias("used"), F.expr("cast(array() as array<struct<group_no:long,batch_no:long>>)").alias("out"))
-
-    def step(s: Column, g: Column) -> Column:
-        held = g["held"].cast("long")
-        whole = F.ceil(held / size).cast("long")
-        fits = (held <= size) & (s["used"] + held <= size)
-        batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
-        end = F.when(held > size, batch + whole - 1).otherwise(batch)
-        used = F.when(held > size, F.lit(size)).when(fits, s["used"] + held).otherwise(held).cast("long")
-        return F.struct(end.alias("batch"), used.alias("used"), F.concat(s["out"], F.array(F.struct(g["group_no"].cast("long").alias("group_no"), batch.alias("batch_no")))).alias("out"))
-
-    return listed.select("chat_id", F.explode(F.aggregate("groups", start, step)["out"]).alias("x")).select("chat_id", "x.group_no", "x.batch_no")
+    summed = stored(running_total(sizes, F.col("held"), "group_no", "upto"), "batch-groups")
+    nothing = F.lit(None).cast("long")
+    group, upto = F.col("group_no").cast("long"), F.col("upto")
+    full = F.greatest(upto - F.col("held") + size, upto) + 1  # as much as a batch from this group on can't hold, the group itself at least
+    points = summed.select("chat_id", (-upto).alias("v"), (-group).alias("key"), nothing.alias("ask")).unionByName(
+        summed.select("chat_id", (-full).alias("v"), nothing.alias("key"), group.alias("ask"))
+    )
+    jumps = last_within(points, 0).filter("found IS NOT NULL").select("chat_id", F.col("ask").alias("at"), (-F.col("found")).alias("to"))
+    jumps = stored(jumps, "batch-jumps")
+    starts = stored(summed.groupBy("chat_id").agg(F.min(group).alias("at")), "batch-starts")
+    while not jumps.isEmpty():
+        reached = starts.join(jumps, ["chat_id", "at"]).select("chat_id", F.col("to").alias("at"))
+        starts = stored(starts.unionByName(reached), "batch-starts")
+        further = jumps.select("chat_id", F.col("at").alias("to"), F.col("to").alias("end"))
+        jumps = stored(jumps.join(further, ["chat_id", "to"]).select("chat_id", "at", F.col("end").alias("to")), "batch-jumps")
+    own = F.greatest(F.lit(1), F.ceil(F.col("held") / size)).cast("long")
+    begun = summed.join(starts.select("chat_id", F.col("at").alias("group_no"), F.lit(1).alias("starts")), ["chat_id", "group_no"], "left")
+    counted = running_total(begun, F.when(F.col("starts") == 1, own).otherwise(0), "group_no", "batches")
+    return counted.select("chat_id", group.alias("group_no"), (F.col("batches") - own).alias("batch_no"))
 
 
 def neighbours(messages: DataFrame, n: int = 2) -> DataFrame:

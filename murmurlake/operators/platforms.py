@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurlake.functions import urls as U
+from murmurlake.functions.stored import stored
 from murmurlake.functions.text import contains_any, decode_entities, hashtags
 from murmurlake.operators.pages import assigned_json, json_ld, open_graph
 
@@ -93,12 +96,38 @@ def scrape(pages: DataFrame) -> DataFrame:
 
 
 def follow_redirects(urls: DataFrame, redirects: DataFrame, most: int = 10) -> DataFrame:
-    """url, final_url after at most ``most`` steps of a (url, target) table."""
-    made = urls.select("url", F.col("url").alias("final_url"))
-    step = redirects.groupBy(F.col("url").alias("_from")).agg(F.min("target").alias("target"))
-    for _ in range(most):
-        made = made.join(step, F.col("final_url") == F.col("_from"), "left").select("url", F.coalesce("target", "final_url").alias("final_url"))
-    return made
+    """url, final_url (after at most ``most`` steps of a (url, target) table), hops (of the whole chain; null for a cycle), outcome.
+
+    ``outcome`` is 'final' where the chain ends within ``most`` steps, 'too_many' where it ends later, 'cycle' where it never does.  Pointers are
+    doubled: a round joins the unfinished ones with themselves, so a chain of n steps takes log2(n) rounds, and what is unfinished after
+    as many steps as there are redirects is a cycle.  Of several targets of an address the least counts.
+    """
+    pointers = redirects.groupBy(F.col("url").alias("at")).agg(F.min("target").alias("to"))
+    sources = pointers.select(F.col("at").alias("to"))
+    known = pointers.join(sources.withColumn("open", F.lit(True)), "to", "left")
+    jumps = stored(known.select("at", "to", F.lit(1).cast("long").alias("hops"), F.coalesce("open", F.lit(False)).alias("open")), "redirects")
+    rounds, n = [jumps], jumps.count()
+    steps, ended = 1, [jumps.filter("NOT open")]
+    while steps <= max(n, most) and not (jumps := rounds[-1]).filter("open").isEmpty():
+        # An unfinished pointer stands ``steps`` steps on, where there is another of as many steps, or one that ended before.
+        further = reduce(DataFrame.unionByName, [jumps.filter("open"), *ended])
+        further = further.select(F.col("at").alias("to"), F.col("to").alias("end"), F.col("hops").alias("more"), F.col("open").alias("goes_on"))
+        joined = jumps.filter("open").join(further, "to")
+        rounds.append(stored(joined.select("at", F.col("end").alias("to"), (F.col("hops") + F.col("more")).alias("hops"), F.col("goes_on").alias("open")), "redirects"))
+        ended.append(rounds[-1].filter("NOT open"))
+        steps *= 2
+    ends = reduce(DataFrame.unionByName, ended).select(F.col("at").alias("url"), F.col("to").alias("end"), "hops")
+    cycles = rounds[-1].filter("open").select(F.col("at").alias("url"), F.lit(True).alias("cycle"))
+    told = urls.select("url").distinct().join(ends, "url", "left").join(cycles, "url", "left")
+    told = told.withColumns({"hops": F.when(F.col("cycle"), None).otherwise(F.coalesce("hops", F.lit(0))), "place": F.col("url")})
+    long = told.filter(F.col("hops").isNull() | (F.col("hops") > most))
+    for bit, jumps in enumerate(rounds):  # where the first ``most`` steps lead
+        if most >> bit & 1:
+            long = long.join(jumps.select(F.col("at").alias("place"), "to"), "place").withColumn("place", F.col("to")).drop("to")
+    short = told.filter(F.col("hops") <= most).withColumn("place", F.coalesce("end", "url"))
+    outcome = F.when(F.col("hops").isNull(), "cycle").when(F.col("hops") > most, "too_many").otherwise("final")
+    found = short.unionByName(long).select("url", F.col("place").alias("final_url"), "hops", outcome.alias("outcome"))
+    return urls.select("url").join(found, "url")
 
 
 def with_url_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:

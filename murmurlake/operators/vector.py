@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Queries that are sent to all tasks at once.
-BLOCK = 10_000
+#: Bytes of queries that are sent to all tasks at once, and rows that a task multiplies with them at once.
+BLOCK_BYTES, ROWS_AT_ONCE = 8_000_000, 64
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -27,25 +32,78 @@ def top_k(vectors: DataFrame, query: list[float], k: int, least: float = 0.0) ->
     return scored.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k)
 
 
+def _best_in_task(vectors: DataFrame, asked: list, queries: np.ndarray, k: int, least: float, within: Sequence[str]) -> DataFrame:
+    """The best ``k`` rows of each query (and value of ``within``) among the rows of each task: within, id, q_idx, similarity.
+
+    Products are summed dimension by dimension for a slice of rows against all queries, so sums don't depend on where a row stands.  What a
+    task holds is bounded by its queries: candidates are cut to k once they are twice as many.
+    """
+    kind = vectors.select(*within, "id").schema.add("q_idx", "long").add("similarity", "double")
+    lengths = np.sqrt(_products(queries, queries, paired=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pd.DataFrame | None = None
+        waiting: list[pd.DataFrame] = []
+        size = 0
+
+        def cut(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts).sort_values(["similarity", "id"], ascending=[False, True], kind="stable")
+            return rows.groupby([*within, "q_idx"], dropna=False, sort=False).head(k)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                lists = part.column("embedding")
+                fits = pc.equal(pc.list_value_length(lists), queries.shape[1]).fill_null(False)
+                part = part.filter(fits)
+                if not part.num_rows:
+                    continue
+                rows = pc.list_flatten(part.column("embedding")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                scale = np.sqrt(_products(rows, rows, paired=True))[:, None] * lengths[None, :]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found = np.where(scale == 0, 0.0, _products(rows, queries) / scale)
+                row, query = np.nonzero(found >= least)
+                told = part.select([*within, "id"]).to_pandas().take(row).reset_index(drop=True)
+                waiting.append(told.assign(q_idx=np.array(asked, dtype=np.int64)[query], similarity=found[row, query]))
+                size += len(row)
+            if size > max(100_000, 0 if held is None else 2 * len(held)):
+                held, waiting, size = cut([*([] if held is None else [held]), *waiting]), [], 0
+        if waiting or held is not None:
+            yield pa.RecordBatch.from_pandas(cut([*([] if held is None else [held]), *waiting]), schema=to_arrow_schema(kind), preserve_index=False)
+
+    return vectors.select(*within, "id", "embedding").mapInArrow(run, kind)
+
+
+def _products(a: np.ndarray, b: np.ndarray, paired: bool = False) -> np.ndarray:
+    """Dot products of all rows of a and b, or of each row of a with its own of b, summed in the order of the dimensions."""
+    out = np.zeros(len(a) if paired else (len(a), len(b)))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d] if paired else a[:, d, None] * b[None, :, d]
+    return out
+
+
 def best_query(vectors: DataFrame, queries: DataFrame, k: int, least: float, within: Sequence[str] = ()) -> DataFrame:
     """id, q_idx, similarity: each query's k best vectors at ``least`` or above, then the best query of each vector.
 
-    ``queries`` (q_idx, embedding) is the side that is sent to all tasks, in blocks of about ``BLOCK`` rows by hash of q_idx, so each query is
-    whole in one block; each task keeps only what reaches the threshold, and ranking by query is cut to k rows in the map tasks.
+    ``queries`` (q_idx, embedding) go to the tasks in blocks of at most ``BLOCK_BYTES`` by hash of q_idx, so each query is whole in one block;
+    a task gives at most k rows for a query, which are ranked together afterwards.  Vectors and queries of different dimensions don't meet.
     ``within`` names columns of the vectors whose values are searched apart; they are returned too.
     """
-    norm = F.sqrt(_dot(F.col("embedding"), F.col("embedding")))
-    v = vectors.select(*within, "id", F.col("embedding").alias("ve"), norm.alias("vn"))
-    told = queries.select("q_idx", F.col("embedding").alias("qe"), norm.alias("qn"))
-    scale = F.col("vn") * F.col("qn")
+    told = queries.select(F.col("q_idx").cast("long").alias("q_idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+    sizes = told.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).filter("dims > 0").collect()  # as many as there are models
     by_query = Window.partitionBy(*within, "q_idx").orderBy(F.desc("similarity"), "id")
-    blocks = max(1, -(-queries.count() // BLOCK))
     kept = None
-    for block in range(blocks):
-        q = F.broadcast(told.filter(F.pmod(F.xxhash64("q_idx"), F.lit(blocks)) == block) if blocks > 1 else told)
-        paired = v.join(q, F.size("ve") == F.size("qe"))
-        scored = paired.select(*within, "id", "q_idx", F.when(scale == 0, 0.0).otherwise(_dot(F.col("ve"), F.col("qe")) / scale).alias("similarity"))
-        part = scored.filter(F.col("similarity") >= least).withColumn("_n", F.row_number().over(by_query)).filter(F.col("_n") <= k)
-        kept = part if kept is None else kept.unionByName(part)
+    for size in sizes:
+        blocks = max(1, -(-size["n"] * size["dims"] * 8 // BLOCK_BYTES))
+        for block in range(blocks):
+            rows = told.filter((F.size("embedding") == size["dims"]) & (F.pmod(F.xxhash64("q_idx"), F.lit(blocks)) == block)).orderBy("q_idx").toArrow()
+            if not rows.num_rows:
+                continue
+            matrix = pc.list_flatten(rows.column("embedding")).to_numpy().reshape(rows.num_rows, -1)
+            part = _best_in_task(vectors, rows.column("q_idx").to_pylist(), matrix, k, least, within)
+            part = part.withColumn("_n", F.row_number().over(by_query)).filter(F.col("_n") <= k)
+            kept = part if kept is None else kept.unionByName(part)
+    if kept is None:
+        return vectors.select(*within, "id", F.lit(None).cast("long").alias("q_idx"), F.lit(None).cast("double").alias("similarity")).limit(0)
     by_vector = Window.partitionBy(*within, "id").orderBy(F.desc("similarity"), "q_idx")
     return kept.withColumn("_n", F.row_number().over(by_vector)).filter("_n = 1").select(*within, "id", "q_idx", "similarity")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmurlake.functions.stored import numbered
 from murmurlake.operators import candidates, classify, clustering, context, enrich
 from murmurlake.operators.filters import ExportFilter, is_mappable, select_activities
 from murmurlake.sources import chat
@@ -57,7 +58,7 @@ class Engine:
         return classify.prompts(self.get("contexts"), self.instructions)
 
     def _activities(self) -> DataFrame:
-        """Activities in the order of their messages; as many as a classifier found, so one task can number them.
+        """Activities in the order of their messages.
 
         An offset means a message of the candidate's context.  One that points outside fails the stage, or means the candidate itself where
         ``fail_outside`` is off."""
@@ -70,8 +71,8 @@ class Engine:
         rest = F.raise_error(wrong).cast(told.select(own.alias("m")).schema["m"].dataType) if self.fail_outside else own
         joined = keyed.join(told, ["chat_id", "message_id"]).withColumn("m", F.coalesce(meant, rest))
         entry = F.struct(F.col("m.id").alias("id"), F.col("m.timestamp").alias("timestamp"), F.col("m.sender").alias("sender"), F.col("m.content").alias("message"))
-        order = Window.orderBy("batch_id", "chat_id", "message_id", "activity_id")
-        made = joined.withColumn("messages", F.array(entry)).withColumn("ord", F.row_number().over(order).cast("long"))
+        order = [F.col(c) for c in ("batch_id", "chat_id", "message_id", "activity_id")]
+        made = numbered(joined.withColumn("messages", F.array(entry)), order, "ord")
         return made.select(*[c for c in found.columns if c not in ("message_id", "offset", "batch_id")], "messages", "ord")
 
     def _grouped(self) -> DataFrame:

@@ -218,7 +218,17 @@ def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.fixed_batches(_event_rows(spark, sf_dir), 10, F.col("event_id")).select("chat_id", "event_id", "batch_no")
 
 
-@_query()
+_BATCHES = """
+n AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY group_no) AS k, sum(held) OVER (PARTITION BY chat_id ORDER BY group_no) AS upto FROM h),
+b AS (
+  SELECT chat_id, 1::BIGINT AS k, 0::BIGINT AS batch_no FROM n WHERE k = 1
+  UNION ALL
+  SELECT b.chat_id, min(j.k), b.batch_no + greatest(1, ceil(i.held / 10.0))::BIGINT
+  FROM b JOIN n i USING (chat_id, k) JOIN n j ON j.chat_id = b.chat_id AND j.k > b.k AND j.upto > i.upto - i.held + 10
+  GROUP BY b.chat_id, b.k, b.batch_no, i.held)"""
+
+
+@_query(f"WITH RECURSIVE e AS ({_EVENTS}), d AS (SELECT DISTINCT chat_id, message_id FROM e), l AS (SELECT *, CASE WHEN message_id - lag(message_id) OVER (PARTITION BY chat_id ORDER BY message_id) <= 5 THEN 0 ELSE 1 END AS f FROM d), g AS (SELECT chat_id, sum(f) OVER (PARTITION BY chat_id ORDER BY message_id)::BIGINT AS group_no FROM l), h AS (SELECT chat_id, group_no, count(*) AS held FROM g GROUP BY ALL), {_BATCHES.strip()} SELECT n.chat_id, n.group_no, max(b.batch_no) AS batch_no FROM n JOIN b ON n.chat_id = b.chat_id AND b.k <= n.k GROUP BY n.chat_id, n.group_no")
 def smart_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.smart_batches(gap_groups(spark, sf_dir), 10)
 
@@ -316,7 +326,26 @@ def cluster_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query()
+#: Titles and places of the table are shorter than 20 characters, so only equal ones are alike; the fold keeps the leaders in order.
+_LEADERS = """
+p AS (
+  SELECT lower(activity) AS title, coalesce(lower(place_name), '') AS place, coalesce(lower(city), '') AS city, coalesce(lower(country), '') AS land,
+    ord % 11 = 0 AS linked, min(ord) AS ord FROM activities GROUP BY 1, 2, 3, 4, 5),
+f AS (
+  SELECT linked, list_reduce(list({'title': title, 'place': place, 'city': city, 'land': land, 'ord': ord} ORDER BY ord),
+    lambda s, x: CASE WHEN len(list_filter(s, lambda y: (y.city = x.city OR y.city = '' OR x.city = '') AND (y.land = x.land OR y.land = '' OR x.land = '')
+      AND (y.title = x.title OR y.place = x.place OR y.place = '' OR x.place = ''))) > 0 THEN s ELSE list_append(s, x) END,
+    CAST([] AS STRUCT(title VARCHAR, place VARCHAR, city VARCHAR, land VARCHAR, ord BIGINT)[])) AS leaders
+  FROM p GROUP BY linked),
+l AS (SELECT linked, unnest(leaders) AS y FROM f),
+m AS (
+  SELECT p.*, min(y.ord) AS leader_ord FROM p JOIN l ON l.linked = p.linked AND y.ord <= p.ord
+    AND (y.city = p.city OR y.city = '' OR p.city = '') AND (y.land = p.land OR y.land = '' OR p.land = '')
+    AND (y.title = p.title OR y.place = p.place OR y.place = '' OR p.place = '')
+  GROUP BY ALL)"""
+
+
+@_query(f"WITH {ACTIVITIES}, {_LEADERS.strip()} SELECT a.ord, m.leader_ord FROM activities a JOIN m ON lower(a.activity) = m.title AND coalesce(lower(a.place_name), '') = m.place AND coalesce(lower(a.city), '') = m.city AND coalesce(lower(a.country), '') = m.land AND (a.ord % 11 = 0) = m.linked")
 def leader_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.leader_groups(activities(spark, sf_dir))
 
@@ -511,12 +540,16 @@ def activity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.activity_links(messages(spark, sf_dir)).select("chat_id", "message_id", "url_no", "platform", "inferred_type", F.round("confidence", 6).alias("confidence"))
 
 
-@_query(f"WITH {ACTIVITIES} SELECT ord, 'see https://maps.google.com/?q=1.5,2.5' AS message, strftime(told, '%Y-%m-%d') AS date, mentions FROM activities WHERE score >= 4")
+@_query(f"""
+WITH {ACTIVITIES}
+SELECT row_number() OVER (ORDER BY ord) AS id, activity, category, printf('%.2f', score) AS confidence, strftime(told, '%Y-%m-%d') AS date, '00:00:00' AS time,
+  sender, 'see https://maps.google.com/?q=1.5,2.5' AS message, mentions, concat_ws(', ', place_name, city, country) AS location, (ord % 90)::DOUBLE AS latitude,
+  2.5::DOUBLE AS longitude, 'https://www.google.com/maps?q=' || (ord % 90) || '.0,2.5' AS maps_link, 'p' || ord AS place_id, 'url' AS place_lookup_source
+FROM activities WHERE score >= 4""")
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = activities(spark, sf_dir).filter("score >= 4").withColumns({"latitude": F.lit(1.5), "longitude": F.lit(2.5), "place_id": F.lit(""), "place_lookup_source": F.lit("url")})
-    made = sinks.csv_rows(rows)
-    keyed = rows.select("ord", F.row_number().over(Window.orderBy("ord")).alias("id"))
-    return made.join(keyed, "id").select("ord", "message", "date", "mentions")
+    key = F.col("ord")
+    placed = {"latitude": (key % 90).cast("double"), "longitude": F.lit(2.5), "place_id": F.concat(F.lit("p"), key.cast("string")), "place_lookup_source": F.lit("url")}
+    return sinks.csv_rows(activities(spark, sf_dir).filter("score >= 4").withColumns(placed))
 
 
 MEDIA_NAMES = ("Kayak", "boat", "paddling", "nothing", "hike_trail")

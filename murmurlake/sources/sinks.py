@@ -10,9 +10,10 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmurlake.functions.stored import numbered
 from murmurlake.functions.text import truncated
 from murmurlake.functions.urls import maps_link
 from murmurlake.operators.filters import filter_of, select_activities
@@ -26,8 +27,8 @@ def _first(field: str) -> Column:
 
 def csv_rows(activities: DataFrame) -> DataFrame:
     """The fifteen columns of the table export, numbered in input order."""
-    return activities.select(
-        F.row_number().over(Window.orderBy("ord")).alias("id"),  # what a filter left, a file's worth of rows
+    return numbered(activities, [F.col("ord")], "_row").select(
+        F.col("_row").alias("id"),
         "activity",
         "category",
         F.format_string("%.2f", "score").alias("confidence"),
@@ -62,7 +63,7 @@ def json_document(activities: DataFrame, input_file: str, message_count: int, ve
 def map_rows(activities: DataFrame) -> DataFrame:
     """Located activities with short texts and a colour by sender, in order of first appearance."""
     located = activities.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn("sender", _first("sender"))
-    ranks = located.groupBy("sender").agg(F.min("ord").alias("first_ord")).withColumn("n", F.row_number().over(Window.orderBy("first_ord", "sender")) - 1)
+    ranks = numbered(located.groupBy("sender").agg(F.min("ord").alias("first_ord")), [F.col("first_ord"), F.col("sender")], "n", start=0)
     colour = F.element_at(F.array(*[F.lit(c) for c in PALETTE]), (F.col("n") % len(PALETTE) + 1).cast("int"))
     told = located.join(ranks.select(F.col("sender").alias("_s"), colour.alias("colour")), F.col("sender").eqNullSafe(F.col("_s")), "left").drop("_s")
     return told.select("ord", "latitude", "longitude", "sender", "colour", truncated(F.col("activity"), 100).alias("activity"), truncated(_first("message"), 200).alias("message"))
