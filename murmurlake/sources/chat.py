@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from murmurlake.functions.stored import numbered, stored
 from murmurlake.functions.text import matches, pattern, plain_apostrophes, urls_in
+from murmurlake.operators.context import running_total
 
 MAX_CHUNK, MIN_CHUNK, SNIFFED_LINES = 280, 32, 20
 
@@ -86,6 +88,24 @@ def lines_of(chats: DataFrame) -> DataFrame:
     return chats.select("chat_id", source_of(F.col("content")).alias("source"), F.posexplode(F.split(text, "\n")).alias("line_no", "text"))
 
 
+def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
+    """chat_id (file path), source, line_no, text of text files of any size: Spark cuts them at ``spark.sql.files.maxPartitionBytes``.
+
+    Lines are numbered where they lie, and a second pass adds how many lines the stretches of a file before have, a row for each.  A line ends at a line
+    feed, a carriage return or both; what follows the last one is a line only if it isn't empty.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("chat_id"), F.col("_metadata.file_block_start").alias("_from"))
+    laid = stored(raw.withColumn("_at", F.monotonically_increasing_id()), "lines")
+    held = laid.groupBy("chat_id", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("chat_id").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select("chat_id", "_from", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    told = laid.join(starts, ["chat_id", "_from"])
+    lines = told.select("chat_id", (F.col("_at") - F.col("_first") + F.col("_before")).alias("line_no"), plain_apostrophes(F.col("value")).alias("text"))
+    first = lines.filter(F.col("line_no") < SNIFFED_LINES).groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_head"))
+    start = F.array_join(F.transform("_head", lambda x: x["text"]), "\n")
+    return lines.join(first.select("chat_id", source_of(start).alias("source")), "chat_id").select("chat_id", "source", "line_no", "text")
+
+
 def media_type(content: Column) -> Column:
     made = None
     for kind, text in MEDIA:
@@ -135,9 +155,8 @@ def chunked(content: pd.Series) -> pd.Series:
     return content.map(lambda t: split_text(t or ""))
 
 
-def _assembled(lines: DataFrame) -> DataFrame:
+def _assembled(lines: DataFrame, by_ranges: bool = False) -> DataFrame:
     """chat_id, source, line_no, timestamp, sender, content, raw_line of the messages, before system lines go."""
-    order = Window.partitionBy("chat_id").orderBy("line_no")
     ios, android, apple = (F.col("text").rlike(pattern(h)) for h in (IOS_HEADER, ANDROID_HEADER, IMESSAGE_HEADER))
     hits = lines.filter(F.col("line_no") < SNIFFED_LINES).groupBy("chat_id").agg(
         F.count_if(ios).alias("ios_hits"), F.count_if(android).alias("android_hits")
@@ -148,7 +167,12 @@ def _assembled(lines: DataFrame) -> DataFrame:
         .when(F.coalesce("android_hits", F.lit(0)) > F.coalesce("ios_hits", F.lit(0)), F.when(android, "android"))
         .otherwise(F.when(ios, "ios")),
     )
-    island = told.withColumn("island", F.sum(F.col("header").isNotNull().cast("int")).over(order)).filter("island > 0")
+    begins = F.col("header").isNotNull().cast("int")
+    if by_ranges:
+        numbered_messages = running_total(told, begins, "line_no", "island")
+    else:
+        numbered_messages = told.withColumn("island", F.sum(begins).over(Window.partitionBy("chat_id").orderBy("line_no")))
+    island = numbered_messages.filter("island > 0")
 
     def part(i: int) -> Column:
         return F.when(F.col("header") == "ios", F.regexp_extract("text", pattern(IOS_HEADER), i)).otherwise(
@@ -181,20 +205,26 @@ def _assembled(lines: DataFrame) -> DataFrame:
     ).filter(~is_apple | (F.length("content") > 0))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """The messages of FIXTURES: system lines dropped, media typed, long texts in chunks, dense ids by chat."""
-    found = _assembled(lines)
+def parse_lines(lines: DataFrame, by_ranges: bool = False) -> DataFrame:
+    """The messages of FIXTURES: system lines dropped, media typed, long texts in chunks, dense ids by chat.
+
+    ``by_ranges`` deals a chat to many tasks by its lines, for chats that are too long for one; ids then take a written table."""
+    found = _assembled(lines, by_ranges)
     whatsapp = F.col("source") == "whatsapp"
     kept = found.filter(~whatsapp | ~is_system(F.col("content")))
     short = F.length("content") <= MAX_CHUNK  # most rows never leave the JVM's form
     parts = kept.filter(short).withColumn("parts", F.array("content")).unionByName(kept.filter(~short).withColumn("parts", chunked("content")))
     rows = parts.select("*", F.posexplode("parts").alias("pos", "piece"))
-    order = Window.partitionBy("chat_id").orderBy("line_no", "pos")
+    if by_ranges:
+        placed = numbered(rows, [F.col("line_no"), F.col("pos")], "id", start=0, by=("chat_id",))
+    else:
+        order = Window.partitionBy("chat_id").orderBy("line_no", "pos")
+        placed = rows.withColumn("id", (F.row_number().over(order) - 1).cast("long"))
     kind = F.when(whatsapp, media_type(F.col("content")))
     urls = urls_in(F.col("content"))
-    return rows.select(
+    return placed.select(
         "chat_id",
-        (F.row_number().over(order) - 1).cast("long").alias("id"),
+        "id",
         "timestamp",
         "sender",
         F.col("piece").alias("content"),
