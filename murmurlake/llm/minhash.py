@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from murmurlake.llm.common import forget, map_rows, written
 from murmurlake.llm.graph import components
-from murmurlake.llm.set_groups import SMALL, as_set, buckets_of, group_links, pairs_of
-from murmurlake.llm.shingling import TURN, class_key, encoded, mix, rows_of, shingles
+from murmurlake.llm.set_groups import SMALL, as_set, buckets_of, group_links, may_be_near, pairs_of, parity
+from murmurlake.llm.shingling import TURN, class_key, encoded, mix, rows_of, shingles, told_to_tasks
 
 WORDS = 4
 #: Jaccard similarity of at least TIMES/PER.
@@ -102,25 +102,25 @@ def _classes(sigs: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, tokens (sorted 64-bit hashes) of the wanted classes, from the text of one row each."""
+    """cls, n, tokens (sorted 64-bit hashes), sig (their parity) of the wanted classes, from the text of one row each."""
 
     def make():
         def work(columns: list) -> list:
             sets = shingles(encoded(columns[2]), WORDS)
             ok = [i for i, (s, key) in enumerate(zip(sets, columns[1], strict=True)) if class_key(s) == key]
-            return [[columns[0][i] for i in ok], [len(sets[i]) for i in ok], [sets[i].tobytes() for i in ok]]
+            return [[columns[0][i] for i in ok], [len(sets[i]) for i in ok], [sets[i].tobytes() for i in ok], [parity(sets[i]) for i in ok]]
 
         return work
 
     rows = rows_of(docs)
-    asked = wanted.select("cls", "key", F.col("one.row").alias("asked_row"), F.col("one.doc_id").alias("asked_id"))
+    asked = written(wanted, "minhash-wanted").select("cls", "key", F.col("one.row").alias("asked_row"), F.col("one.doc_id").alias("asked_id"))
     here = (rows["row"] == asked["asked_row"]) & rows["doc_id"].eqNullSafe(asked["asked_id"])
-    made = map_rows(rows.join(asked, here).select("cls", "key", "text"), make, "cls long, n long, tokens binary")
+    made = map_rows(rows.join(told_to_tasks(asked), here).select("cls", "key", "text"), make, "cls long, n long, tokens binary, sig array<long>")
     return written(made.dropDuplicates(["cls"]), "minhash-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link; whole sets meet only where their parities allow it."""
 
     def make():
         def work(columns: list) -> list:
@@ -135,7 +135,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return work
 
-    held = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a")
+    close = pairs.select("a", "b")
+    for side, n, sig in (("a", "n", "s"), ("b", "m", "t")):
+        close = close.join(sets.select(F.col("cls").alias(side), F.col("n").alias(n), F.col("sig").alias(sig)), side)
+    close = close.filter(may_be_near("n", "m", "s", "t", TIMES, PER)).select("a", "b")
+    held = close.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a")
     return map_rows(held.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t"), make, "a long, b long")
 
 
@@ -150,7 +154,8 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
     forget(buckets)
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
     sets = _sets_of(docs, classes.join(wanted, "cls"))
-    made = written(_verified(pairs, sets), "minhash-links").unionByName(group_links(large, sets, TIMES, PER))
+    found = written(_verified(pairs, sets), "minhash-links")
+    made = found.unionByName(group_links(large, sets, TIMES, PER))
     forget(pairs, large, sets)
     return made
 

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from murmurlake.llm.common import forget, map_rows, written
 from murmurlake.llm.graph import components
-from murmurlake.llm.set_groups import SMALL, as_set, buckets_of, group_links, pairs_of
-from murmurlake.llm.shingling import TURN, class_of, encoded, mix, rows_of, shingles
+from murmurlake.llm.set_groups import SMALL, as_set, buckets_of, group_links, pairs_of, parity
+from murmurlake.llm.shingling import TURN, class_of, encoded, mix, rows_of, shingles, told_to_tasks
 
 WORDS = 3
 #: Jaccard similarity of at least TIMES/PER.
@@ -40,8 +40,6 @@ DEPTH = 32
 SLOT_BITS = 22
 #: Tokens that a task counts at once.
 COUNTED = 2_000_000
-#: Up to so many wanted texts are told to all tasks by their 64-bit hashes (8 MB); beyond it texts are joined by shuffle.
-MAX_BROADCAST = 1_000_000
 
 def prefix_length(n: int) -> int:
     return n - -(-TIMES * n // PER) + 1
@@ -181,7 +179,7 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
-    """cls, n, tokens (binary, sorted 64-bit hashes), k and slack, p2.. (prefixes under the other orders, 32 bits of each token, longer by k;
+    """cls, n, tokens (binary, sorted 64-bit hashes), sig (their parity), k and slack, p2.. (prefixes under the other orders, 32 bits of each token, longer by k;
     k tokens must be shared; slack of them collide) for the wanted (row, cls)."""
 
     def make():
@@ -199,16 +197,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFram
                     lost = max(lost, len(early) - len(short))
                     own.append(short.view(np.int32))
                 slack.append(lost)
-            return [columns[0], list(map(class_of, sets)), list(map(len, sets)), [s.tobytes() for s in sets], depth, slack, *more]
+            return [columns[0], list(map(class_of, sets)), list(map(len, sets)), [s.tobytes() for s in sets], list(map(parity, sets)), depth, slack, *more]
 
         return work
 
     wanted = written(wanted.select("row", F.col("doc_id").alias("id"), F.col("cls").alias("wanted_cls")), "ngram-wanted")
     rows = rows_of(docs)
     here = (rows["row"] == wanted["row"]) & rows["doc_id"].eqNullSafe(wanted["id"])
-    texts = rows.join(_told(wanted), here).select("wanted_cls", "text")
+    texts = rows.join(told_to_tasks(wanted), here).select("wanted_cls", "text")
     kinds = ", ".join(f"p{k} array<int>" for k in range(2, ORDERS + 1))
-    made = map_rows(texts, make, f"wanted_cls long, cls long, n long, tokens binary, k int, slack int, {kinds}")
+    made = map_rows(texts, make, f"wanted_cls long, cls long, n long, tokens binary, sig array<long>, k int, slack int, {kinds}")
     made = written(made.filter("cls = wanted_cls").drop("wanted_cls"), "ngram-sets")
     if made.count() > wanted.count():  # rows that are equal in id and text
         several, made = made, written(made.dropDuplicates(["cls"]), "ngram-sets")
@@ -217,11 +215,6 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFram
     return made
 
 
-def _told(table: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it has few rows of a few numbers each; else joins shuffle."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that share enough under every other order, and whose sets link."""
 
@@ -298,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))
     several = rooted.filter("rows > 1 OR root IS NOT NULL").join(least, "root", "left")
     found = written(several.select(F.col("cls").alias("of"), F.coalesce("of_root", "least").alias("found")), "ngram-components")
-    rows = names.join(_told(found), (F.col("cls") == F.col("of")) & (F.col("n_shingles") > 0), "left")
+    rows = names.join(told_to_tasks(found), (F.col("cls") == F.col("of")) & (F.col("n_shingles") > 0), "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("of").isNotNull(), F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

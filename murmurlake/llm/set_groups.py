@@ -4,8 +4,8 @@ Classes (distinct sets) that share a bucket may link; buckets of up to ``SMALL``
 each is described by its difference D to the group's *pivot*, the tokens that about half of the group holds; any set would do, this one
 makes differences small.  Two sets link at a Jaccard similarity of t = times/per.  As |x ^ y| = |D(x) ^ D(y)|, x and y link if
 |D(x) ^ D(y)| <= c(|x| + |y|) with c = (1-t)/(1+t).  So with a(x) = |D(x)| - c|x|, a pair with a(x) + a(y) <= 0 always links, and both link to
-the class of least a, the *hub*, which keeps the component without the pair; any other pair that links shares an element of the
-differences' prefixes.  These elements are the tokens of a next level, whose sets are the differences: small buckets make pairs,
+the class of least a, the *hub*; which classes link with the hub is told exactly, and keeps their component without pairs.  Any other pair that
+links shares an element of the differences' prefixes.  These elements are the tokens of a next level, whose sets are the differences: small buckets make pairs,
 verified on differences alone, large ones are groups again.  What a large bucket shares is in its pivot, so every level leaves
 less; levels go on until no token is large.  Classes that are all linked with the hub need no more levels, and a pair is looked for in the
 bucket of its first common element only: what stands before that element in a difference is *barred*, as it can't be common, and
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from murmurlake.llm.common import forget, map_rows, written
 
-#: Classes that a bucket may hold to make pairs.
-SMALL = 24
+#: Classes that a bucket may hold to make pairs; within groups, where parities tell pairs apart before they are made.
+SMALL, SMALL_IN_GROUP = 24, 256
 #: Levels after which the search gives up with an error; each fixes at least one token of every group that is left.
 MOST_LEVELS = 200
+#: Numbers of 64 bits that tell early how far two sets are apart.
+LANES = 8
 
 
 def _may_link(n: str, m: str, times: int, per: int) -> str:
@@ -39,6 +41,20 @@ def as_set(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint64)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """``LANES`` numbers of 64 bits: for each of their bits, whether an odd number of tokens falls on it.
+
+    A token in one of two sets alone turns one bit, so no more bits differ than tokens do: a lower bound of the symmetric difference."""
+    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_near(n: str, m: str, sig: str, its: str, times: int, per: int) -> str:
+    """Whether the parities of two sets of n and m tokens allow a link."""
+    apart = " + ".join(f"bit_count({sig}[{i}] ^ {its}[{i}])" for i in range(LANES))
+    return f"({per + times}) * ({apart}) <= ({per - times}) * ({n} + {m})"
+
+
 def _pivots(rows: DataFrame) -> DataFrame:
     """grp, base (sorted tokens): what about half of the rows of each group hold.
 
@@ -137,45 +153,75 @@ def buckets_of(members: DataFrame, *more: str) -> DataFrame:
 
 
 def pairs_of(buckets: DataFrame, times: int, per: int, *by: str) -> DataFrame:
-    """All pairs a < b within small buckets whose sizes allow a link and that aren't both near the hub, with shared (how many buckets)."""
-    small = buckets.filter(F.col("held") <= SMALL)
-    other = small.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("near").alias("also"))
+    """All pairs a < b within small buckets whose sizes (and parities, where there are any) allow a link and that aren't both near the hub, with
+    shared (how many buckets)."""
+    sig = ["sig"] if "sig" in buckets.columns else []
+    small = buckets.filter(F.col("held") <= (SMALL_IN_GROUP if sig else SMALL))
+    theirs = [F.col(x).alias(y) for x, y in (("cls", "b"), ("n", "m"), ("near", "also"), *[("sig", "its_sig") for _ in sig])]
+    close = may_be_near("n", "m", "sig", "its_sig", times, per) if sig else "true"
     return (
-        small.select("token", *by, F.col("cls").alias("a"), "n", "near")
-        .join(other, "token")
-        .filter(f"a < b AND NOT (near AND also) AND {_may_link('n', 'm', times, per)}")
+        small.select("token", *by, F.col("cls").alias("a"), "n", "near", *sig)
+        .join(small.select("token", *theirs), "token")
+        .filter(f"a < b AND NOT (near AND also) AND {_may_link('n', 'm', times, per)} AND {close}")
         .groupBy(*by, "a", "b")
         .agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     )
 
 
+def _with_hub(hubs: DataFrame, times: int, per: int) -> DataFrame:
+    """grp, cls, near: whether the class links with its group's hub, told exactly by their differences."""
+
+    def make():
+        def work(columns: list) -> list:
+            near = []
+            for n, m, s, t in zip(*columns[2:], strict=True):
+                one, two = as_set(s), as_set(t)
+                apart = len(one) + len(two) - 2 * len(np.intersect1d(one, two, assume_unique=True))
+                near.append((per + times) * apart <= (per - times) * (n + m))
+            return [columns[0], columns[1], near]
+
+        return work
+
+    return map_rows(hubs.select("grp", "cls", "n", "hub_n", "tokens", "hub_tokens"), make, "grp long, cls long, near boolean")
+
+
+def _merged(large: DataFrame) -> DataFrame:
+    """The groups (grp, cls), those that share classes mostly put together: a group goes by the least group of any of its classes, so a crowd
+    that meets in many buckets is told once."""
+    least = large.groupBy("cls").agg(F.min("grp").alias("first"))
+    names = large.join(least, "cls").groupBy("grp").agg(F.min("first").alias("first"))
+    return large.join(names, "grp").select(F.col("first").alias("grp"), "cls").distinct()
+
+
 def group_links(large: DataFrame, sets: DataFrame, times: int, per: int) -> DataFrame:
-    """a, b: links within the groups ``large`` (grp, cls) of ``sets`` (cls, n, tokens: sorted 64-bit numbers as bytes); enough of them that every
-    class that links with another of its group is connected to it."""
+    """a, b: links within the groups ``large`` (grp, cls) of ``sets`` (cls, n, tokens: sorted 64-bit numbers as bytes, sig: their parity); enough
+    of them that every class that links with another of its group is connected to it."""
     found: list[DataFrame] = []
     none = F.array().cast("array<bigint>").alias("barred")
-    state = written(large.join(sets.select("cls", "n", "tokens"), "cls").select("grp", "cls", "n", "tokens", none), "group-state")
+    rows = _merged(large).join(sets.select("cls", "n", "tokens", "sig"), "cls").select("grp", "cls", "n", "tokens", none, "sig")
+    state = written(rows, "group-state")
     for _ in range(MOST_LEVELS):
         if state.isEmpty():
             break
         level = _level(state, times, per)
-        forget(state)
         least = level.groupBy("grp").agg(F.min(F.struct("far", "cls")).alias("hub"))
+        theirs = level.select("grp", F.col("cls").alias("hub_cls"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens"))
+        hub = least.select("grp", F.col("hub.cls").alias("hub_cls")).join(theirs, ["grp", "hub_cls"])
+        near = _with_hub(level.join(hub, "grp"), times, per)
         # Two differences share at least (a(x) + a(y)) / 2 elements, so prefixes may leave out one less of the last ones.
         common = F.expr(f"greatest(1, ceil((far + hub.far) / {2 * (per + times)}))").cast("int")
         keys = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(F.size("keys"), F.col("n_free") - common + 1)))
-        hubs = level.select("grp", "cls", "n", "far", "n_free", "keys").join(least, "grp")
-        near = F.col("far") + F.col("hub.far") <= 0
-        told = written(hubs.select("grp", "cls", "n", near.alias("near"), F.col("hub.cls").alias("hub"), keys.alias("keys")), "group-hubs")
+        hubs = level.select("grp", "cls", "n", "far", "n_free", "keys").join(least, "grp").join(near, ["grp", "cls"]).join(state.select("grp", "cls", "sig"), ["grp", "cls"])
+        told = written(hubs.select("grp", "cls", "n", "near", "sig", F.col("hub.cls").alias("hub"), keys.alias("keys")), "group-hubs")
         found.append(written(told.filter("near AND cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "group-links"))
         # A token of this level belongs to its group: its name is that of both.
-        rows = told.select("grp", "cls", "n", "near", F.explode("keys").alias("key"))
-        buckets = written(buckets_of(rows.withColumn("token", F.xxhash64("grp", "key")), "grp", "key"), "group-buckets")
+        rows = told.select("grp", "cls", "n", "near", "sig", F.explode("keys").alias("key"))
+        buckets = written(buckets_of(rows.withColumn("token", F.xxhash64("grp", "key")), "grp", "key", "sig"), "group-buckets")
         found.append(written(_close(pairs_of(buckets, times, per, "grp").select("grp", "a", "b"), level, times, per), "group-links"))
-        again = buckets.filter(F.col("held") > SMALL).select("token", "grp", "key", "cls")
+        again = buckets.filter(F.col("held") > SMALL_IN_GROUP).select("token", "grp", "key", "cls", "sig")
         before = F.expr("concat(barred, slice(keys, 1, greatest(0, cast(array_position(keys, key) AS INT) - 1)))").alias("barred")
-        state = written(again.join(level, ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens", before), "group-state")
-        forget(level, told, buckets)
+        last, state = state, written(again.join(level, ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens", before, "sig"), "group-state")
+        forget(last, level, told, buckets)
     else:
         raise RuntimeError("groups did not become small")
     return reduce(DataFrame.unionByName, found, large.sparkSession.createDataFrame([], "a long, b long"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SEED = 0xD1B54A32D192ED03
+#: Up to so many rows of a few numbers each are told to all tasks (50 MB); tables beyond it are joined by shuffle.
+MAX_BROADCAST = 1_000_000
 #: Odd numbers that tell orders, places and lengths apart.
 TURN = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
@@ -90,3 +92,8 @@ def rows_of(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of the text), text; null texts as empty ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def told_to_tasks(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few rows of a few numbers each; else joins shuffle."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
