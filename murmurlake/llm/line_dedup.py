@@ -7,7 +7,7 @@ merged and its other lines joined again.  Windows that hold nothing but white sp
 
 Edge cases: null texts stay null, texts with fewer than ``width`` lines are left alone; rows that share a doc_id (null too) but not their
 text are documents of their own; rows equal in both are one document, whose windows are first occurrences or later ones together; an empty
-table gives an empty result; columns of any name are kept.
+table gives an empty result; columns of any name are kept, and one called like the added struct is an error unless ``into`` names another.
 """
 
 from __future__ import annotations
@@ -66,8 +66,10 @@ def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
-def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with the columns n_lines, n_removed and kept_text added under ``line_dedup``, a struct."""
+def remove_repeated_lines(docs: DataFrame, width: int = WIDTH, into: str = "line_dedup") -> DataFrame:
+    """``docs`` with the columns n_lines, n_removed and kept_text added under ``into``, a struct of a name that is free."""
+    if into.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the documents have a column {into}")
     mark = "_".join(["gone", *docs.columns])  # no column has this name
     gone = covered_lines(docs, width).select(F.col("lid").alias(f"{mark}_id"), F.col("tid").alias(f"{mark}_text"), F.col("gone").alias(mark))
     lines = _lines(F.col("text"))
@@ -81,5 +83,5 @@ def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
             F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark)).cast("long").alias("n_removed"),
             F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
-        ).alias("line_dedup"),
+        ).alias(into),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -24,8 +25,8 @@ from murmurlake.llm import (
     toxicity,
 )
 
-#: The setting that holds the key of pseudonyms, and the key where it is unset.
-KEY_SETTING, KEY = "spark.murmurlake.pii.key", "murmurlake"
+#: The setting that holds the key of pseudonyms.
+KEY_SETTING = "spark.murmurlake.pii.key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.documents_with_pii(_table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, KEY))
+    """With the key of ``KEY_SETTING``; where it is unset the session gets a random one, so nobody who reads the code can invert pseudonyms."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return pii.documents_with_pii(_table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    done = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "line_dedup.kept_text")
 
 

@@ -490,6 +490,14 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.remove_repeated_lines(none).count() == 0
 
 
+def test_line_dedup_beside_a_column_of_its_name(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc", "kept"), (2, "a\nb\nc", "kept")], "doc_id long, text string, line_dedup string")
+    with pytest.raises(ValueError):
+        line_dedup.remove_repeated_lines(rows)
+    got = line_dedup.remove_repeated_lines(rows, into="found").orderBy("doc_id").collect()
+    assert [(r["line_dedup"], r["found"]["n_removed"]) for r in got] == [("kept", 0), ("kept", 3)]
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     rows = [(4, "a\nb\nc"), (5, "a\nb\nc"), (5, "x\ny\nz"), (None, "p\nq\nr"), (None, "x\ny\nz\nw"), (9, "l\n" * 30_000)]
     got = {(r["doc_id"], r["text"][:8]): r["line_dedup"] for r in line_dedup.remove_repeated_lines(table(spark, rows)).collect()}
