@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurlake.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from murmurlake.llm.common import written
+from murmurlake.llm.common import forget, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,15 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go; n_chars follows the text, and documents of which nothing is left go."""
-    done = line_dedup.remove_repeated_lines(docs)
-    text = F.col("line_dedup.kept_text")
-    changed = F.col("line_dedup.n_removed") > 0
-    n_chars = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    values = {"text": text, "n_chars": n_chars}
+    """Later occurrences of three-line windows go; n_chars (if there is one) follows the text, and documents of which nothing is left go.
+    Null texts and texts without repeated lines stay as they are."""
+    mark = "_".join(["lines", *docs.columns])  # no column has this name
+    done = line_dedup.remove_repeated_lines(docs, into=mark)
+    text = F.col(f"`{mark}`.kept_text")
+    changed = F.col(f"`{mark}`.n_removed") > 0
+    values = {"text": text}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     kept = done.filter(~changed | (F.length(F.trim(text)) > 0))
     return kept.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
@@ -58,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, spent = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if spent is not None:
+            forget(spent)  # only the last copy of the corpus is left
+        spent = docs
     return STAGES[-1][1](spark, docs, sf_dir)
