@@ -6,6 +6,7 @@ Regular expressions are written for ASCII word boundaries and Unicode white spac
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -18,9 +19,7 @@ B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: One white-space character, Unicode ones and the byte order mark included.
 S = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
-# Latin letters with marks and what is left without them.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğģīįķĺļľłńņňōőŕřśşšţťūůűųźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeggiiklllłnnnoorrsssttuuuuzzzAAAAAACEEEEIIIINOOOOOUUUUY"
+# Filler words, entities.
 FILLERS = ("the", "a", "an", "of", "and", "in", "on", "at", "to", "for", "by", "with", "from")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -102,8 +101,25 @@ def similarity(a: Column, b: Column) -> Column:
     )
 
 
+def _marked_letters() -> tuple[str, str]:
+    """Characters whose canonical decomposition is one character and marks of U+0300-036F, with that character; then the marks alone."""
+    marks = {chr(c) for c in range(0x300, 0x370)}
+    bare = {}
+    for code in range(0xC0, 0x10000):
+        if not 0xD800 <= code < 0xE000:
+            parts = unicodedata.normalize("NFD", chr(code))
+            left = [c for c in parts if c not in marks]
+            if len(parts) > 1 and len(left) == 1:
+                bare[chr(code)] = left[0]
+    return "".join([*bare, *sorted(marks)]), "".join(bare.values())
+
+
+_MARKED, _BARE = _marked_letters()
+
+
 def without_accents(column: Column) -> Column:
-    return F.translate(column, ACCENTED, PLAIN)
+    """Letters of any script without their marks of U+0300-036F; letters that don't decompose (as a barred l) stay."""
+    return F.translate(column, _MARKED, _BARE)
 
 
 def content_words(column: Column) -> Column:
@@ -171,9 +187,9 @@ def plain_license(column: Column) -> Column:
     return F.regexp_replace(low, f"[_{S[1:-1]}]+", "-")
 
 
-def cache_key(*parts: Column) -> Column:
-    """Key of a request: sha256 of its parts joined by colons; nulls keep their place."""
-    return F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+def event_date(time: Column) -> Column:
+    """``Mar 5``: month and day of a time."""
+    return F.date_format(time, "MMM d")
 
 
 def safe_name(column: Column) -> Column:

@@ -60,6 +60,18 @@ def parse_responses(responses: DataFrame, strict_offsets: bool = False) -> DataF
     return made.filter(F.array_contains("expected_ids", F.col("message_id"))).drop("expected_ids")
 
 
+def failed_batches(responses: DataFrame) -> DataFrame:
+    """batch_id, error of the responses that give nothing to go on: 'no_json' without a list, 'bad_json' where it can't be read, 'no_expected_id' where
+    it has items, none of them of a message that was asked for.  An empty list is an answer."""
+    part = json_part(F.col("response"))
+    items = F.from_json(part, ITEM)
+    asked = F.exists(items, lambda x: F.array_contains("expected_ids", x["msg"].try_cast("double").cast("long")))
+    # What can't be read as a list comes back as nothing, or as one item without any field.
+    broken = items.isNull() | (F.size(items) == 0) & ~F.trim(part).rlike(r"(?s)^\[\s*\]$") | F.exists(items, lambda x: x.isNull())
+    error = F.when(part.isNull(), "no_json").when(broken, "bad_json").when((F.size(items) > 0) & ~F.coalesce(asked, F.lit(False)), "no_expected_id")
+    return responses.select("batch_id", error.alias("error")).filter("error IS NOT NULL")
+
+
 def to_activities(parsed: DataFrame) -> DataFrame:
     """Rows with a title: capitalised, scored, with an id."""
     title = F.concat(F.upper(F.substring("title", 1, 1)), F.substring("title", 2, 1 << 30))

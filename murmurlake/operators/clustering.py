@@ -160,3 +160,8 @@ def mention_stats(activities: DataFrame) -> DataFrame:
 
 def most_wanted(activities: DataFrame, limit: int = 10) -> DataFrame:
     return activities.filter(F.size("messages") > 1).orderBy("ord").limit(limit)
+
+
+def mentioned_at_least(activities: DataFrame, n: int) -> DataFrame:
+    """Activities that at least ``n`` messages mention."""
+    return activities.filter(F.size("messages") >= n)

@@ -45,6 +45,11 @@ def license_check(license_: Column) -> Column:
     return F.struct(reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
+def any_license_allowed(licenses: Column) -> Column:
+    """Whether one of an array of licences is allowed; false for none."""
+    return F.coalesce(F.exists(licenses, lambda x: license_check(x)["allowed"]), F.lit(False))
+
+
 def site_of(url: Column) -> Column:
     low, made = F.lower(url), None
     for site, parts in SITES:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from murmurlake.functions.text import without_accents
 from murmurlake.operators.enrich import first_of, license_check
+from murmurlake.operators.entities import is_photo_name
 
 # Names and the least width of pictures that are taken from an article.
-NOT_PHOTOS = r"\.svg$|\.gif$|logo|icon|flag|coat_of_arms"
 LEAST_WIDTH = 400
 
 
@@ -118,7 +118,7 @@ def article_images(activities: DataFrame, pictures: DataFrame) -> DataFrame:
     """Adds image_url and image_url_source (wiki_name, place_name, city or country: whose article has the first usable picture).
 
     pictures: article, rank, name, width, license, image_url; usable are photos of at least 400 pixels under an allowed licence, by rank."""
-    usable = pictures.filter(~F.lower("name").rlike(NOT_PHOTOS) & (F.col("width") >= LEAST_WIDTH) & license_check(F.col("license"))["allowed"])
+    usable = pictures.filter(is_photo_name(F.col("name")) & (F.col("width") >= LEAST_WIDTH) & license_check(F.col("license"))["allowed"])
     best = usable.groupBy(F.col("article").alias("key")).agg(F.min_by("image_url", F.struct("rank", "image_url")).alias("image_url"))
     names = ("wiki_name", "place_name", "city", "country")
     asked = activities.withColumns({f"_{n}": article_name(F.nullif(F.col(n), F.lit(""))) for n in names})

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmurlake.operators import providers, resolve
+from murmurlake.operators import prompts, providers, resolve
 from murmurlake.plans.lookup_queries import ENTRIES, oracle_sql, queries
 from murmurlake.plans.queries import _query, _read
 
@@ -111,3 +111,41 @@ def entity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = p.filter("p_size % 5 > 0").select("item_id", F.explode(F.array(F.struct(F.lit(1).alias("rank"), title.alias("title"), own.alias("url")), F.struct(F.lit(2).alias("rank"), F.lit("b").alias("title"), told.alias("url")))).alias("h")).select("item_id", "h.*")
     rankings = p.filter("p_size % 7 > 0").select("item_id", F.array(F.lit(9), F.lit(0), F.lit(2), F.lit(1)).alias("indexes"))
     return resolve.resolve(p, best.unionByName(lesser), books, hits, rankings).select("item_id", "outcome", "stage", "source", "title", "url")
+
+
+@_query(r"""
+WITH m AS (
+  SELECT conv_id AS chat_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS id, role, coalesce(text, '') AS text,
+    make_timestamp((1704067200 + conv_id * 86400 + turn * 4000) * 1000000) AS ts FROM conversations),
+l AS (SELECT *, '[' || strftime(ts, '%Y-%m-%dT%H:%M') || '] ' || role || ': ' || text AS line FROM m),
+c AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN 'agreement' ELSE 'suggestion' END AS kind,
+    list(line) OVER (PARTITION BY chat_id ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before,
+    list(line) OVER (PARTITION BY chat_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS after FROM l),
+t AS (
+  SELECT *, chr(10) || '---' || chr(10) || 'ID: ' || id || CASE WHEN kind = 'agreement' THEN ' [AGREE]' ELSE '' END || ' | ' || strftime(ts, '%b %-d, %Y, %-I:%M %p')
+    || chr(10) || coalesce(array_to_string(before, chr(10)) || chr(10), '') || '>>> ' || role || ': ' || text
+    || CASE WHEN kind = 'suggestion' THEN coalesce(chr(10) || array_to_string(after, chr(10)), '') ELSE '' END || chr(10) || '---' AS block,
+    (row_number() OVER (PARTITION BY kind, chat_id ORDER BY id) - 1) // 3 AS batch FROM c),
+b AS (SELECT kind, chat_id, batch, string_agg(block, chr(10) ORDER BY id) AS blocks, list(id ORDER BY id) AS ids FROM t GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY kind DESC, chat_id, batch) - 1 AS request_no, chat_id, kind, len(ids) AS n,
+  sha256(CASE kind WHEN 'agreement' THEN 'What is agreed to?' ELSE 'What is suggested?' END || chr(10) || chr(10) || 'USER CONTEXT:' || chr(10) || 'Home country: New Zealand' || chr(10)
+    || 'Timezone: UTC' || chr(10) || chr(10) || 'MESSAGES:' || chr(10) || blocks || chr(10)) AS prompt
+FROM b""")
+def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is a candidate: what assistants say agrees, the rest suggests."""
+    turns = _read(spark, sf_dir, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 86_400 + F.col("turn") * 4_000)
+    rows = turns.select(F.col("conv_id").alias("chat_id"), (F.row_number().over(order) - 1).cast("long").alias("message_id"), at.alias("timestamp"), F.col("role").alias("sender"), F.coalesce("text", F.lit("")).alias("content"))
+    near = Window.partitionBy("chat_id").orderBy("message_id")
+    entry = F.struct("timestamp", "sender", "content")
+    told = rows.withColumns(
+        {
+            "candidate_type": F.when(F.col("sender") == "assistant", "agreement").otherwise("suggestion"),
+            "context_before": F.collect_list(entry).over(near.rowsBetween(-2, -1)),
+            "context_after": F.collect_list(entry).over(near.rowsBetween(1, 2)),
+        }
+    )
+    made = prompts.prompts_by_kind(told, {"suggestion": "What is suggested?", "agreement": "What is agreed to?"}, "New Zealand", "UTC", size=3)
+    return made.select("request_no", "chat_id", "kind", F.size("expected_ids").cast("long").alias("n"), F.sha2("prompt", 256).alias("prompt"))

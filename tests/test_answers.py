@@ -2,7 +2,10 @@
 
 import pytest
 
-from murmurlake.operators import providers, resolve
+from pyspark.sql import functions as F
+
+from murmurlake.functions.text import event_date, without_accents
+from murmurlake.operators import classify, clustering, enrich, prompts, providers, resolve
 
 ANSWERS = "provider string, request_id string, text string, error_type string, message string, input_tokens long, output_tokens long"
 
@@ -69,3 +72,29 @@ def test_every_item_is_found_or_failed_once(spark, tables):
     }
     assert {r["item_id"] for r in resolve.deferred(df, tables[2]).collect()} == {"5", "6"}
     assert resolve.resolve(df.limit(0), *tables).count() == 0
+
+
+def test_responses_that_give_nothing(spark):
+    rows = [
+        ("ok", [1], '[{"msg": 1, "title": "a"}]'), ("none", [1], "I found nothing"), ("empty", [1], "```json\n[]\n```"), ("other", [1], '[{"msg": 2}, {"msg": "x"}]'),
+        ("broken", [1], '[{"msg": 1, "title": "a]'), ("both", [1, 2], '[{"msg": 7}, {"msg": "2"}]'), ("null", [1], None),
+    ]
+    df = spark.createDataFrame(rows, "batch_id string, expected_ids array<long>, response string")
+    assert {tuple(r) for r in classify.failed_batches(df).collect()} == {("none", "no_json"), ("null", "no_json"), ("other", "no_expected_id"), ("broken", "bad_json")}
+
+
+def test_small_rules(spark):
+    words = ["Tiếng Việt", "México", "ŁÓDŹ", "Ångström", "naïve café", "日本", "e\u0301", "plain"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(without_accents(F.col("w"))).collect()
+    assert [r[0] for r in got] == ["Tieng Viet", "Mexico", "ŁODZ", "Angstrom", "naive cafe", "日本", "e", "plain"]
+    one = spark.range(1)
+    assert one.select(event_date(F.lit("2024-03-05 01:00:00").cast("timestamp"))).first()[0] == "Mar 5"
+    licenses = [F.array(F.lit("fair use"), F.lit("CC0")), F.array(F.lit("fair use")), F.array().cast("array<string>")]
+    assert list(one.select(*[enrich.any_license_allowed(x) for x in licenses]).first()) == [True, False, False]
+    rows = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"])], "ord long, messages array<string>")
+    assert [r["ord"] for r in clustering.mentioned_at_least(rows, 2).collect()] == [2]
+    kinds = spark.createDataFrame([("a", "agreement"), ("s", "suggestion"), ("n", None)], "k string, candidate_type string")
+    suggestions, agreements = prompts.by_kind(kinds)
+    assert {r["k"] for r in suggestions.collect()} == {"s", "n"} and [r["k"] for r in agreements.collect()] == ["a"]
+    with pytest.raises(ValueError):
+        prompts.user_context("")
