@@ -9,9 +9,9 @@ The capacity grows with the number of keys once the directory would pass ``MAX_S
 Every row finds its bucket through the directory, by the slot of its key's leading bits, and entries belong to it: rows of a bucket with
 equal keys are chained by their bytes.  Copies of a text are combined in the map tasks and then where all copies meet, by comparing the
 normalised texts themselves, so texts that collide in the key stay apart.  The entries, now one small row a distinct text, are dealt to
-owner tasks by ranges of buckets and keys; an owner numbers the chain of each key and writes its buckets' folders of the index to the
-shared files.  Rows look their group up in the folder of their bucket, by key; where a key has several chains, by bytes.  A slot that led
-to another bucket would lose its rows.
+owner tasks by ranges of buckets and keys; an owner chains the entries of each key and writes its buckets' folders of the index to the
+shared files.  Rows look their group up in the folder of their bucket, by key; where a key's chain has several entries, by the SHA-256 that
+each entry keeps of its text.  A slot that led to another bucket would lose its rows.
 
 Edge cases: null texts count as empty, so all empty, null and white-space texts form one group; rows that repeat the doc_id that stays
 are kept together with it; a null doc_id stays only if no other row is as long; an empty table gives an empty result; other
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from murmurlake.llm.common import ids_and_texts, written
 
-CAPACITY = 50_000
-START_DEPTH = 4
+CAPACITY = 4_000
+START_DEPTH = 1
 MAX_SLOTS = 1 << 17
 #: Characters that don't count when texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -102,14 +102,12 @@ def group_of_rows(
         """The rows with their bucket, through the directory."""
         return rows.join(slots, _leading(F.col("key"), depth) == F.col("leads")).drop("leads")
 
-    full = placed(keyed)
-    chains = full.groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"))
+    chains = placed(keyed).groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"))
     owned = chains.select("bucket", "key", "group_size", "best", F.sha2("norm", 256).alias("chain_sha")).repartitionByRange("bucket", "key")
     chain = Window.partitionBy("bucket", "key")  # lies within the owner's range: no further exchange
     index = written(
         owned.select(
             "key",
-            F.row_number().over(chain.orderBy("chain_sha")).alias("chain"),
             F.count("*").over(chain).alias("chains"),
             "chain_sha",
             "group_size",
@@ -121,14 +119,7 @@ def group_of_rows(
     )
     made = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     alone = placed(entries).join(index.filter("chains = 1").select("bucket", "key", "keep_id", "group_size"), ["bucket", "key"]).select(*made)
-    collided = index.filter("chains > 1")
-    if collided.isEmpty():
-        return alone
-    # Texts that share a key but not their bytes: their rows come with texts, and bytes decide.
-    shared = collided.select("bucket", "key").distinct()
-    again = full.join(shared, ["bucket", "key"], "left_semi")
-    groups = again.groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"))
-    told = again.join(groups, ["bucket", "key", "norm"]).select(
-        "doc_id", _id_of_rank(F.col("best")).alias("keep_id"), "group_size", F.sha2("norm", 256).alias("text_sha256")
-    )
-    return alone.unionByName(told.select(*made))
+    # Texts that share a key but not their bytes: their rows follow the key's chain to the entry of their own text.
+    collided = index.filter("chains > 1").select("bucket", "key", F.col("chain_sha").alias("text_sha256"), "keep_id", "group_size")
+    told = placed(entries).join(collided, ["bucket", "key", "text_sha256"]).select(*made)
+    return alone.unionByName(told)

@@ -571,3 +571,15 @@ def test_directory_leads_rows_to_their_entries(spark, docs, monkeypatch):
     whole = exact_dedup.directory
     monkeypatch.setattr(exact_dedup, "directory", lambda *a: (lambda d, s: (d, s.filter("slot % 2 = 0")))(*whole(*a)))
     assert 0 < exact_dedup.group_of_rows(docs, 2, start_depth=1).count() < docs.count()
+
+
+def test_buckets_of_the_given_tables_split(spark):
+    for sf in ("/root/testdata/sf0.1",):
+        if not os.path.isdir(sf):
+            pytest.skip("the driver's tables are not here")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        keys = docs.select(exact_dedup.default_key(exact_dedup.normalised(F.coalesce("text", F.lit("")))).alias("key"))
+        slots = exact_dedup.directory(keys)[1]
+        held = slots.groupBy("bucket", "depth").agg(F.sum("n").alias("n"))
+        assert held.agg(F.min("depth"), F.max("n")).first()[0] > exact_dedup.START_DEPTH
+        assert held.filter(F.col("n") > exact_dedup.CAPACITY).count() == 0
