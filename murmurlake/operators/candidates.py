@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmurlake.functions.stored import numbered
+from murmurlake.functions.text import urls_in
 from murmurlake.functions.urls import PLATFORM_CONFIDENCE, PLATFORM_OF_KIND, lookup, url_kind
 from murmurlake.operators import patterns as P
 from murmurlake.operators.context import context_bounds, neighbours
@@ -105,3 +107,15 @@ def quick_scan(messages: DataFrame, min_confidence: float = 0.5, max_messages: i
     found = extract_candidates(searched, min_confidence)
     counts = found.groupBy("chat_id").agg(F.count_if(F.col("source_type") == "regex").alias("regex_matches"), F.count_if(F.col("source_type") == "url").alias("url_matches"))
     return found, counts
+
+
+def distinct_addresses(rows: DataFrame) -> DataFrame:
+    """place (0, 1, ...), url: the different addresses of candidates and the messages around them, by where they stand first.
+
+    ``rows``: chat_id, message_id, content, context_before, context_after.  An address is combined in the map tasks, so a common one is one row each.
+    """
+    around = [F.coalesce(F.transform(c, lambda m: m["content"]), F.array().cast("array<string>")) for c in ("context_before", "context_after")]
+    texts = F.concat(around[0], F.array("content"), around[1])
+    told = rows.select("chat_id", "message_id", F.posexplode(F.flatten(F.transform(F.array_compact(texts), urls_in))).alias("pos", "url"))
+    first = told.groupBy("url").agg(F.min(F.struct("chat_id", "message_id", "pos")).alias("at"))
+    return numbered(first, [F.col("at.chat_id"), F.col("at.message_id"), F.col("at.pos")], "place", start=0).select("place", "url")

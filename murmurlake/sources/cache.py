@@ -104,3 +104,13 @@ class Stages:
     def has(self, stage: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{stage}/_SUCCESS")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    @staticmethod
+    def runs(spark: SparkSession, root: str) -> list[str]:
+        """Keys of the runs below ``root``, the one written last first."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        found = [(s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(folder) if s.isDirectory()]
+        return [name for _, name in sorted(found, reverse=True)]

@@ -54,6 +54,15 @@ def write_json(activities: DataFrame, path: str) -> None:
     activities.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """The activities that ``write_json`` wrote, their messages' times as times again; messages are null where the file has none."""
+    rows = spark.read.json(path)
+    if "messages" not in rows.columns:
+        return rows
+    at = lambda m: F.try_to_timestamp(m["timestamp"])
+    return rows.withColumn("messages", F.transform("messages", lambda m: m.withField("timestamp", at(m))))
+
+
 def json_document(activities: DataFrame, input_file: str, message_count: int, version: str = "1") -> str:
     rows = [json.loads(r) for r in activities.orderBy("ord").toJSON().toLocalIterator()]
     meta = {"version": version, "inputFile": input_file, "messageCount": message_count, "activityCount": len(rows), "geocodedCount": sum("latitude" in r for r in rows)}

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from murmurlake.sources import cache
+from murmurlake.operators.candidates import distinct_addresses
+from murmurlake.sources import cache, sinks
 from murmurlake.sources.chat import parse_chats, parse_lines, read_chat_lines
 
 STAMP = datetime.datetime(2024, 1, 1)
@@ -89,3 +90,24 @@ def test_compaction_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch,
     known.put(_rows(spark, [("c", "4", 0)]))
     known.compact()
     assert {r["key"]: r["data"] for r in known.read().collect()} == want | {"c": "4"}
+
+
+def test_addresses_by_where_they_stand_first(spark):
+    entry = "array<struct<content:string>>"
+    rows = [
+        ("b", 0, "see https://b.example.", None, []), ("a", 1, "https://one.example and https://two.example", [("before https://zero.example",)], [(None,)]),
+        ("a", 2, None, [("https://two.example",)], [("https://last.example",)]),
+    ]
+    df = spark.createDataFrame(rows, f"chat_id string, message_id long, content string, context_before {entry}, context_after {entry}")
+    got = [r["url"] for r in distinct_addresses(df).orderBy("place").collect()]
+    assert got == [f"https://{x}.example" for x in ("zero", "one", "two", "last", "b")]
+
+
+def test_json_comes_back_and_runs_are_listed(spark, tmp_path):
+    rows = spark.sql("SELECT 1L AS ord, 'a' AS activity, array(named_struct('id', 3L, 'timestamp', timestamp'2024-03-05 10:00:01.5', 'sender', 's', 'message', 'm')) AS messages")
+    path = str(tmp_path / "out")
+    sinks.write_json(rows, path)
+    assert [r.asDict(True) for r in sinks.read_json(spark, path).select(rows.columns).collect()] == [r.asDict(True) for r in rows.collect()]
+    for key in ("first", "second"):
+        cache.Stages(spark, str(tmp_path / "runs"), key).put("rows", rows)
+    assert set(cache.Stages.runs(spark, str(tmp_path / "runs"))) == {"first", "second"} and cache.Stages.runs(spark, str(tmp_path / "none")) == []
