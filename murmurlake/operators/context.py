@@ -1,4 +1,4 @@
-"""Context windows, gaps and batches.  Context windows and batches deal a chat by ranges of its messages; gaps and neighbours go by chat."""
+"""Context windows, gaps and batches, which deal a chat by ranges of its messages; fixed batches and neighbours go by chat."""
 
 from __future__ import annotations
 
@@ -86,10 +86,16 @@ def with_context(rows: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def proximity_groups(rows: DataFrame, gap: int = 5) -> DataFrame:
-    """Adds group_no: a group ends where the next message id of the chat is more than ``gap`` away."""
-    order = Window.partitionBy("chat_id").orderBy("message_id")
-    fresh = F.coalesce((F.col("message_id") - F.lag("message_id").over(order)) > gap, F.lit(True))
-    return rows.withColumn("_fresh", fresh.cast("int")).withColumn("group_no", F.sum("_fresh").over(order)).drop("_fresh")
+    """Adds group_no: a group ends where the next message id of the chat is more than ``gap`` away.
+
+    Rows meet the one before in their block of ids; the first of a block meets the last of the block before it that has any, so a chat spans
+    many tasks."""
+    blocked = rows.withColumn("_range", F.floor(F.col("message_id") / BLOCK))
+    lasts = rows.groupBy("chat_id", F.floor(F.col("message_id") / BLOCK).alias("_range")).agg(F.max("message_id").alias("_end"))
+    earlier = lasts.select("chat_id", "_range", F.lag("_end").over(Window.partitionBy("chat_id").orderBy("_range")).alias("_before"))
+    before = F.coalesce(F.lag("message_id").over(Window.partitionBy("chat_id", "_range").orderBy("message_id")), F.col("_before"))
+    told = blocked.join(earlier, ["chat_id", "_range"]).withColumn("_fresh", F.coalesce((F.col("message_id") - before > gap).cast("int"), F.lit(1)))
+    return running_total(told, F.col("_fresh"), "message_id", "group_no").select(*rows.columns, "group_no")
 
 
 def fixed_batches(rows: DataFrame, size: int, order: Column) -> DataFrame:

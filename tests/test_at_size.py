@@ -63,6 +63,21 @@ def test_context_bounds_across_blocks(spark, monkeypatch, seed):
     assert sorted((r["chat_id"], r["id"], r["first_id"], r["last_id"]) for r in got) == sorted((c, *b) for c, ns in chats.items() for b in bounds(ns, 2, 13))
 
 
+def test_gaps_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(context, "BLOCK", 7)
+    rng = random.Random(3)
+    chats = {c: sorted(rng.sample(range(400), n)) for c, n in (("a", 90), ("b", 3), ("c", 1))}
+    rows = [(c, i, "x") for c, ids in chats.items() for i in ids] + [("a", chats["a"][10], "twice")]
+    want = []
+    for c, ids in chats.items():
+        group, last = 0, None
+        for i in ids:
+            group, last = group + (last is None or i - last > 5), i
+            want += [(c, i, group)] * (2 if c == "a" and i == ids[10] else 1)
+    got = context.proximity_groups(spark.createDataFrame(rows, "chat_id string, message_id long, other string")).collect()
+    assert sorted((r["chat_id"], r["message_id"], r["group_no"]) for r in got) == sorted(want)
+
+
 def fold(groups, size):
     batch, used, out = -1, size, []
     for group, held in groups:
