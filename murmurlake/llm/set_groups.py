@@ -30,6 +30,8 @@ SMALL, SMALL_IN_GROUP = 24, 256
 MOST_LEVELS = 200
 #: Numbers of 64 bits that tell early how far two sets are apart.
 LANES = 8
+#: Tasks that the rows of one group are dealt to where they meet what belongs to the group.
+SALTS = 8
 
 
 def _may_link(n: str, m: str, times: int, per: int) -> str:
@@ -55,6 +57,12 @@ def may_be_near(n: str, m: str, sig: str, its: str, times: int, per: int) -> str
     return f"({per + times}) * ({apart}) <= ({per - times}) * ({n} + {m})"
 
 
+def _with_group(rows: DataFrame, told: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows (grp, cls, ...) with their group's row of ``told``; a large group's rows are spread over several tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    return salted.join(told.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["grp", "_salt"], how).drop("_salt")
+
+
 def _pivots(rows: DataFrame) -> DataFrame:
     """grp, base (sorted tokens): what about half of the rows of each group hold.
 
@@ -116,7 +124,7 @@ def _level(rows: DataFrame, times: int, per: int) -> DataFrame:
 
         return work
 
-    based = rows.join(_pivots(rows), "grp", "left").select("grp", "cls", "n", "tokens", "barred", "base")
+    based = _with_group(rows, _pivots(rows), "left").select("grp", "cls", "n", "tokens", "barred", "base")
     kind = "grp long, cls long, n long, tokens binary, far long, barred array<long>, n_free int, keys array<long>"
     return written(map_rows(based, make, kind), "group-level")
 
@@ -207,11 +215,11 @@ def group_links(large: DataFrame, sets: DataFrame, times: int, per: int) -> Data
         least = level.groupBy("grp").agg(F.min(F.struct("far", "cls")).alias("hub"))
         theirs = level.select("grp", F.col("cls").alias("hub_cls"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens"))
         hub = least.select("grp", F.col("hub.cls").alias("hub_cls")).join(theirs, ["grp", "hub_cls"])
-        near = _with_hub(level.join(hub, "grp"), times, per)
+        near = _with_hub(_with_group(level, hub), times, per)
         # Two differences share at least (a(x) + a(y)) / 2 elements, so prefixes may leave out one less of the last ones.
         common = F.expr(f"greatest(1, ceil((far + hub.far) / {2 * (per + times)}))").cast("int")
         keys = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(F.size("keys"), F.col("n_free") - common + 1)))
-        hubs = level.select("grp", "cls", "n", "far", "n_free", "keys").join(least, "grp").join(near, ["grp", "cls"]).join(state.select("grp", "cls", "sig"), ["grp", "cls"])
+        hubs = _with_group(level.select("grp", "cls", "n", "far", "n_free", "keys"), least).join(near, ["grp", "cls"]).join(state.select("grp", "cls", "sig"), ["grp", "cls"])
         told = written(hubs.select("grp", "cls", "n", "near", "sig", F.col("hub.cls").alias("hub"), keys.alias("keys")), "group-hubs")
         found.append(written(told.filter("near AND cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "group-links"))
         # A token of this level belongs to its group: its name is that of both.

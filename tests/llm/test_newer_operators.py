@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from murmurlake.llm import minhash, ngram_join, prefix_trie, queries, resample, shingling
+from murmurlake.llm import minhash, ngram_join, prefix_trie, queries, resample, set_groups, shingling
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -192,7 +192,12 @@ def thue_morse(n):
     return w
 
 
-def test_minhash_against_all_pairs(spark):
+@pytest.mark.parametrize("small", [None, 6])
+def test_minhash_against_all_pairs(spark, monkeypatch, small):
+    if small:  # crowds go through several levels of groups
+        monkeypatch.setattr(minhash, "SMALL", small)
+        monkeypatch.setattr(set_groups, "SMALL", small)
+        monkeypatch.setattr(set_groups, "SMALL_IN_GROUP", small)
     rng = random.Random(11)
     texts = many_copies(rng, 130) + many_copies(rng, 8)
     texts += [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))) for _ in range(120)]  # small sets

@@ -11,7 +11,7 @@ import public_tokenizers as public
 import pytest
 from pyspark.sql import functions as F
 
-from murmurlake.llm import bpe, decontaminate, exact_dedup, graph, html_extract, line_dedup, ngram_join, pii, suffix_dedup, token_count, toxicity
+from murmurlake.llm import bpe, decontaminate, exact_dedup, graph, html_extract, line_dedup, ngram_join, pii, set_groups, suffix_dedup, token_count, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, key string, token string, n long, a string, lid string, cls string, lo string, data string, chars string, norm string"
 EXTRA = len(SCHEMA.split(",")) - 2
@@ -356,6 +356,8 @@ def test_ngram_join(spark, docs, none):
 def test_ngram_join_of_a_large_group(spark, monkeypatch):
     """More near copies than a small bucket holds, with few and many edits: pivots and further levels."""
     monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(set_groups, "SMALL", 4)
+    monkeypatch.setattr(set_groups, "SMALL_IN_GROUP", 4)
     rng = random.Random(9)
     base = words(rng, 120, 10**6).split()
     rows = []
@@ -386,7 +388,7 @@ def test_ngram_join_of_rows_without_ids(spark):
 def test_token_levels(spark, docs, none):
     """Exact counts behind the table: a slot's level is that of its most frequent token."""
     n = collections.Counter()
-    sets = {s.tobytes(): s for s in ngram_join.shingles([t.encode() for _, t in rows_of(docs)], ngram_join.Powers())}.values()
+    sets = {s.tobytes(): s for s in ngram_join.shingles([t.encode() for _, t in rows_of(docs)], ngram_join.WORDS)}.values()
     for s in sets:
         n.update(s.tolist())
     got, want = ngram_join.token_levels(docs), collections.Counter()
