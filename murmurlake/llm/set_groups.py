@@ -101,12 +101,12 @@ def _pivots(rows: DataFrame) -> DataFrame:
 
 def _level(rows: DataFrame, times: int, per: int) -> DataFrame:
     """grp, cls, n, tokens (the difference to the pivot of the group), far ((1 + t) a(x) in whole numbers), barred (elements of the
-    difference that no partner shares), n_free (how many others there are), keys (their prefix)."""
+    difference that no partner shares), n_free (how many others there are), keys (their prefix), sig."""
 
     def make():
         def work(columns: list) -> list:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-            for grp, cls, n, tokens, barred, base in zip(*columns, strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
+            for grp, cls, n, tokens, barred, sig, base in zip(*columns, strict=True):
                 pivot = np.sort(np.array(base or [], dtype=np.int64).view(np.uint64))
                 own = as_set(tokens)
                 new, gone = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
@@ -117,15 +117,15 @@ def _level(rows: DataFrame, times: int, per: int) -> DataFrame:
                 most = (per - times) * n // times - len(bar)
                 free = np.concatenate([np.setdiff1d(new, bar, assume_unique=True), gone])  # new ones are rarer, they come first
                 keys = free[: max(0, most + 1)].view(np.int64)
-                values = (grp, cls, n, diff.tobytes(), (per + times) * len(diff) - (per - times) * n, bar.view(np.int64), len(free), keys)
+                values = (grp, cls, n, diff.tobytes(), (per + times) * len(diff) - (per - times) * n, bar.view(np.int64), len(free), keys, sig)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             return list(out)
 
         return work
 
-    based = _with_group(rows, _pivots(rows), "left").select("grp", "cls", "n", "tokens", "barred", "base")
-    kind = "grp long, cls long, n long, tokens binary, far long, barred array<long>, n_free int, keys array<long>"
+    based = _with_group(rows, _pivots(rows), "left").select("grp", "cls", "n", "tokens", "barred", "sig", "base")
+    kind = "grp long, cls long, n long, tokens binary, far long, barred array<long>, n_free int, keys array<long>, sig array<long>"
     return written(map_rows(based, make, kind), "group-level")
 
 
@@ -176,21 +176,25 @@ def pairs_of(buckets: DataFrame, times: int, per: int, *by: str) -> DataFrame:
     )
 
 
-def _with_hub(hubs: DataFrame, times: int, per: int) -> DataFrame:
-    """grp, cls, near: whether the class links with its group's hub, told exactly by their differences."""
+def _with_hub(level: DataFrame, times: int, per: int) -> DataFrame:
+    """grp, cls, n, sig, hub, near (whether the class links with its group's hub, told exactly by their differences), far, hub_far, n_free, keys."""
+    mine = F.struct("far", "cls")
+    hubs = level.groupBy("grp").agg(F.min_by(F.struct("cls", "far", "n", "tokens"), mine).alias("h"))
+    told = hubs.select("grp", F.col("h.cls").alias("hub"), F.col("h.far").alias("hub_far"), F.col("h.n").alias("hub_n"), F.col("h.tokens").alias("hub_tokens"))
 
     def make():
         def work(columns: list) -> list:
             near = []
-            for n, m, s, t in zip(*columns[2:], strict=True):
+            for n, m, s, t in zip(*columns[:4], strict=True):
                 one, two = as_set(s), as_set(t)
                 apart = len(one) + len(two) - 2 * len(np.intersect1d(one, two, assume_unique=True))
                 near.append((per + times) * apart <= (per - times) * (n + m))
-            return [columns[0], columns[1], near]
+            return [near, columns[0], *columns[4:]]
 
         return work
 
-    return map_rows(hubs.select("grp", "cls", "n", "hub_n", "tokens", "hub_tokens"), make, "grp long, cls long, near boolean")
+    rows = _with_group(level, told).select("n", "hub_n", "tokens", "hub_tokens", "grp", "cls", "sig", "hub", "far", "hub_far", "n_free", "keys")
+    return map_rows(rows, make, "near boolean, n long, grp long, cls long, sig array<long>, hub long, far long, hub_far long, n_free int, keys array<long>")
 
 
 def _merged(large: DataFrame) -> DataFrame:
@@ -212,15 +216,10 @@ def group_links(large: DataFrame, sets: DataFrame, times: int, per: int) -> Data
         if state.isEmpty():
             break
         level = _level(state, times, per)
-        least = level.groupBy("grp").agg(F.min(F.struct("far", "cls")).alias("hub"))
-        theirs = level.select("grp", F.col("cls").alias("hub_cls"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens"))
-        hub = least.select("grp", F.col("hub.cls").alias("hub_cls")).join(theirs, ["grp", "hub_cls"])
-        near = _with_hub(_with_group(level, hub), times, per)
         # Two differences share at least (a(x) + a(y)) / 2 elements, so prefixes may leave out one less of the last ones.
-        common = F.expr(f"greatest(1, ceil((far + hub.far) / {2 * (per + times)}))").cast("int")
+        common = F.expr(f"greatest(1, ceil((far + hub_far) / {2 * (per + times)}))").cast("int")
         keys = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(F.size("keys"), F.col("n_free") - common + 1)))
-        hubs = _with_group(level.select("grp", "cls", "n", "far", "n_free", "keys"), least).join(near, ["grp", "cls"]).join(state.select("grp", "cls", "sig"), ["grp", "cls"])
-        told = written(hubs.select("grp", "cls", "n", "near", "sig", F.col("hub.cls").alias("hub"), keys.alias("keys")), "group-hubs")
+        told = written(_with_hub(level, times, per).select("grp", "cls", "n", "near", "sig", "hub", keys.alias("keys")), "group-hubs")
         found.append(written(told.filter("near AND cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "group-links"))
         # A token of this level belongs to its group: its name is that of both.
         rows = told.select("grp", "cls", "n", "near", "sig", F.explode("keys").alias("key"))
@@ -228,7 +227,7 @@ def group_links(large: DataFrame, sets: DataFrame, times: int, per: int) -> Data
         found.append(written(_close(pairs_of(buckets, times, per, "grp").select("grp", "a", "b"), level, times, per), "group-links"))
         again = buckets.filter(F.col("held") > SMALL_IN_GROUP).select("token", "grp", "key", "cls", "sig")
         before = F.expr("concat(barred, slice(keys, 1, greatest(0, cast(array_position(keys, key) AS INT) - 1)))").alias("barred")
-        last, state = state, written(again.join(level, ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens", before, "sig"), "group-state")
+        last, state = state, written(again.join(level.drop("sig"), ["grp", "cls"]).select(F.col("token").alias("grp"), "cls", "n", "tokens", before, "sig"), "group-state")
         forget(last, level, told, buckets)
     else:
         raise RuntimeError("groups did not become small")
