@@ -14,16 +14,24 @@ MIN_MESSAGES, MIN_CHARS = 2, 280
 BLOCK, REACH = 4096, 1 << 16
 
 
+def _told_by_block(rows: DataFrame, told: DataFrame, block: str) -> DataFrame:
+    """The rows with what ``told`` says of their chat and block, where null is a chat and a block too."""
+    theirs = told.withColumnsRenamed({"chat_id": "_their_chat", block: "_their_block"})
+    same = F.col("chat_id").eqNullSafe(F.col("_their_chat")) & F.col(block).eqNullSafe(F.col("_their_block"))
+    return rows.join(theirs, same).drop("_their_chat", "_their_block")
+
+
 def running_total(rows: DataFrame, value: Column, at: str, total: str) -> DataFrame:
     """Adds ``total``: the sum of ``value`` over the rows of the chat up to this one, in the order of the whole number ``at``.
 
-    Blocks of ``at`` are summed where they lie, and start from what stands before them, a row for each block; so a chat spans many tasks."""
+    Blocks of ``at`` are summed where they lie, and start from what stands before them, a row for each block; so a chat spans many tasks.
+    Null is a chat of its own, and rows without ``at`` stand last in their chat."""
     blocked = rows.withColumns({"_value": value.cast("long"), "_block": F.floor(F.col(at) / BLOCK)})
     sums = blocked.groupBy("chat_id", "_block").agg(F.sum("_value").alias("_sum"))
-    earlier = Window.partitionBy("chat_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("chat_id").orderBy(F.asc_nulls_last("_block")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("chat_id", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("chat_id", "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    made = blocked.join(starts, ["chat_id", "_block"]).withColumn(total, F.col("_start") + F.sum("_value").over(inside))
+    made = _told_by_block(blocked, starts, "_block").withColumn(total, F.col("_start") + F.sum("_value").over(inside))
     return made.drop("_value", "_block", "_start")
 
 
@@ -89,12 +97,12 @@ def proximity_groups(rows: DataFrame, gap: int = 5) -> DataFrame:
     """Adds group_no: a group ends where the next message id of the chat is more than ``gap`` away.
 
     Rows meet the one before in their block of ids; the first of a block meets the last of the block before it that has any, so a chat spans
-    many tasks."""
+    many tasks.  Rows without chat are a chat of their own; rows without id stand last in their chat, each a group."""
     blocked = rows.withColumn("_range", F.floor(F.col("message_id") / BLOCK))
     lasts = rows.groupBy("chat_id", F.floor(F.col("message_id") / BLOCK).alias("_range")).agg(F.max("message_id").alias("_end"))
-    earlier = lasts.select("chat_id", "_range", F.lag("_end").over(Window.partitionBy("chat_id").orderBy("_range")).alias("_before"))
+    earlier = lasts.select("chat_id", "_range", F.lag("_end").over(Window.partitionBy("chat_id").orderBy(F.asc_nulls_last("_range"))).alias("_before"))
     before = F.coalesce(F.lag("message_id").over(Window.partitionBy("chat_id", "_range").orderBy("message_id")), F.col("_before"))
-    told = blocked.join(earlier, ["chat_id", "_range"]).withColumn("_fresh", F.coalesce((F.col("message_id") - before > gap).cast("int"), F.lit(1)))
+    told = _told_by_block(blocked, earlier, "_range").withColumn("_fresh", F.coalesce((F.col("message_id") - before > gap).cast("int"), F.lit(1)))
     return running_total(told, F.col("_fresh"), "message_id", "group_no").select(*rows.columns, "group_no")
 
 
@@ -106,11 +114,12 @@ def fixed_batches(rows: DataFrame, size: int, order: Column) -> DataFrame:
 
 def smart_batches(grouped: DataFrame, size: int) -> DataFrame:
     """batch_no by (chat_id, group_no): whole groups packed in order into batches of at most ``size``; larger groups fill batches of their own.
+    Rows without chat are in no batch.
 
     Each group points at the first one that no longer fits into a batch that it starts.  The groups that do start one are those which the
     pointers reach from a chat's first: pointers are doubled until none is left, so it takes rounds in the logarithm of a chat's batches.
     """
-    sizes = grouped.groupBy("chat_id", "group_no").agg(F.count("*").alias("held"))
+    sizes = grouped.filter("chat_id IS NOT NULL").groupBy("chat_id", "group_no").agg(F.count("*").alias("held"))
     summed = stored(running_total(sizes, F.col("held"), "group_no", "upto"), "batch-groups")
     nothing = F.lit(None).cast("long")
     group, upto = F.col("group_no").cast("long"), F.col("upto")

@@ -189,3 +189,14 @@ def test_redirects_tell_long_chains_from_cycles(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(map(walk, urls), key=repr)
     none = platforms.follow_redirects(spark.createDataFrame([("x",)], "url string"), spark.createDataFrame([], "url string, target string"))
     assert [tuple(r) for r in none.collect()] == [("x", "x", 0, "final")]
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_gaps_and_batches_keep_rows_without_chat_or_id(spark, monkeypatch, block):
+    monkeypatch.setattr(context, "BLOCK", block)
+    rows = [(1, 1), (1, 3), (1, 20), (1, None), (None, 2), (None, 40), (None, None), (2, None)]
+    df = spark.createDataFrame(rows, "chat_id long, message_id long")
+    grouped = context.proximity_groups(df)
+    want = {(1, 1, 1), (1, 3, 1), (1, 20, 2), (1, None, 3), (None, 2, 1), (None, 40, 2), (None, None, 3), (2, None, 1)}
+    assert sorted(map(str, map(tuple, grouped.collect()))) == sorted(map(str, want))
+    assert {tuple(r) for r in context.smart_batches(grouped, 2).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 1, 0)}
