@@ -36,11 +36,14 @@ TIMES, PER = 90, 100
 ORDERS = 3
 #: Under the other orders prefixes are longer by up to so many tokens, and as many more must be shared.
 DEPTH = 32
-#: The table of frequencies has 2**SLOT_BITS slots of a byte, and at most a quarter as many tokens are entered.
-SLOT_BITS = 22
+#: The table of frequencies has at least 2**SLOT_BITS slots of a byte, and at most a quarter as many tokens are entered; it grows up to
+#: 2**MOST_SLOT_BITS (64 MB) until all tokens of level ``ENTERED`` (7 documents) are in it.
+SLOT_BITS, MOST_SLOT_BITS = 22, 26
+ENTERED = 22
 #: Tokens that a task counts at once.
 COUNTED = 2_000_000
 
+
 def prefix_length(n: int) -> int:
     return n - -(-TIMES * n // PER) + 1
 
@@ -53,8 +56,8 @@ def depth_of(p: int) -> int:
 # ---- how frequent tokens are ----
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _packed_counts(tokens: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -88,7 +91,7 @@ def _count_in_tasks(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def _levels_of_parts(counted: DataFrame, bits: int) -> DataFrame:
-    """slot, level (8 * log2 of the count) of every token that occurs twice; parts come whole, one after another."""
+    """slot (of the largest table), level (8 * log2 of the count) of every token that occurs twice; parts come whole, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -105,7 +108,7 @@ def _levels_of_parts(counted: DataFrame, bits: int) -> DataFrame:
             n = np.add.reduceat(n, first)
             names = names[first][n > 1]
             level = np.minimum(255, np.round(8 * np.log2(n[n > 1]))).astype(np.int16)
-            slot = _slots(np.uint64(now) << np.uint64(64 - bits) | names >> np.uint64(bits))
+            slot = _slots(np.uint64(now) << np.uint64(64 - bits) | names >> np.uint64(bits), MOST_SLOT_BITS)
             return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(level)], names=["slot", "level"])
 
         for batch in batches:
@@ -125,17 +128,22 @@ def token_levels(docs: DataFrame) -> np.ndarray:
     """A level for every slot: how often the most frequent token of the slot occurs, by logarithm; 0 for rare ones.
 
     Tasks count their tokens first, so a token of all documents is one row a task.  Parts grow in number with the rows, up to 2**18.
+    The table grows with the tokens: were frequent ones left out for want of room, prefixes would hold them, and groups of unlike documents
+    would come of them.
     """
     bits = min(18, max(12, (docs.count() // 500).bit_length()))
     found = written(_levels_of_parts(_count_in_tasks(rows_of(docs), bits), bits), "ngram-counts")
-    room, least = 1 << (SLOT_BITS - 2), 256
-    for level, n in sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+    held = sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    size = min(MOST_SLOT_BITS, max(SLOT_BITS, 2 + (sum(n for level, n in held if level >= ENTERED) - 1).bit_length()))
+    room, least = 1 << (size - 2), 256
+    for level, n in held:
         room -= n
         if room < 0:
             break
         least = level
-    told = found.filter(F.col("level") >= least).groupBy("slot").agg(F.max("level").alias("level")).toArrow()  # at most a quarter of the slots
-    table = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    slot = F.shiftright("slot", MOST_SLOT_BITS - size).alias("slot")
+    told = found.filter(F.col("level") >= least).groupBy(slot).agg(F.max("level").alias("level")).toArrow()  # at most a quarter of the slots
+    table = np.zeros(1 << size, dtype=np.uint8)
     table[told.column("slot").to_numpy()] = told.column("level").to_numpy().astype(np.uint8)
     forget(found)
     return table
@@ -148,7 +156,7 @@ def _in_order(tokens: np.ndarray, levels: np.ndarray, turn: int, p: int) -> np.n
     """The first p tokens: rare ones first, then by a hash of the order's own."""
     if p >= len(tokens):
         return tokens
-    key = levels[_slots(tokens)].astype(np.uint64) << np.uint64(56) | mix(tokens * np.uint64(TURN[turn] | 1)) >> np.uint64(8)
+    key = levels[_slots(tokens, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(56) | mix(tokens * np.uint64(TURN[turn] | 1)) >> np.uint64(8)
     return tokens[np.argpartition(key, p - 1)[:p]]
 
 

@@ -400,6 +400,22 @@ def test_token_levels(spark, docs, none):
     assert not ngram_join.token_levels(none).any()
 
 
+def test_token_levels_make_room_for_all_frequent_tokens(spark, monkeypatch):
+    """Were there no room, prefixes would hold tokens of many documents, and groups of unlike documents would come of them."""
+    monkeypatch.setattr(ngram_join, "SLOT_BITS", 8)
+    # 150 passages, each in 30 documents, with 40 words of their own: unlike documents that share frequent tokens.
+    rows = [(i, " ".join([f"p{i % 150}w{j}" for j in range(20)] + [f"d{i}w{j}" for j in range(40)])) for i in range(4500)]
+    docs = table(spark, rows)
+    levels = ngram_join.token_levels(docs)
+    frequent = np.unique(np.concatenate(ngram_join.shingles([" ".join(f"p{k}w{j}" for j in range(20)).encode() for k in range(150)], ngram_join.WORDS)))
+    slots = frequent >> np.uint64(64 - (len(levels).bit_length() - 1))
+    assert len(frequent) == 2700 and (levels[slots.astype(np.int64)] >= round(8 * np.log2(30))).all()
+    assert (levels > 0).mean() <= 0.25
+    shared = {int(t) for t in frequent.view(np.int64)}
+    prefixes = [set(r["prefix"]) for r in ngram_join.signatures(docs, levels).select("prefix").collect()]
+    assert len(prefixes) == 4500 and not any(shared & p for p in prefixes)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
