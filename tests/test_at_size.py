@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,31 @@ def test_gaps_and_batches_keep_rows_without_chat_or_id(spark, monkeypatch, block
     want = {(1, 1, 1), (1, 3, 1), (1, 20, 2), (1, None, 3), (None, 2, 1), (None, 40, 2), (None, None, 3), (2, None, 1)}
     assert sorted(map(str, map(tuple, grouped.collect()))) == sorted(map(str, want))
     assert {tuple(r) for r in context.smart_batches(grouped, 2).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 1, 0)}
+
+
+@pytest.mark.parametrize("whole", [4096, 5])
+def test_best_query_within_chats_leaves_a_row_for_a_vector(spark, monkeypatch, whole):
+    monkeypatch.setattr(vector, "WHOLE", whole)
+    monkeypatch.setattr(vector, "HELD", 64)
+    rng = random.Random(5)
+    sizes = {None: 3, 1: 1, 2: 9, 3: 70, **{c: 4 for c in range(4, 40)}}
+    rows = [(c, i, [float(rng.randint(-3, 3)) for _ in range(3)]) for c, n in sizes.items() for i in range(n)]
+    asked = [(q, [float(rng.randint(-3, 3)) for _ in range(3)]) for q in range(60)]
+    df = spark.createDataFrame(rows, "chat long, id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "q_idx long, embedding array<double>")
+
+    def alike(x, y):
+        norm = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(b * b for b in y))
+        return 0.0 if norm == 0 else sum(a * b for a, b in zip(x, y, strict=True)) / norm
+
+    want = {}
+    for c in sizes:
+        for q, y in asked:
+            met = sorted((-alike(x, y), i) for chat, i, x in rows if chat == c and alike(x, y) >= 0.1)
+            for s, i in met[:2]:
+                want[c, i] = min(want.get((c, i), (2.0, 0)), (s, q))
+    got = vector.best_query(df, queries, 2, 0.1, within=("chat",)).collect()
+    assert {(r["chat"], r["id"]): (-r["similarity"], r["q_idx"]) for r in got} == want and len(got) == len(want)
+    matrix = np.array([y for _, y in asked])
+    told = vector._best_of_groups(df, [q for q, _ in asked], matrix, 2, 0.1, ("chat",))
+    assert told.count() == len(want)  # pairs of vectors and queries stay in their task
