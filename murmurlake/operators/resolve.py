@@ -18,6 +18,11 @@ from murmurlake.operators.entities import chosen_match, first_author, is_accepta
 COLUMNS = ["item_id", "outcome", "stage", "source", "title", "url"]
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """The table, to be joined by shuffle: all of these grow with the items, so none goes whole through the driver to the tasks."""
+    return table.hint("merge")
+
+
 def _found(stage: str, source: Column, title: Column, url: Column) -> list[Column]:
     return ["item_id", F.lit("found").alias("outcome"), F.lit(stage).alias("stage"), source.alias("source"), title.alias("title"), url.alias("url")]
 
@@ -33,7 +38,7 @@ def from_items(items: DataFrame, base: DataFrame) -> DataFrame:
     whole = F.struct("label", "ids", "image_url", "wikipedia_url", "qid")
     rank = F.struct((-score).alias("s"), "label", "qid")
     best = base.groupBy("query", "type").agg(F.min_by(whole, rank).alias("b"))
-    made = items.join(best, ["query", "type"]).filter(is_acceptable(F.col("b.ids"), F.col("b.image_url"), F.col("b.wikipedia_url")))
+    made = items.join(_dealt(best), ["query", "type"]).filter(is_acceptable(F.col("b.ids"), F.col("b.image_url"), F.col("b.wikipedia_url")))
     url = preferred_url(F.col("type"), F.col("b.ids"), F.col("b.wikipedia_url"), F.col("b.qid"))
     return made.select(*_found("items", F.lit("wikidata"), F.coalesce(F.nullif("b.label", F.lit("")), F.col("query")), url))
 
@@ -48,23 +53,23 @@ def from_books(items: DataFrame, books: DataFrame) -> DataFrame:
     wanted = items.filter("type = 'book'").withColumn("_key", F.lower(F.trim(F.regexp_replace(F.substring_index("query", ":", 1), r"[^\p{L}\p{N}]+", " "))))
     author = F.lower(first_author(F.col("author")))
     fits = titles_match(F.col("query"), F.col("_title")) & (F.coalesce(author, F.lit("")).isin("") | F.coalesce(F.lower("_author").contains(author), F.lit(False)))
-    best = wanted.join(known, "_key").filter(fits).groupBy("item_id").agg(F.min(F.struct("rank", "work_id", "_title")).alias("b"))
+    best = wanted.join(_dealt(known), "_key").filter(fits).groupBy("item_id").agg(F.min(F.struct("rank", "work_id", "_title")).alias("b"))
     return best.select(*_found("books", F.lit("openlibrary"), F.col("b._title"), F.concat(F.lit("https://openlibrary.org/works/"), F.col("b.work_id"))))
 
 
 def from_hits(items: DataFrame, hits: DataFrame) -> DataFrame:
     """Items of which one preferred site has exactly one hit.  ``hits``: item_id, rank (1, 2, ...), title, url."""
-    told = items.join(hits, "item_id").select(F.col("query").alias("item_title"), F.col("type").alias("category"), "rank", "title", "url")
+    told = items.join(_dealt(hits), "item_id").select(F.col("query").alias("item_title"), F.col("type").alias("category"), "rank", "title", "url")
     best = entity_matches(told.distinct()).withColumnsRenamed({"item_title": "query", "category": "type"})
-    return items.join(best, ["query", "type"]).select(*_found("heuristic", F.lit("heuristic"), F.col("query"), F.col("url")))
+    return items.join(_dealt(best), ["query", "type"]).select(*_found("heuristic", F.lit("heuristic"), F.col("query"), F.col("url")))
 
 
 def from_rankings(items: DataFrame, hits: DataFrame, rankings: DataFrame) -> DataFrame:
     """Items of which a model ranked the hits.  ``rankings``: item_id, indexes (1-based places among the item's hits, best first); places that no
     hit has are passed over.  Hits are met by place, so an item's list is never put together."""
     first = rankings.groupBy("item_id").agg(F.min("indexes").alias("indexes"))
-    places = items.join(first, "item_id").select("item_id", "query", F.posexplode("indexes").alias("nth", "rank"))
-    met = places.join(hits.select("item_id", "rank", "url"), ["item_id", "rank"]).filter("coalesce(url, '') <> ''")
+    places = items.join(_dealt(first), "item_id").select("item_id", "query", F.posexplode("indexes").alias("nth", "rank"))
+    met = places.join(_dealt(hits.select("item_id", "rank", "url")), ["item_id", "rank"]).filter("coalesce(url, '') <> ''")
     best = met.groupBy("item_id", "query").agg(F.min(F.struct("nth", "url")).alias("b"))
     match = chosen_match(F.col("query"), F.array("b.url"))
     return best.select(*_found("ranking", F.when(match["source"] == "ai", "ai").otherwise("heuristic"), F.col("query"), match["url"]))
@@ -77,15 +82,15 @@ def resolve(items: DataFrame, base: DataFrame, books: DataFrame, hits: DataFrame
     for stage in (lambda r: from_items(r, base), lambda r: from_books(r, books), lambda r: from_hits(r, hits), lambda r: from_rankings(r, hits, rankings)):
         made = stored(stage(rest), "resolved")
         found.append(made)
-        rest = rest.join(made.select("item_id"), "item_id", "left_anti")
+        rest = rest.join(_dealt(made.select("item_id")), "item_id", "left_anti")
     searched = hits.select("item_id").distinct().withColumn("_hit", F.lit(True))
     nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "title", "url")]
-    failed = rest.join(searched, "item_id", "left").select("item_id", F.lit("failed").alias("outcome"), F.when(F.col("_hit"), "deferred").otherwise("search").alias("stage"), *nothing)
+    failed = rest.join(_dealt(searched), "item_id", "left").select("item_id", F.lit("failed").alias("outcome"), F.when(F.col("_hit"), "deferred").otherwise("search").alias("stage"), *nothing)
     return reduce(DataFrame.unionByName, [*found, failed])
 
 
 def deferred(items: DataFrame, hits: DataFrame) -> DataFrame:
     """The items that hits alone don't settle, with their hits in order: what a ranking is asked about.  Columns: item_id, query, type, rank, title, url."""
-    open_items = items.join(from_hits(items, hits).select("item_id"), "item_id", "left_anti")
-    return open_items.select("item_id", "query", "type").join(hits, "item_id")
+    open_items = items.join(_dealt(from_hits(items, hits).select("item_id")), "item_id", "left_anti")
+    return open_items.select("item_id", "query", "type").join(_dealt(hits), "item_id")
 

@@ -98,3 +98,18 @@ def test_small_rules(spark):
     assert {r["k"] for r in suggestions.collect()} == {"s", "n"} and [r["k"] for r in agreements.collect()] == ["a"]
     with pytest.raises(ValueError):
         prompts.user_context("")
+
+
+def test_cascade_sends_no_table_through_the_driver(spark):
+    from murmurlake.operators import resolve
+
+    items = spark.createDataFrame([(1, "a b", "book", "x"), (2, "c", "movie", None)], "item_id long, query string, type string, author string")
+    base = spark.createDataFrame([("c", "movie", "Q1", "c", 3, {"imdb": "tt1"}, None, None)], "query string, type string, qid string, label string, sitelinks int, ids map<string,string>, image_url string, wikipedia_url string")
+    books = spark.createDataFrame([("a b: c", "x", "OL1", 1, "u")], "title string, author string, work_id string, rank int, cover_url string")
+    hits = spark.createDataFrame([(1, 1, "a b", "https://www.goodreads.com/book/show/1")], "item_id long, rank int, title string, url string")
+    rankings = spark.createDataFrame([(1, [1])], "item_id long, indexes array<int>")
+    made = [resolve.from_items(items, base), resolve.from_books(items, books), resolve.from_hits(items, hits), resolve.from_rankings(items, hits, rankings)]
+    told = resolve.resolve(items, base, books, hits, rankings)
+    assert {(r["item_id"], r["stage"]) for r in told.collect()} == {(1, "books"), (2, "items")}
+    for df in [*made, told, resolve.deferred(items, hits)]:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
