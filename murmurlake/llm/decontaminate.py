@@ -140,7 +140,7 @@ class Pieces:
         up, down, best = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), dtype=np.uint64), now.copy()
         base = np.arange(len(lane)) * 257
         for column in codes:
-            eq = masks[base + column[own]]
+            eq = masks.take(base + column.take(own))
             diagonal = (((eq & up) + up) ^ up) | eq | down
             plus, minus = down | ~(diagonal | up), up & diagonal
             now += (plus >> high & one).astype(np.int64) - (minus >> high & one).astype(np.int64)
@@ -177,10 +177,10 @@ class Embedding:
         symbols = {w: np.zeros((REPEATS, len(starts), -(-SAMPLED // 8) * 8), dtype=np.uint8) for w in sizes}
         at, ends = starts.astype(np.int32), ends.astype(np.int32)
         for j in range(max(wanted, default=-1) + 1):
-            symbol = data[at]
+            symbol = data.take(at)
             for w, r, k in wanted.get(j, ()):
                 symbols[w][r, :, k] = symbol
-            at += self.moves[j][symbol]
+            at += self.moves[j].take(symbol)
             np.minimum(at, ends, out=at)
         keys = {}
         for w, own in symbols.items():
@@ -252,14 +252,14 @@ class Grams:
         keys, counts = [], []
         for start in range(0, len(data), GRAM_BYTES):
             made = self._hashed(data[start : start + GRAM_BYTES + self.q - 1])[:GRAM_BYTES]
-            at = np.flatnonzero(self.known[made])
-            made = made[at]
-            n = self.held[made]
-            k = np.arange(int(n.sum())) + np.repeat(self.first[made] - (np.cumsum(n) - n), n)
+            at = np.flatnonzero(self.known.take(made))
+            made = made.take(at)
+            n = self.held.take(made)
+            k = np.arange(int(n.sum())) + np.repeat(self.first.take(made) - (np.cumsum(n) - n), n)
             at = np.repeat(at + start, n)
-            own = doc[at]
-            band = (at - begins[own] - self.offset[k] + self.longest) // BAND
-            key, count = np.unique((own * len(self.names) + self.item[k]) * bands + band, return_counts=True)
+            own = doc.take(at)
+            band = (at - begins.take(own) - self.offset.take(k) + self.longest) // BAND
+            key, count = np.unique((own * len(self.names) + self.item.take(k)) * bands + band, return_counts=True)
             keys.append(key)
             counts.append(count)
         if not keys:
@@ -342,9 +342,10 @@ class Searcher:
         lengths = np.array([len(t) for t in texts])
         begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         words = _word_starts(data)
-        which = np.searchsorted(begins, words, side="right") - 1
-        first = np.searchsorted(which, which)  # of the text's words
-        chosen = (np.arange(len(words)) - first) % STRIDE == 0
+        firsts = np.searchsorted(words, begins)
+        held = np.diff(np.append(firsts, len(words)))
+        which = np.repeat(np.arange(len(begins)), held)
+        chosen = (np.arange(len(words)) - np.repeat(firsts, held)) % STRIDE == 0
         starts, which = words[chosen], which[chosen]
         found = set()
         if not len(starts) or not self.tables:
@@ -353,7 +354,9 @@ class Searcher:
         for size, (known, items, offsets, bitmap) in self.tables.items():
             for r in range(REPEATS):
                 own = (keys[size][r] & ~np.uint64(15)) | np.uint64(r)
-                maybe = np.flatnonzero(bitmap[own >> np.uint64(42)])
+                maybe = np.flatnonzero(bitmap.take((own >> np.uint64(42)).view(np.int64)))
+                if not len(maybe):
+                    continue
                 low = np.searchsorted(known, own[maybe])
                 high = np.searchsorted(known, own[maybe], side="right")
                 for lane, a, b in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
